@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from linkloom.llm import quality, sharding
+from linkloom.llm import fingerprints, quality, sharding, urls
 
 QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_url_filters": urls.op9_url_filters,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 ORACLES = {"op8_quality_rules": quality.ORACLE}
