@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from linkloom.llm import fingerprints, licenses, quality, sentencepiece_bpe, sharding, urls
+from linkloom.llm import fingerprints, licenses, neardup, quality, sentencepiece_bpe, sharding, urls
 
 QUERIES = {
     "op2_license_scan": licenses.op2_license_scan,
     "op5_sharding": sharding.op5_sharding,
     "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_url_filters": urls.op9_url_filters,
     "op10_fingerprints": fingerprints.op10_fingerprints,
