@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from linkloom.llm import fingerprints, licenses, linededup, neardup, quality, sentencepiece_bpe, sharding, urls
+from linkloom.llm import fingerprints, licenses, linededup, neardup, packing, quality, sentencepiece_bpe, sharding, urls
 
 QUERIES = {
     "op2_license_scan": licenses.op2_license_scan,
     "op5_sharding": sharding.op5_sharding,
+    "op3_packing": packing.op3_packing,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
     "op7_near_duplicates": neardup.op7_near_duplicates,

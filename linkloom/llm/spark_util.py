@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,3 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return labels
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stages")
+    return f"{base}/stages-{uuid.uuid4().hex}"
