@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from linkloom.llm import fingerprints, licenses, linededup, neardup, packing, quality, sentencepiece_bpe, sharding, urls
+from linkloom.llm import ctw, fingerprints, licenses, linededup, neardup, packing, quality, sentencepiece_bpe, sharding, urls
 
 QUERIES = {
+    "op1_ctw_scoring": ctw.op1_ctw_scoring,
     "op2_license_scan": licenses.op2_license_scan,
     "op5_sharding": sharding.op5_sharding,
     "op3_packing": packing.op3_packing,
