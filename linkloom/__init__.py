@@ -1,0 +1 @@
+"""linkloom: link discovery in large typed graphs, written as Spark DataFrame plans."""
