@@ -130,18 +130,22 @@ def align(template: list[int], text: list[int], shift: int, band: int) -> tuple[
 
 def scan_text(index: TemplateIndex, words: np.ndarray, hits: list[tuple[int, int, int]], coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, last + 1) of each occurrence in one text. hits: (template, text place, template place)."""
-    out, done = [], {}
+    out: list[tuple[int, int, int, int]] = []
+    tried: dict[int, tuple[int, int]] = {}  # template: last start tried, end of the last span found
     for t, at, place in sorted(hits, key=lambda h: (h[0], h[1] - h[2], h[1])):
         m, start = len(index.words[t]), at - place
         band = BAND + m // 10
-        if t in done and start <= done[t] + band and at < done[t] + m + band:
-            continue
-        done[t] = start
-        lo = max(0, start - band)
+        last_start, last_end = tried.get(t, (-(1 << 60), 0))
+        if at < last_end or last_end <= last_start and start <= last_start + band:
+            continue  # inside a span that was found, or inside the band of one that failed
+        lo = max(last_end, start - band)
         region = words[lo : max(0, start) + m + 2 * band].tolist()
         matched, first, last = align(index.words[t], region, start - lo, band)
         if matched >= coverage * m:
             out.append((t, matched, lo + first, lo + last))
+            tried[t] = start, lo + last
+        else:
+            tried[t] = start, min(last_end, start)
     return sorted(set(out), key=lambda r: (r[2], r[0]))
 
 
