@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from linkloom.functions.columns import null_marks, one_hot
 
+#: The shape and the codes of publication records.
 SCHEMA = (
     "id string, title string, publication_date string, type string, language string, "
     "authorships array<struct<author_position: string, author: struct<id: string, display_name: string>, institutions: array<struct<id: string, display_name: string>>>>, "

@@ -159,9 +159,9 @@ def join_theta_dates(s, d):
     return X.active_customers(s, d, ["1998-01-01", "1999-01-01", "2000-01-01", "2001-01-01"])
 
 
-@query("SELECT DISTINCT a.l_suppkey AS u_node_id, b.l_suppkey AS v_node_id, a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_quantity > 40 AND b.l_quantity > 40")
+@query("SELECT DISTINCT a.l_suppkey AS u_node_id, b.l_suppkey AS v_node_id, a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey")
 def join_self_pairs(s, d):
-    return P.shared_pairs(X.read(s, d, "lineitem").where("l_quantity > 40"), "l_suppkey", ["l_orderkey"])
+    return P.shared_pairs(X.read(s, d, "lineitem"), "l_suppkey", ["l_orderkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
@@ -520,7 +520,7 @@ def s_batches(s, d):
 
 # --- subgraphs --------------------------------------------------------------------------------------------------------
 
-_PAIRS_SQL = "pairs AS (SELECT u_node_id, v_node_id, date FROM targets ORDER BY md5(concat_ws(':', 'p', u_node_id, v_node_id)), u_node_id, v_node_id LIMIT 60)"
+_PAIRS_SQL = "pairs AS (SELECT u_node_id, v_node_id, date FROM targets)"
 _PWALK = ",\n".join([
     O.OUTER, O.KNOWN, _TYPED, _PAIRS_SQL,
     f"u0 AS (SELECT DISTINCT u_node_id AS node_0_id, {X.CUSTOMER} AS node_0_type, 0 AS side, date FROM pairs)", f"v0 AS (SELECT DISTINCT v_node_id AS node_0_id, {X.PART} AS node_0_type, 1 AS side, date FROM pairs)",
@@ -529,7 +529,7 @@ _PWALK = ",\n".join([
 
 
 def _pairs(s, d):
-    return T.take_n(X.targets(s, d).select("u_node_id", "v_node_id", "date"), 60, ["u_node_id", "v_node_id"], "p")
+    return X.targets(s, d).select("u_node_id", "v_node_id", "date")
 
 
 def _pair_walk(s, d):
@@ -614,24 +614,24 @@ def x_pair_features_flat(s, d):
 
 # --- packing and metrics ----------------------------------------------------------------------------------------------
 
-_TOY = "toy AS (SELECT l_orderkey AS sample, CAST(l_suppkey % 3 AS INTEGER) AS path_type, CAST(1 + l_partkey % 4 AS INTEGER) AS hop_k, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS path_no FROM lineitem WHERE l_orderkey <= 400)"
-_PACK = f"""{_TOY}, a AS (SELECT *, CASE WHEN path_type = 2 THEN 2 * hop_k - 1 ELSE 2 * hop_k END AS token_len FROM toy),
+_PATHS = "paths AS (SELECT l_orderkey AS sample, CAST(l_suppkey % 3 AS INTEGER) AS path_type, CAST(1 + l_partkey % 4 AS INTEGER) AS hop_k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS path_no FROM lineitem)"
+_PACK = f"""{_PATHS}, a AS (SELECT *, CASE WHEN path_type = 2 THEN 2 * hop_k - 1 ELSE 2 * hop_k END AS token_len FROM paths),
 b AS (SELECT *, (row_number() OVER (PARTITION BY sample, path_type ORDER BY token_len, path_no) - 1) % 2 AS path_group FROM a),
 c AS (SELECT *, row_number() OVER w AS path_pos, CASE WHEN path_type = 2 THEN 3 ELSE 2 END + sum(token_len) OVER (w ROWS UNBOUNDED PRECEDING) AS fin FROM b WINDOW w AS (PARTITION BY sample, path_type, path_group ORDER BY token_len, path_no)),
 packed AS (SELECT sample, path_type, CAST(path_group AS INTEGER) AS path_group, path_no, CAST(path_pos AS INTEGER) AS path_pos, hop_k, CAST(token_len AS INTEGER) AS token_len, CAST(fin - token_len AS INTEGER) AS "offset" FROM c WHERE fin <= 12)"""
 
 
-def _toy(s, d):
+def _lines_as_paths(s, d):
     from pyspark.sql import Window
 
-    line = X.read(s, d, "lineitem").where("l_orderkey <= 400")
-    no = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))  # a toy table of a few hundred orders
+    line = X.read(s, d, "lineitem")
+    no = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return line.select(F.col("l_orderkey").alias("sample"), (F.col("l_suppkey") % 3).cast("int").alias("path_type"), (F.col("l_partkey") % 4 + 1).cast("int").alias("hop_k"), no.cast("long").alias("path_no"))
 
 
 @query(f"WITH {_PACK} SELECT * FROM packed")
 def p_groups(s, d):
-    return K.pack_paths(_toy(s, d), 2, 12)
+    return K.pack_paths(_lines_as_paths(s, d), 2, 12)
 
 
 def _with_arrays(packed):
@@ -647,12 +647,12 @@ def _pos(x: str) -> str:
 SELECT sample, path_type, path_group, path_pos, CAST("offset" + j AS INTEGER) AS token_at, 0 AS is_edge, 1 AS element_type, CAST(j + CASE WHEN path_type = 2 THEN 3 ELSE 2 END AS INTEGER) AS node_pos, 0 AS u_pos, 0 AS v_pos FROM n
 UNION ALL SELECT sample, path_type, path_group, path_pos, CAST("offset" + k + j AS INTEGER), 1, 0, 0, CAST({_pos("j")} AS INTEGER), CAST({_pos("(j + 1)")} AS INTEGER) FROM e""")
 def p_tokens(s, d):
-    return K.path_tokens(_with_arrays(K.pack_paths(_toy(s, d), 2, 12)))
+    return K.path_tokens(_with_arrays(K.pack_paths(_lines_as_paths(s, d), 2, 12)))
 
 
 @query(f"WITH {_PACK} SELECT sample, path_type, path_group, CAST(row_number() OVER (PARTITION BY sample ORDER BY path_type, path_group) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT sample, path_type, path_group FROM packed)")
 def p_group_to_sample(s, d):
-    return K.group_to_sample(K.pack_paths(_toy(s, d), 2, 12))
+    return K.group_to_sample(K.pack_paths(_lines_as_paths(s, d), 2, 12))
 
 
 _SC = "sc AS (SELECT o_orderkey AS id, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS score, CAST(o_orderstatus = 'F' AS INTEGER) AS label FROM orders)"
