@@ -29,7 +29,7 @@ UNRELATED = 1.625
 LENGTH_STEP = 12 / BUCKETS
 _STEPS = np.array([0, 1, 2, 6])
 _CHUNK = 4 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 
 
 def bucket_counts(texts: list[bytes]) -> np.ndarray:
