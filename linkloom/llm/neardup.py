@@ -1,13 +1,15 @@
 """Near-duplicate documents: ProbMinHash signatures, banding, exact verification.
 
-Every text becomes its five-word shingles, weighted by how often they occur (a text of fewer words is one shingle). Each
-shingle is a Poisson process whose rate is its weight and whose arrivals fall on registers at random; a register
+Every text becomes its five-word shingles, weighted by 1 + ln of how often they occur (a text of fewer words is one
+shingle), so that the weights stay close to the sets that are verified. Each shingle is a Poisson process whose rate is its weight and whose arrivals fall on registers at random; a register
 keeps its earliest arrival, and a shingle stops once its next arrival comes after the latest of all registers. Two
 texts agree in a register with the chance of their probability Jaccard. Bands of registers give buckets.
 
 Links are verified by the exact Jaccard similarity of the shingle sets, 0.8 or more. No bucket is expanded into
-pairs: at first each member is compared with one leader; buckets that still hold several classes then compare a
-leader of each class with the members of the others, four times as many leaders each round, until every class has led.
+pairs: at first each member is compared with one leader, the member that shares most buckets over all; buckets that still
+hold several classes then compare a leader of each class with the members of the others, four times as many leaders
+each round, until every class has led. A pair is compared only if its signatures agree in PROBED registers enough for
+that to be possible: at similarity 0.8 the least agreement lies more than five standard deviations below the mean.
 Equal word sequences collapse to one node before all this.
 
 A document's class is the least doc_id of its connected component. Nulls count as empty texts; texts without words
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from linkloom.llm.common import lower_ascii, mix64, utf8, word_hashes, word_spans
 from linkloom.llm.licenses import pieces
@@ -30,6 +32,8 @@ from linkloom.llm.spark_util import components, cut
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
+#: Registers that are compared, a byte each, seven to a long; and how many must agree.
+PROBED, AGREE = 77, 42
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +67,7 @@ def weighted(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.lexsort((hashes, rows))
     r, h = rows[order], hashes[order]
     first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])]))
-    return r[first], h[first], np.diff(np.concatenate([first, [len(r)]])).astype(float)
+    return r[first], h[first], 1 + np.log(np.diff(np.concatenate([first, [len(r)]])))
 
 
 def prob_minhash(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_rows: int, m: int = BANDS * ROWS) -> np.ndarray:
@@ -94,6 +98,22 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
+def probes(signature: np.ndarray) -> np.ndarray:
+    """One byte of each of the first PROBED registers, seven to a long."""
+    low = (mix64(signature[:, :PROBED]) & np.uint64(255)).astype(np.int64).reshape(len(signature), -1, 7)
+    return (low << (8 * np.arange(7))).sum(axis=2)
+
+
+def agree(a: str, b: str) -> Column:
+    """Whether two probes agree in enough registers. A byte that differs sets its top bit below; the sum can't overflow."""
+    low, top = 0x7F7F7F7F7F7F7F, 0x80808080808080
+    differ = F.lit(0)
+    for i in range(PROBED // 7):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        differ = differ + F.bit_count((x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top)))
+    return differ <= PROBED - AGREE
+
+
 def nodes_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """64 bits of a digest of each row's lower-cased words."""
     lowered = lower_ascii(raw).tobytes()
@@ -101,20 +121,22 @@ def nodes_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node and the buckets (band hashes) of each row; rows without words have none."""
+    """doc_id, node, the buckets (band hashes) and the probe of each row; rows without words have no buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
                 raw, offsets = utf8(batch.column("text"))
                 n = batch.num_rows
-                bands = band_hashes(prob_minhash(*weighted(*(found := shingles(raw, offsets))), n)).view(np.int64)
+                signature = prob_minhash(*weighted(*(found := shingles(raw, offsets))), n)
+                bands = band_hashes(signature).view(np.int64)
+                probe = pa.FixedSizeListArray.from_arrays(pa.array(probes(signature).ravel()), PROBED // 7).cast(pa.list_(pa.int64()))
                 some = np.bincount(found[0], minlength=n)[:n] > 0
                 ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes_of(raw, offsets)), lists], ["doc_id", "node", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes_of(raw, offsets)), lists, probe], ["doc_id", "node", "buckets", "probe"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, buckets array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, buckets array<long>, probe array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -145,30 +167,35 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node and class_id of each row."""
     spark = docs.sparkSession
     rows = cut(signed(docs))
-    reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"))
-    member = reps.select("node", "rep", F.explode("buckets").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("bucket", "leader")
-    member = cut(member.join(shared, "bucket").select("bucket", "node", "rep", "leader"))
-    tested = pairs = cut(member.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    wanted = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).join(member.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"), F.first("probe").alias("probe"))
+    member = reps.select("node", F.explode("buckets").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = cut(member.join(shared, "bucket").select("bucket", "node", "n"))
+    info = cut(member.groupBy("node").agg(F.sum("n").alias("reach")).join(reps.select("node", "rep", "probe"), "node"))
+    member = cut(member.join(info.select("node", "reach", "probe"), "node").select("bucket", "node", "reach", "probe"))
+    first = member.groupBy("bucket").agg(F.max(F.struct("reach", "node", "probe")).alias("f")).select("bucket", F.col("f.node").alias("head"), F.col("f.probe").alias("led"))
+    ordered = lambda: (F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+    tested = pairs = cut(member.join(first, "bucket").where((F.col("node") != F.col("head")) & agree("probe", "led")).select(*ordered()).distinct())
+    wanted = info.select(F.col("rep").alias("doc_id")).distinct()
+    sets = cut(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).join(info.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     links, leaders = cut(verified(pairs, sets, threshold)), 1
     labels = components(links)
     while True:
         leaders *= 4
-        labelled = member.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        labelled = member.join(labels, "node", "left").select("bucket", "node", "reach", "probe", F.coalesce("label", "node").alias("label"))
         split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
         open_ = cut(labelled.join(split, "bucket", "left_semi"))
-        heads = open_.groupBy("bucket", "label").agg(F.min("node").alias("head"))
-        ranked = heads.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("head")))
-        some = cut(ranked.where(F.col("n") <= leaders + 1))
-        pairs = open_.join(some.where(F.col("n") <= leaders).select("bucket", "head", F.col("label").alias("led")), "bucket").where("label <> led").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        heads = open_.groupBy("bucket", "label").agg(F.max(F.struct("reach", "node", "probe")).alias("h"))
+        ranked = heads.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("h"))))
+        some = cut(ranked.where(F.col("n") <= leaders + 1).select("bucket", "n", F.col("label").alias("own"), F.col("h.node").alias("head"), F.col("h.probe").alias("led")))
+        led = some.where(F.col("n") <= leaders).withColumnRenamed("bucket", "at")
+        pairs = open_.join(led, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("own")) & agree("probe", "led")).select(*ordered()).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         fresh = cut(verified(pairs, sets, threshold))
-        if not fresh.isEmpty():
+        if fresh.count():
             links = links.union(fresh)
             labels = components(links)
-        if some.where(F.col("n") > leaders).isEmpty():
+        if some.where(F.col("n") > leaders).count() == 0:
             break
         tested = tested.union(pairs)
     named = reps.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
@@ -186,4 +213,4 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     gone = found.where("doc_id <> class_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return kept if twice.count() == 0 else kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
