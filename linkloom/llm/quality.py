@@ -95,7 +95,10 @@ def judge(docs: DataFrame, carry: list[str], base: tuple[Rule, ...] = BASE_RULES
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    return judge(docs.withColumn("_text", F.col("text")), ["_text", *[c for c in docs.columns if c != "text"]]).where("kept").withColumnRenamed("_text", "text").select(*docs.columns)
+    judged = judge(docs.withColumn("_text", F.col("text")), ["_text", *[c for c in docs.columns if c != "text"]])
+    # A filter is pushed below projections, where every measure would be worked out again at each mention; it stays above one that numbers rows.
+    numbered = judged.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where(F.col("kept") & (F.col("_row") >= 0)).withColumnRenamed("_text", "text").select(*docs.columns)
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words"]
