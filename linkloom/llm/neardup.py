@@ -5,11 +5,13 @@ shingle), so that the weights stay close to the sets that are verified. Each shi
 keeps its earliest arrival, and a shingle stops once its next arrival comes after the latest of all registers. Two
 texts agree in a register with the chance of their probability Jaccard. Bands of registers give buckets.
 
-Links are verified by the exact Jaccard similarity of the shingle sets, 0.8 or more. No bucket is expanded into
-pairs: at first each member is compared with one leader, the member that shares most buckets over all; buckets that still
+Links are verified by the exact Jaccard similarity of the shingle sets, 0.8 or more. Buckets are not expanded into
+pairs at once: at first each member is compared with one leader, the member that shares most buckets over all; buckets that still
 hold several classes then compare a leader of each class with the members of the others, four times as many leaders
-each round, until every class has led. A pair is compared only if its signatures agree in PROBED registers enough for
-that to be possible: at similarity 0.8 the least agreement lies more than five standard deviations below the mean.
+each round, until every class has led. What is left at last, the pairs of a bucket that are still in two classes and were
+not compared, is compared pair by pair, so that every pair of bucket mates is in one class or was compared. A pair
+is compared only if its signatures agree in PROBED registers enough for that to be possible: at similarity 0.8 the
+least agreement lies more than five standard deviations below the mean.
 Equal word sequences collapse to one node before all this.
 
 A document's class is the least doc_id of its connected component. Nulls count as empty texts; texts without words
@@ -163,6 +165,18 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(left, "a").join(right, "b").where((F.least(F.size("s"), F.size("t")) >= threshold * F.greatest(F.size("s"), F.size("t"))) & (both >= threshold * (F.size("s") + F.size("t") - both))).select("a", "b")
 
 
+def unmet(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every pair (node, head) of a bucket whose classes differ and that may be similar enough. One side of it is outside the
+    bucket's largest class, so a class of many members is not compared with itself."""
+    labelled = member.join(labels, "node", "left").select("bucket", "node", "probe", F.coalesce("label", "node").alias("label"))
+    counted = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("m.label").alias("most"))
+    open_ = cut(labelled.join(largest, "bucket"))
+    few = open_.where("label <> most").select(F.col("bucket").alias("at"), F.col("node").alias("head"), F.col("label").alias("own"), F.col("probe").alias("led"))
+    once = (F.col("label") == F.col("most")) | (F.col("node") < F.col("head"))
+    return open_.join(few, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("own")) & once & agree("probe", "led")).select("node", "head")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node and class_id of each row."""
     spark = docs.sparkSession
@@ -195,9 +209,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if fresh.count():
             links = links.union(fresh)
             labels = components(links)
+        tested = tested.union(pairs)
         if some.where(F.col("n") > leaders).count() == 0:
             break
-        tested = tested.union(pairs)
+    pairs = cut(unmet(member, labels).select(*ordered()).distinct().join(tested, ["a", "b"], "left_anti"))
+    fresh = cut(verified(pairs, sets, threshold))
+    if fresh.count():
+        labels = components(links.union(fresh))
     named = reps.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     return rows.select("doc_id", "node").join(named.join(least, "label").select("node", "class_id"), "node").select("doc_id", "node", "class_id")

@@ -285,6 +285,18 @@ def test_classes_match_brute_force(spark):
     assert got == label
 
 
+def test_bucket_mates_behind_their_leaders_are_compared(spark, monkeypatch):
+    """Links 0-1, 1-2 and 2-3; 0 and 3 lead their classes wherever 1 meets 2, and are too far from the other class."""
+    r = random.Random(9)
+    words = [f"w{r.randint(0, 10**9)}" for _ in range(127)]
+    docs = spark.createDataFrame([(k, " ".join(words[9 * k : 9 * k + 100])) for k in range(4)], "doc_id long, text string")
+    buckets = {0: [1, 2, 3], 1: [1, 2], 2: [1, 4], 3: [1, 3, 4]}
+    given = spark.createDataFrame(list(buckets.items()), "doc_id long, buckets array<long>")
+    signed = neardup.signed
+    monkeypatch.setattr(neardup, "signed", lambda d: signed(d).drop("buckets").join(given, "doc_id").select("doc_id", "node", "buckets", "probe"))
+    assert {x.class_id for x in neardup.classes(docs).collect()} == {0}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     r = np.random.default_rng(8)
     h = r.integers(1, 1 << 62, 300).astype(np.uint64)
