@@ -10,8 +10,7 @@ pairs at once: at first each member is compared with one leader, the member that
 hold several classes then compare a leader of each class with the members of the others, four times as many leaders
 each round, until every class has led. What is left at last, the pairs of a bucket that are still in two classes and were
 not compared, is compared pair by pair, so that every pair of bucket mates is in one class or was compared. A pair
-is compared only if its signatures agree in PROBED registers enough for that to be possible: at similarity 0.8 the
-least agreement lies more than five standard deviations below the mean.
+is compared only if the sizes and the parities of its sets allow the similarity; they rule out no pair that has it.
 Equal word sequences collapse to one node before all this.
 
 A document's class is the least doc_id of its connected component. Nulls count as empty texts; texts without words
@@ -34,8 +33,8 @@ from linkloom.llm.spark_util import components, cut
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Registers that are compared, a byte each, seven to a long; and how many must agree.
-PROBED, AGREE = 77, 42
+#: Bits of a set's parities.
+PARITY = 1024
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +61,11 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np
     return out_rows, out
 
 
+def shingle_keys(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Row and 32-bit hash of the distinct shingles of each row: the sets that are verified."""
+    return np.unique((rows.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
+
+
 def weighted(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each row and their counts."""
     if not len(rows):
@@ -100,20 +104,26 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
-def probes(signature: np.ndarray) -> np.ndarray:
-    """One byte of each of the first PROBED registers, seven to a long."""
-    low = (mix64(signature[:, :PROBED]) & np.uint64(255)).astype(np.int64).reshape(len(signature), -1, 7)
-    return (low << (8 * np.arange(7))).sum(axis=2)
+def parities(key: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row PARITY bits, sixty-four to a long: whether an odd number of its shingles falls on a bit; and how many
+    shingles it has. key: row and 32-bit hash of each distinct shingle. Two sets differ in as many elements as bits at least."""
+    row = (key >> np.uint64(32)).astype(np.int64)
+    slot = (mix64(key & np.uint64(0xFFFFFFFF)) % np.uint64(PARITY)).astype(np.int64)
+    out = np.zeros((n_rows, PARITY // 64), np.uint64)
+    np.bitwise_xor.at(out, (row, slot >> 6), np.uint64(1) << (slot & 63).astype(np.uint64))
+    return out.view(np.int64), np.bincount(row, minlength=n_rows)
 
 
-def agree(a: str, b: str) -> Column:
-    """Whether two probes agree in enough registers. A byte that differs sets its top bit below; the sum can't overflow."""
-    low, top = 0x7F7F7F7F7F7F7F, 0x80808080808080
-    differ = F.lit(0)
-    for i in range(PROBED // 7):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        differ = differ + F.bit_count((x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top)))
-    return differ <= PROBED - AGREE
+def agree(a: str, b: str, threshold: float = THRESHOLD) -> Column:
+    """False only if two sets cannot be similar enough. A probe is the size, then the parity bits. Of sets of m and n
+    elements that differ in d, the Jaccard similarity is (m + n - d) / (m + n + d)."""
+    m, n = F.col(a)[0], F.col(b)[0]
+    differ = F.greatest(m, n) - F.least(m, n)
+    bits = F.lit(0)
+    for i in range(1, PARITY // 64 + 1):
+        bits = bits + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+    least = lambda d: d * F.lit(1 + threshold) <= (m + n) * F.lit(1 - threshold) + F.lit(1e-6)
+    return least(differ) & least(bits)
 
 
 def nodes_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -132,7 +142,8 @@ def signed(docs: DataFrame) -> DataFrame:
                 n = batch.num_rows
                 signature = prob_minhash(*weighted(*(found := shingles(raw, offsets))), n)
                 bands = band_hashes(signature).view(np.int64)
-                probe = pa.FixedSizeListArray.from_arrays(pa.array(probes(signature).ravel()), PROBED // 7).cast(pa.list_(pa.int64()))
+                bits, sizes = parities(shingle_keys(*found), n)
+                probe = pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack([sizes, bits]).ravel()), PARITY // 64 + 1).cast(pa.list_(pa.int64()))
                 some = np.bincount(found[0], minlength=n)[:n] > 0
                 ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel()))
@@ -149,7 +160,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for batch in pieces(whole):
                 raw, offsets = utf8(batch.column("text"))
                 rows, h = shingles(raw, offsets)
-                key = np.unique((rows.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
+                key = shingle_keys(rows, h)
                 ends = np.concatenate([[0], np.cumsum(np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=batch.num_rows))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_of(raw, offsets)), lists], ["node", "shingles"])
@@ -165,7 +176,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(left, "a").join(right, "b").where((F.least(F.size("s"), F.size("t")) >= threshold * F.greatest(F.size("s"), F.size("t"))) & (both >= threshold * (F.size("s") + F.size("t") - both))).select("a", "b")
 
 
-def unmet(member: DataFrame, labels: DataFrame) -> DataFrame:
+def unmet(member: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every pair (node, head) of a bucket whose classes differ and that may be similar enough. One side of it is outside the
     bucket's largest class, so a class of many members is not compared with itself."""
     labelled = member.join(labels, "node", "left").select("bucket", "node", "probe", F.coalesce("label", "node").alias("label"))
@@ -174,7 +185,7 @@ def unmet(member: DataFrame, labels: DataFrame) -> DataFrame:
     open_ = cut(labelled.join(largest, "bucket"))
     few = open_.where("label <> most").select(F.col("bucket").alias("at"), F.col("node").alias("head"), F.col("label").alias("own"), F.col("probe").alias("led"))
     once = (F.col("label") == F.col("most")) | (F.col("node") < F.col("head"))
-    return open_.join(few, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("own")) & once & agree("probe", "led")).select("node", "head")
+    return open_.join(few, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("own")) & once & agree("probe", "led", threshold)).select("node", "head")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,7 +200,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     member = cut(member.join(info.select("node", "reach", "probe"), "node").select("bucket", "node", "reach", "probe"))
     first = member.groupBy("bucket").agg(F.max(F.struct("reach", "node", "probe")).alias("f")).select("bucket", F.col("f.node").alias("head"), F.col("f.probe").alias("led"))
     ordered = lambda: (F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
-    tested = pairs = cut(member.join(first, "bucket").where((F.col("node") != F.col("head")) & agree("probe", "led")).select(*ordered()).distinct())
+    tested = pairs = cut(member.join(first, "bucket").where((F.col("node") != F.col("head")) & agree("probe", "led", threshold)).select(*ordered()).distinct())
     wanted = info.select(F.col("rep").alias("doc_id")).distinct()
     sets = cut(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).join(info.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     links, leaders = cut(verified(pairs, sets, threshold)), 1
@@ -203,7 +214,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         ranked = heads.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("h"))))
         some = cut(ranked.where(F.col("n") <= leaders + 1).select("bucket", "n", F.col("label").alias("own"), F.col("h.node").alias("head"), F.col("h.probe").alias("led")))
         led = some.where(F.col("n") <= leaders).withColumnRenamed("bucket", "at")
-        pairs = open_.join(led, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("own")) & agree("probe", "led")).select(*ordered()).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = open_.join(led, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("own")) & agree("probe", "led", threshold)).select(*ordered()).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         fresh = cut(verified(pairs, sets, threshold))
         if fresh.count():
@@ -212,7 +223,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         tested = tested.union(pairs)
         if some.where(F.col("n") > leaders).count() == 0:
             break
-    pairs = cut(unmet(member, labels).select(*ordered()).distinct().join(tested, ["a", "b"], "left_anti"))
+    pairs = cut(unmet(member, labels, threshold).select(*ordered()).distinct().join(tested, ["a", "b"], "left_anti"))
     fresh = cut(verified(pairs, sets, threshold))
     if fresh.count():
         labels = components(links.union(fresh))

@@ -297,6 +297,32 @@ def test_bucket_mates_behind_their_leaders_are_compared(spark, monkeypatch):
     assert {x.class_id for x in neardup.classes(docs).collect()} == {0}
 
 
+def test_repeated_shingles_do_not_part_similar_sets(spark):
+    """Set Jaccard 0.85, but one text repeats much of itself, so that few registers of the signatures agree."""
+    docs = []
+    for k in range(20):
+        r = random.Random(k)
+        base = [f"w{r.randint(0, 10**9)}" for _ in range(300)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:100] * 60, *base[100:250], *(f"e{r.randint(0, 10**9)}" for _ in range(5)), *base[250:]]))]
+    # Every pair shares a bucket that the signatures alone would have to give: compared are the probes.
+    rows = {x.doc_id: x.probe for x in neardup.signed(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    pairs = spark.createDataFrame([(rows[2 * k], rows[2 * k + 1]) for k in range(20)], "a array<long>, b array<long>")
+    assert pairs.where(neardup.agree("a", "b")).count() == 20
+
+
+def test_probes_rule_out_no_similar_pair(spark):
+    r = np.random.default_rng(11)
+    rows = []
+    for _ in range(400):
+        n = int(r.integers(1, 400))
+        both, own, other = (r.integers(0, 1 << 32, k, dtype=np.uint64) for k in (n, int(r.integers(0, n // 3 + 1)), int(r.integers(0, n // 3 + 1))))
+        sets = [np.unique(np.concatenate([both, x])) for x in (own, other)]
+        probe = [[len(x), *neardup.parities(x, 1)[0][0].tolist()] for x in sets]
+        rows.append((*probe, len(np.intersect1d(*sets)) >= 0.8 * len(np.union1d(*sets))))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, similar boolean").withColumn("kept", neardup.agree("a", "b"))
+    assert got.where("similar and not kept").count() == 0 < got.where("not kept").count()
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     r = np.random.default_rng(8)
     h = r.integers(1, 1 << 62, 300).astype(np.uint64)
