@@ -1,14 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Lines that several documents hold link each later document to the first one that holds them, so a line in n
+Runs of lines that together have MIN_WORDS words or more (mostly a single line) and that several documents hold link each
+later document to the first one that holds them, so a run in n
 documents makes n - 1 links however frequent it is, and no pair within a group is made twice. Rare lines thus find the
-overlaps, and frequent ones cost no more. Each linked pair is aligned with patience diff over its line hashes, and
-the aligned common blocks of MIN_WORDS words or more leave the later document. A line of a first holder never leaves
+overlaps, and frequent ones cost no more. Each linked pair is aligned with patience diff over its line hashes, then
+what is left by the common runs of lines, wherever and however often they stand, and the aligned common blocks of MIN_WORDS words or more leave the later document. A line of a first holder never leaves
 it on account of a later one, so every text survives once.
 
 Later means a greater (doc_id, hash of the text); null ids come last. Equal rows count as one document and are treated
-alike. Lines end at `\\n`; only lines of MIN_WORDS words or more link documents, so blank and short lines go only
-inside a block. Nulls and empty texts hold no such lines and stay as they are. An empty table gives no rows.
+alike. Lines end at `\\n`; blank and short lines go only inside a block of MIN_WORDS words. Nulls and empty texts hold no such lines and stay as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkloom.llm.common import SPACE
+from linkloom.llm.common import SPACE, mix64
 from linkloom.llm.spark_util import cut
 
 MIN_WORDS = 5
@@ -71,9 +73,92 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def common_runs(later: list[int], earlier: list[int]) -> list[int]:
+    """For each place of `later`, the length of the longest run of lines that ends there and stands anywhere in `earlier`.
+    A suffix automaton of `earlier`: the work grows with the sum of the lengths, however often lines repeat."""
+    known = set(later)
+    step: list[dict[int, int]] = [{}]
+    link, longest, last = [-1], [0], 0
+    for h in earlier:
+        if h not in known:  # no run crosses it
+            h = -1
+        new, p = len(step), last
+        step.append({})
+        link.append(0)
+        longest.append(longest[last] + 1)
+        while p >= 0 and h not in step[p]:
+            step[p][h] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][h]
+            if longest[q] == longest[p] + 1:
+                link[new] = q
+            else:
+                twin = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                longest.append(longest[p] + 1)
+                while p >= 0 and step[p].get(h) == q:
+                    step[p][h] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+    out, state, n = [], 0, 0
+    for h in later:
+        while state > 0 and h not in step[state]:
+            state = link[state]
+            n = longest[state]
+        if h in step[state]:
+            state, n = step[state][h], n + 1
+        else:
+            state, n = 0, 0
+        out.append(n)
+    return out
+
+
 def removed_lines(later: list[int], words: list[int], earlier: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Places of the later document's lines that lie in an aligned block with enough words."""
-    return [i for s, _, n in patience_blocks(later, earlier) if sum(words[s : s + n]) >= min_words for i in range(s, s + n)]
+    """Places of the later document's lines that lie in an aligned block with enough words. Patience diff comes first; what it
+    leaves, lines that repeat or stand in another order, is aligned by the runs of lines that both documents hold."""
+    gone = {i for s, _, n in patience_blocks(later, earlier) if sum(words[s : s + n]) >= min_words for i in range(s, s + n)}
+    if len(gone) < len(later):
+        before = [0, *accumulate(words)]
+        done = len(later)  # lines from here on are settled by runs that end later
+        for end, n in reversed(list(enumerate(common_runs(later, earlier), 1))):
+            if before[end] - before[end - n] >= min_words:
+                gone.update(range(end - n, min(end, done)))
+                done = min(done, end - n)
+    return sorted(gone)
+
+
+def run_keys(h: np.ndarray, c: np.ndarray, words: np.ndarray, ends: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document and two hashes of each shortest run of lines that starts with a word and has min_words words. ends: the last
+    line + 1 of each document. Every common run with enough words holds such a run."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    start = np.flatnonzero(words > 0)
+    stop = np.searchsorted(total, total[start] + min_words, "left")
+    inside = stop <= ends[doc[start]]
+    start, stop = start[inside], stop[inside]
+    out = [doc[start]]
+    for values, odd in ((h.view(np.uint64), 0x9E3779B97F4A7C15), (c.astype(np.uint64), 0xD6E8FEB86659FD93)):
+        # A polynomial of the lines' hashes, by sums from the start; the run's place is divided out.
+        up, down = (np.cumprod(np.full(len(h) + 1, x, np.uint64)) for x in (odd, pow(odd, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values) * up[: len(h)], dtype=np.uint64)])
+        out.append(mix64((sums[stop] - sums[start]) * down[start]).view(np.int64))
+    return out[0], out[1], out[2]
+
+
+def held_runs(seqs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_id, _th and the two hashes of each run that links documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch[k].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "c", "w")]
+            doc, h, c = run_keys(*columns, np.cumsum(batch["h"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), min_words)
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch["_id"].take(at), batch["_th"].take(at), pa.array(h), pa.array(c)], ["_id", "_th", "h", "c"])
+
+    return seqs.select("_id", "_th", F.col("l.h").alias("h"), F.col("l.c").alias("c"), F.col("l.w").alias("w")).mapInArrow(run, "_id long, _th long, h long, c long").distinct()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -85,7 +170,7 @@ def alignments(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     word_count = lambda x: F.size(F.filter(F.split(x, SPACE, -1), lambda w: w != ""))
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.crc32(x.cast("binary")).alias("c"), word_count(x).alias("w")))
     seqs = cut(_keyed(docs.select("doc_id", "text").where("text is not null")).select("_id", "_th", lines.alias("l")))
-    held = seqs.select(F.struct("_id", "_th").alias("d"), F.explode("l").alias("l")).where(F.col("l.w") >= min_words).select("d", F.col("l.h").alias("h"), F.col("l.c").alias("c"))
+    held = held_runs(seqs, min_words).select(F.struct("_id", "_th").alias("d"), "h", "c")
     first = held.groupBy("h", "c").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("h", "c", "a")
     pairs = held.join(first, ["h", "c"]).where("d > a").select("d", "a").distinct()
     flat = seqs.dropDuplicates(["_id", "_th"]).select("_id", "_th", F.col("l.h").alias("h"), F.col("l.w").alias("w"))

@@ -214,6 +214,23 @@ def test_line_dedup_removes_from_the_later_document(spark, docs):
     assert linededup.stage_line_dedup(spark, docs, "").columns == docs.columns
 
 
+def test_line_dedup_finds_repeated_moved_and_short_lines(spark):
+    x, y, z = "one two three four five six", "seven eight nine ten eleven", "some lines of the first one"
+    rows = [(1, f"q\n{x}\n{y}\nr\n{x}\n{y}\n{z}\na b\n\nc d\ne f"), (2, f"s\n{x}\n{y}\nt"), (3, f"u\n{z}\nv\n{x}\nw\n{z}\nn"), (4, "k\na b\n\nc d\ne f\nm"), (5, "c d\ne f\na b")]
+    got = {r.doc_id: r._new for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "s\nt", 3: "u\nv\nw\nn", 4: "k\nm", 5: rows[4][1]}
+
+
+def test_removed_lines_are_those_of_all_common_runs():
+    r = random.Random(5)
+    for _ in range(400):
+        a, b = [r.randint(0, 4) for _ in range(r.randint(0, 14))], [r.randint(0, 4) for _ in range(r.randint(0, 14))]
+        w = [[0, 1, 2, 3, 6][x] for x in a]
+        runs = {tuple(b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1)}
+        want = {k for i in range(len(a)) for j in range(i + 1, len(a) + 1) if tuple(a[i:j]) in runs and sum(w[i:j]) >= 5 for k in range(i, j)}
+        assert linededup.removed_lines(a, w, b) == sorted(want)
+
+
 # --- 5 ---
 
 
