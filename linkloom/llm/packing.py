@@ -44,10 +44,15 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
-        added = set(Tokenizer.from_file(path).get_added_tokens_decoder())
+        tokens = Tokenizer.from_file(path).get_added_tokens_decoder()
+        if odd := [t.content for t in tokens.values() if t.lstrip or t.rstrip or t.single_word]:
+            raise ValueError(f"added tokens that take white space or whole words: {odd}")
+        added = set(tokens)
+        self.added = {t.content: i for i, t in tokens.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if tokens else lambda text: [text]
         shown = _byte_letters()
         ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if i not in added}
-        # The strings of special tokens in a text are ordinary text.
+        # Of a unit; encode_text takes the added tokens out before.
         self.tokenize = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.index: dict[str, int] = {}  # a word after a space
         self.first: dict[str, int] = {}  # a unit at the start of a text
@@ -72,6 +77,21 @@ class UnitEncoder:
         at.append(self._new(self.first, start, start) if i is None else i)
         return b"".join([ids[at[-1]], *[ids[i] for i in at[:-1]]]), np.array(at, np.int32)
 
+    def encode_text(self, text: str) -> tuple[bytes, np.ndarray]:
+        """As encode, with the ids of the added tokens: each part between them is encoded as a text of its own."""
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self.encode(text)
+        ids, units = [], []
+        for k, part in enumerate(parts):
+            if k % 2:
+                ids.append(self.added[part].to_bytes(4, "little"))
+            elif part:
+                b, u = self.encode(part)
+                ids.append(b)
+                units.append(u)
+        return b"".join(ids), np.concatenate([np.zeros(0, np.int32), *units])
+
     def rest(self) -> None:
         """Forgets the units if there are too many; unit numbers from before are void then."""
         if len(self.ids) > CACHE_UNITS:
@@ -172,7 +192,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, s
         encoder.rest()
         raw, words = [], []
         for t in texts:
-            b, w = encoder.encode(t)
+            b, w = encoder.encode_text(t)
             raw.append(b + END_ID.to_bytes(4, "little"))
             words.append(w)
         sizes = [len(b) // 4 for b in raw]

@@ -184,6 +184,16 @@ def test_units_give_the_tokenizers_ids(text):
     assert np.frombuffer(e.encode(text)[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_gives_the_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer())
+    texts = ["x <|endoftext|> a", "<|endoftext|>", "<|endoftext|><|endoftext|> b c", "a  <|endoftext|>\n d", "<|endoftext|", "plain text"]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.tokenizer()).collect()
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert {(r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in rows} == {(k, 0, len(i), len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for k, i in enumerate(ids)}
+
+
 def test_neighbours_share_rare_words():
     words = [np.array(w, np.int32) for w in ([1, 2, 3, 9], [4, 5, 6], [1, 2, 3, 8], [7])]
     b = packing.Bm25Block(words, 10)
