@@ -1,12 +1,13 @@
 """URL filters: written rules first, then gradient-boosted trees on lexical features.
 
-The trees learn from labelled URLs, here those that a rule decides. Features: lengths, depth, digit ratio, entropy,
-parameter counts, and statistics of host suffixes gathered over all labelled rows. The trees are fitted on at most
+The trees learn from labelled URLs, by default those that a rule decides. Features: lengths, depth, digit ratio, entropy,
+parameter counts, and statistics of host suffixes and path sections: the share of blocked rows, gathered over all labelled rows, of which a
+labelled row sees only the other folds. The trees are fitted on at most
 `TRAIN_ROWS` labelled rows, taken by hash order; that bound is a parameter. Everything else covers all rows.
 
-A null url, or one without `://`, has an empty host and path and is judged like any other. Repeated rows are judged
-one by one; an empty table gives no rows; other columns are not read. With labels of one kind only, that kind
-is the verdict; with none at all, everything is allowed.
+A null url, or one without `://`, has an empty host and path and is judged like any other, as is a url of any length. A null
+page_id is kept. Repeated rows are judged one by one; an empty table gives no rows; other columns are not read. With labels of one kind
+only, that kind is the verdict; with none at all, everything is allowed.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from linkloom.llm.spark_util import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the contract.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-TRAIN_ROWS = 20_000
-FEATURES = ("url_len", "host_len", "path_len", "query_len", "host_depth", "path_depth", "digits", "digit_ratio", "hyphens", "params", "has_fragment", "is_https", "entropy", "host_entropy", "suffix_rate", "site_rate", "last_len")
+TRAIN_ROWS = 8_000
+#: Folds of the statistics, and the weight, in rows, of the overall rate.
+FOLDS, SMOOTH = 5, 4.0
+KEYS = ("suffix", "site", "section")
+FEATURES = ("url_len", "host_len", "path_len", "query_len", "host_depth", "path_depth", "digits", "digit_ratio", "hyphens", "params", "has_fragment", "is_https", "entropy", "host_entropy", "last_len", "last_lead", "suffix_rate", "site_rate", "section_rate")
 
 
 def located(pages: DataFrame) -> DataFrame:
@@ -60,29 +66,43 @@ def entropy(text: Column) -> Column:
 
 
 def lexical(df: DataFrame) -> DataFrame:
-    """Adds the features that the URL alone gives, and the host's suffix and site."""
+    """Adds the features that the URL alone gives, the keys of its statistics and its fold."""
     url, host, path = F.col("url"), F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     digits = F.length(url) - F.length(F.regexp_replace(url, "[0-9]", ""))
+    last = F.regexp_extract(path, "([^/]+)/*$", 1)
     num = {
         "url_len": F.length(url), "host_len": F.length(host), "path_len": F.length(path), "query_len": F.length(query),
         "host_depth": F.size(F.split(host, r"\.")), "path_depth": F.size(F.split(path, "/")), "digits": digits, "digit_ratio": digits / F.greatest(F.length(url), F.lit(1)),
         "hyphens": F.length(host) - F.length(F.regexp_replace(host, "-", "")), "params": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))),
         "has_fragment": url.contains("#").cast("int"), "is_https": url.startswith("https://").cast("int"), "entropy": entropy(url), "host_entropy": entropy(host),
-        "last_len": F.length(F.substring_index(path, "/", -1)),
+        "last_len": F.length(last), "last_lead": F.ascii(last),
     }
-    return df.withColumns({k: v.cast("double") for k, v in num.items()} | {"suffix": F.substring_index(host, ".", -1), "site": F.substring_index(host, ".", -2)})
-
-
-def with_rates(df: DataFrame) -> DataFrame:
-    """Adds the smoothed share of blocked rows of each suffix and site, counted over all labelled rows. A row's own
-    label is left out of its rate, so that training sees what a new row would."""
-    bad = (F.col("ruled") == "block").cast("double")
-    labelled = df.where(F.col("ruled").isNotNull())
-    for key, name in (("suffix", "suffix_rate"), ("site", "site_rate")):
-        stats = labelled.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(bad).alias("_b"))
-        own, mine = F.when(F.col("ruled").isNotNull(), 1.0).otherwise(0.0), F.coalesce(bad, F.lit(0.0))
-        df = df.join(stats, key, "left").withColumn(name, (F.coalesce(F.col("_b"), F.lit(0.0)) - mine + 1.0) / (F.coalesce(F.col("_n"), F.lit(0.0)) - own + 2.0)).drop("_n", "_b")
+    return keys(df.withColumns({k: v.cast("double") for k, v in num.items()}))
+
+
+def keys(df: DataFrame) -> DataFrame:
+    """Adds the keys of the statistics: the host's last label, its last two, and the first part of the path; and the fold."""
+    return df.withColumns({"suffix": F.substring_index("host", ".", -1), "site": F.substring_index("host", ".", -2), "section": F.regexp_extract("path", "^/([^/]*)", 1), "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")})
+
+
+def statistics(df: DataFrame) -> DataFrame:
+    """For each key (kind, key): labelled rows and blocked rows of each fold, counted over all labelled rows; kind `all` has the sums.
+    Equal URLs fall into one fold."""
+    bad = (F.col("label") == "block").cast("double")
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in KEYS], F.struct(F.lit("all").alias("kind"), F.lit("").alias("key")))
+    cells = keys(df.where(F.col("label").isNotNull())).groupBy(*KEYS, "fold").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(bad).alias("b"))
+    folds = lambda c: [F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(0.0)) for i in range(FOLDS)]
+    return cells.withColumn("e", F.explode(each)).groupBy("e.kind", "e.key").agg(F.array(*folds("n")).alias("n"), F.array(*folds("b")).alias("b"))
+
+
+def with_rates(df: DataFrame, stats: DataFrame, overall: float) -> DataFrame:
+    """Adds to a frame with keys the share of blocked rows of its suffix, site and section, drawn towards `overall` where rows are few.
+    A labelled row's rate leaves its fold out, as if the row and those like it were new; so training sees what new rows see."""
+    for key in KEYS:
+        own = stats.where(F.col("kind") == key).select(F.col("key").alias(key), F.col("n").alias("_n"), F.col("b").alias("_b"))
+        others = lambda c: F.coalesce(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) - F.when(F.col("label").isNotNull(), F.get(c, F.col("fold"))).otherwise(0.0), F.lit(0.0))
+        df = df.join(own, key, "left").withColumn(f"{key}_rate", (others("_b") + SMOOTH * overall) / (others("_n") + SMOOTH)).drop("_n", "_b")
     return df
 
 
@@ -147,25 +167,32 @@ def fit_trees(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 3, r
     return Trees(start, *(np.array(v) for v in zip(*trees, strict=True)))
 
 
-def train(df: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """Fits the trees on at most `rows` labelled rows of a frame with features."""
-    labelled = df.where(F.col("ruled").isNotNull()).withColumn("_h", F.xxhash64("url", "page_id").bitwiseAND(F.lit((1 << 63) - 1)))
-    share = min(1.0, 1.2 * rows / max(1, labelled.count()))  # so that no task sends much more than its part of the sample
-    picked = labelled.where(F.col("_h") <= F.lit(min(int(share * 2.0**63), (1 << 63) - 1))).orderBy("_h").limit(rows).select((F.col("ruled") == "block").cast("double").alias("y"), *FEATURES).toPandas()
-    return fit_trees(picked[list(FEATURES)].to_numpy(float), picked["y"].to_numpy(float))
+def train(labelled: DataFrame, stats: DataFrame, n_labelled: float, overall: float, rows: int = TRAIN_ROWS) -> Trees:
+    """Fits the trees on at most `rows` labelled rows, those of the least hashes; features are worked out for these alone."""
+    hashed = labelled.withColumn("_h", F.xxhash64("url", "page_id").bitwiseAND(F.lit((1 << 63) - 1)))
+    share = min(1.0, 1.2 * rows / max(1.0, n_labelled))  # so that no task sends much more than its part of the sample
+    picked = hashed.where(F.col("_h") <= F.lit(min(int(share * 2.0**63), (1 << 63) - 1))).orderBy("_h").limit(rows)
+    found = with_rates(lexical(picked), stats, overall).select("_h", (F.col("label") == "block").alias("y"), *[F.col(c).cast("float").alias(c) for c in FEATURES]).toPandas().sort_values("_h")
+    return fit_trees(found[list(FEATURES)].to_numpy(float), found["y"].to_numpy(float))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, rows: int = TRAIN_ROWS) -> DataFrame:
-    df = with_rates(lexical(ruled(located(pages), rules)))
-    trees = train(df, rows)
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, rows: int = TRAIN_ROWS, label: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and p_block of each row. label: "block" or "allow", null where unknown; by default what the
+    rules say. It is an expression over page_id, url, host, path and `ruled`, the verdict of the rules."""
+    known = ruled(located(pages), rules).withColumn("label", F.col("ruled") if label is None else label)
+    stats = cut(statistics(known))
+    total = stats.where("kind = 'all'").select(F.aggregate("n", F.lit(0.0), lambda a, x: a + x).alias("n"), F.aggregate("b", F.lit(0.0), lambda a, x: a + x).alias("b")).first()
+    n, overall = (total["n"], total["b"] / total["n"]) if total else (0.0, 0.0)
+    trees = train(known.where(F.col("label").isNotNull()), stats, n, overall, rows)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series(1 / (1 + np.exp(-trees.log_odds(np.stack([c.to_numpy(float) for c in part], axis=1)))))
+            yield pd.Series(1 / (1 + np.exp(-trees.log_odds(np.stack([c.to_numpy(np.float32) for c in part], axis=1).astype(float)))))
 
+    df = with_rates(lexical(known), stats, overall)
     return df.withColumn("p_block", score(*FEATURES)).withColumn("verdict", F.coalesce(F.col("ruled"), F.when(F.col("p_block") > 0.5, "block").otherwise("allow"))).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
