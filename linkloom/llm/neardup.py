@@ -5,17 +5,16 @@ shingle), so that the weights stay close to the sets that are verified. Each shi
 keeps its earliest arrival, and a shingle stops once its next arrival comes after the latest of all registers. Two
 texts agree in a register with the chance of their probability Jaccard. Bands of registers give buckets.
 
-Links are verified by the exact Jaccard similarity of the shingle sets, 0.8 or more. Buckets are not expanded into
-pairs at once: at first each member is compared with one leader, the member that shares most buckets over all; buckets that still
-hold several classes then compare a leader of each class with the members of the others, four times as many leaders
-each round, until every class has led. What is left at last, the pairs of a bucket that are still in two classes and were
-not compared, is compared pair by pair, so that every pair of bucket mates is in one class or was compared. A pair
-is compared only if the sizes and the parities of its sets allow the similarity; they rule out no pair that has it.
-Equal word sequences collapse to one node before all this.
-
-A document's class is the least doc_id of its connected component. Nulls count as empty texts; texts without words
-form one class. Rows with a null id get the class of their text's other rows. Ties don't matter: equal rows share
-a class. Words are runs other than ASCII white space, A-Z lower-cased. An empty table gives no rows.
+Links are verified by the exact Jaccard similarity of the shingle sets, 0.8 or more. Buckets are never expanded into
+pairs. At first each member is compared with one leader, the member that shares most buckets over all. What then still lies
+in one bucket and in two classes is compared in units of bounded size: by sizes and parities of the sets, which rule out no similar pair, and,
+for the members that these leave in doubt, by the sets themselves. A unit sends on only links that join classes, fewer than it has
+members. So every pair of bucket mates is in one class or was compared. Equal word sequences collapse to one node before all this.
+
+A document's class is the least doc_id of its connected component, null if no row of it has an id. Nulls count as empty texts; texts
+without words form one class. Rows with a null id take part like others. Rows that share an id but not the text are told apart by the
+text. Ties don't matter: equal rows share a class. Words are runs other than ASCII white space, A-Z lower-cased. Texts are read whole,
+however long; a worker holds a few of them at a time. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from linkloom.llm.common import lower_ascii, mix64, utf8, word_hashes, word_spans
 from linkloom.llm.licenses import pieces
@@ -35,6 +34,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Bits of a set's parities.
 PARITY = 1024
+#: Most members, and bytes of their sets, that one side of a unit holds on average.
+UNIT_ROWS, UNIT_BYTES = 1024, 8 << 20
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -114,16 +115,19 @@ def parities(key: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), np.bincount(row, minlength=n_rows)
 
 
+def fits(n: np.ndarray, m: np.ndarray, differ: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """False only where sets of n and m elements that differ in `differ` elements at least cannot be similar enough: the Jaccard
+    similarity is (n + m - d) / (n + m + d) for sets that differ in d."""
+    return np.maximum(differ, np.abs(n - m)) * (1 + threshold) <= (n + m) * (1 - threshold) + 1e-6
+
+
 def agree(a: str, b: str, threshold: float = THRESHOLD) -> Column:
-    """False only if two sets cannot be similar enough. A probe is the size, then the parity bits. Of sets of m and n
-    elements that differ in d, the Jaccard similarity is (m + n - d) / (m + n + d)."""
+    """`fits` of two probes (the size, then the parity bits) as a column."""
     m, n = F.col(a)[0], F.col(b)[0]
-    differ = F.greatest(m, n) - F.least(m, n)
     bits = F.lit(0)
     for i in range(1, PARITY // 64 + 1):
         bits = bits + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    least = lambda d: d * F.lit(1 + threshold) <= (m + n) * F.lit(1 - threshold) + F.lit(1e-6)
-    return least(differ) & least(bits)
+    return F.greatest(bits, F.greatest(m, n) - F.least(m, n)) * F.lit(1 + threshold) <= (m + n) * F.lit(1 - threshold) + F.lit(1e-6)
 
 
 def nodes_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -132,8 +136,13 @@ def nodes_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(b" ".join(lowered[a:b].split()), digest_size=8).digest(), "little", signed=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and th, which with the id names a row but for its exact repeats."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node, the buckets (band hashes) and the probe of each row; rows without words have no buckets."""
+    """doc_id, th, node, the buckets (band hashes) and the probe of each row; rows without words have no buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -147,9 +156,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 some = np.bincount(found[0], minlength=n)[:n] > 0
                 ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes_of(raw, offsets)), lists, probe], ["doc_id", "node", "buckets", "probe"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(nodes_of(raw, offsets)), lists, probe], ["doc_id", "th", "node", "buckets", "probe"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, buckets array<long>, probe array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, th long, node long, buckets array<long>, probe array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -176,21 +185,107 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(left, "a").join(right, "b").where((F.least(F.size("s"), F.size("t")) >= threshold * F.greatest(F.size("s"), F.size("t"))) & (both >= threshold * (F.size("s") + F.size("t") - both))).select("a", "b")
 
 
-def unmet(member: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair (node, head) of a bucket whose classes differ and that may be similar enough. One side of it is outside the
-    bucket's largest class, so a class of many members is not compared with itself."""
-    labelled = member.join(labels, "node", "left").select("bucket", "node", "probe", F.coalesce("label", "node").alias("label"))
-    counted = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("m.label").alias("most"))
-    open_ = cut(labelled.join(largest, "bucket"))
-    few = open_.where("label <> most").select(F.col("bucket").alias("at"), F.col("node").alias("head"), F.col("label").alias("own"), F.col("probe").alias("led"))
-    once = (F.col("label") == F.col("most")) | (F.col("node") < F.col("head"))
-    return open_.join(few, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("own")) & once & agree("probe", "led", threshold)).select("node", "head")
+def in_units(member: DataFrame, unit_rows: int = UNIT_ROWS, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+    """Deals the members of each bucket that holds several classes into units (bucket, x, y) of bounded rows and bytes. A unit
+    compares some members outside the bucket's largest class (own) with some of all members (all), so that over the units of a
+    bucket every pair of different classes is compared and the largest class never meets itself. member: bucket, node, label,
+    and whatever a unit needs, of `weight` bytes."""
+    counted = member.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    whole = counted.groupBy("bucket").agg(F.max(F.struct("n", "label", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w")).where(F.col("n") > F.col("m.n"))
+    parts = lambda n, w: F.greatest(F.ceil(n / F.lit(unit_rows)), F.ceil(w / F.lit(unit_bytes)), F.lit(1)).cast("int")
+    split = whole.select("bucket", F.col("m.label").alias("most"), parts(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("nx"), parts(F.col("n"), F.col("w")).alias("ny"))
+    outside = F.col("label") != F.col("most")
+    at = member.join(split, "bucket").withColumn("few", outside).withColumn("fx", F.pmod(F.xxhash64("node"), F.col("nx")).cast("int")).withColumn("fy", F.pmod(F.xxhash64("node", F.lit(1)), F.col("ny")).cast("int"))
+    column = F.transform(F.sequence(F.lit(0), F.col("nx") - 1), lambda x: F.struct(x.alias("x"), F.col("fy").alias("y")))
+    row = F.transform(F.sequence(F.lit(0), F.col("ny") - 1), lambda y: F.struct(F.col("fx").alias("x"), y.alias("y")))
+    dealt = at.withColumn("u", F.explode(F.when(F.col("few"), F.array_union(row, column)).otherwise(column)))
+    return dealt.select("bucket", F.col("u.x").alias("x"), F.col("u.y").alias("y"), "few", (F.col("few") & (F.col("u.x") == F.col("fx"))).alias("own"), (F.col("u.y") == F.col("fy")).alias("all"), *[c for c in member.columns if c not in ("bucket", "weight")])
+
+
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units of a sorted partition, one by one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        whole = pa.concat_batches([*held, batch]) if held else batch
+        k = [whole.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "x", "y")]
+        cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in k], axis=0)) + 1).tolist() if whole.num_rows else []
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            yield whole.slice(a, b - a)
+        held = [whole.slice(cuts[-1] if cuts else 0)]
+    if held and held[0].num_rows:
+        yield held[0]
+
+
+def possible(node: np.ndarray, label: np.ndarray, few: np.ndarray, own: np.ndarray, every: np.ndarray, sizes: np.ndarray, bits: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i, j) and the differing parity bits of a unit's pairs of different classes that may be similar enough."""
+    left, right = np.flatnonzero(own), np.flatnonzero(every)
+    step = max(1, (1 << 16) // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        i = left[lo : lo + step]
+        differ = np.bitwise_count(bits[i][:, None] ^ bits[right][None]).sum(axis=2, dtype=np.int64)
+        new = (label[i][:, None] != label[right][None]) & (~few[right][None] | (node[i][:, None] < node[right][None]))
+        p, q = np.nonzero(new & fits(sizes[i][:, None], sizes[right][None], differ, threshold))
+        yield i[p], right[q], differ[p, q]
+
+
+def _flags(unit: pa.RecordBatch) -> list[np.ndarray]:
+    return [unit.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "few", "own", "all")]
+
+
+def unsettled(member: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The (bucket, node) that by their probes may be similar enough to a bucket mate of another class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches):
+            node, label, few, own, every = _flags(unit)
+            probe = unit.column("probe").flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+            some = np.zeros(len(node), bool)
+            for i, j, _ in possible(node, label, few, own, every, probe[:, 0], probe[:, 1:].view(np.uint64), threshold):
+                some[i] = some[j] = True
+            if some.any():
+                yield pa.RecordBatch.from_arrays([unit.column("bucket").filter(pa.array(some)), pa.array(node[some])], ["bucket", "node"])
+
+    dealt = in_units(member.withColumn("weight", F.lit(8 * (PARITY // 64 + 1))))
+    return dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "bucket long, node long").distinct()
+
+
+def joined_classes(member: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) between the classes of each bucket, verified by their sets: all that join two classes of a unit that earlier
+    links of the unit leave apart, and no others, so that a unit gives fewer links than it has members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches):
+            node, label, few, own, every = _flags(unit)
+            sets = unit.column("shingles")
+            flat, ends = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+            bits, sizes = parities((np.repeat(np.arange(len(node), dtype=np.uint64), np.diff(ends)) << np.uint64(32)) | flat, len(node))
+            above: dict[int, int] = {}
+
+            def top(c: int, above: dict[int, int] = above) -> int:
+                while (up := above.get(c, c)) != c:
+                    above[c] = above.get(up, up)
+                    c = up
+                return c
+
+            found = []
+            for i, j, differ in possible(node, label, few, own, every, sizes, bits.view(np.uint64), threshold):
+                for k in np.argsort(differ, kind="stable").tolist():
+                    p, q = int(i[k]), int(j[k])
+                    a, b = top(int(label[p])), top(int(label[q]))
+                    if a != b:
+                        both = len(np.intersect1d(flat[ends[p] : ends[p + 1]], flat[ends[q] : ends[q + 1]], assume_unique=True))
+                        if both >= threshold * (sizes[p] + sizes[q] - both):
+                            above[a] = b
+                            found.append((int(node[p]), int(node[q])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    dealt = in_units(member.withColumn("weight", 4 * F.size("shingles")))
+    return dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node and class_id of each row."""
-    spark = docs.sparkSession
+    """doc_id, th, node, class_node and class_id of each row. class_node is the least node of the class."""
     rows = cut(signed(docs))
     reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"), F.first("probe").alias("probe"))
     member = reps.select("node", F.explode("buckets").alias("bucket"))
@@ -199,37 +294,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     info = cut(member.groupBy("node").agg(F.sum("n").alias("reach")).join(reps.select("node", "rep", "probe"), "node"))
     member = cut(member.join(info.select("node", "reach", "probe"), "node").select("bucket", "node", "reach", "probe"))
     first = member.groupBy("bucket").agg(F.max(F.struct("reach", "node", "probe")).alias("f")).select("bucket", F.col("f.node").alias("head"), F.col("f.probe").alias("led"))
-    ordered = lambda: (F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
-    tested = pairs = cut(member.join(first, "bucket").where((F.col("node") != F.col("head")) & agree("probe", "led", threshold)).select(*ordered()).distinct())
-    wanted = info.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).join(info.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    links, leaders = cut(verified(pairs, sets, threshold)), 1
+    pairs = cut(member.join(first, "bucket").where((F.col("node") != F.col("head")) & agree("probe", "led", threshold)).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct())
+    # Texts of nodes that share a bucket: by the least id of a node; those without any id are looked at one and all.
+    wanted = info.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+    named = keyed(docs).where("doc_id is not null").join(wanted, "doc_id", "left_semi").select("text")
+    unnamed = keyed(docs).where("doc_id is null").select("text")
+    sets = cut(shingle_sets(named.union(unnamed)).join(info.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    links = cut(verified(pairs, sets, threshold))
     labels = components(links)
-    while True:
-        leaders *= 4
-        labelled = member.join(labels, "node", "left").select("bucket", "node", "reach", "probe", F.coalesce("label", "node").alias("label"))
-        split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = cut(labelled.join(split, "bucket", "left_semi"))
-        heads = open_.groupBy("bucket", "label").agg(F.max(F.struct("reach", "node", "probe")).alias("h"))
-        ranked = heads.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("h"))))
-        some = cut(ranked.where(F.col("n") <= leaders + 1).select("bucket", "n", F.col("label").alias("own"), F.col("h.node").alias("head"), F.col("h.probe").alias("led")))
-        led = some.where(F.col("n") <= leaders).withColumnRenamed("bucket", "at")
-        pairs = open_.join(led, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("own")) & agree("probe", "led", threshold)).select(*ordered()).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        fresh = cut(verified(pairs, sets, threshold))
-        if fresh.count():
-            links = links.union(fresh)
-            labels = components(links)
-        tested = tested.union(pairs)
-        if some.where(F.col("n") > leaders).count() == 0:
-            break
-    pairs = cut(unmet(member, labels, threshold).select(*ordered()).distinct().join(tested, ["a", "b"], "left_anti"))
-    fresh = cut(verified(pairs, sets, threshold))
-    if fresh.count():
+    labelled = cut(member.join(labels, "node", "left").select("bucket", "node", "probe", F.coalesce("label", "node").alias("label")))
+    doubtful = cut(unsettled(labelled, threshold))
+    fresh = cut(joined_classes(labelled.drop("probe").join(doubtful, ["bucket", "node"], "left_semi").join(sets, "node"), threshold))
+    if not fresh.isEmpty():
         labels = components(links.union(fresh))
-    named = reps.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    return rows.select("doc_id", "node").join(named.join(least, "label").select("node", "class_id"), "node").select("doc_id", "node", "class_id")
+    least = labels.join(reps.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
+    linked = labels.join(least, "label").select("node", F.col("label").alias("class_node"), "class_id")
+    own = reps.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("class_node", "node").alias("class_node"), F.coalesce("class_id", "rep").alias("class_id"))
+    return rows.select("doc_id", "th", "node").join(own, "node").select("doc_id", "th", "node", "class_node", "class_id")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,9 +318,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays, that of the least id. Rows without an id stay."""
-    found = cut(classes(docs))
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1")
-    return kept if twice.count() == 0 else kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    """One row of each class stays: that of the least id, nulls last, and among its rows the one whose text has the least hash. Rows
+    that repeat it wholly in id and text go too. The other columns are carried, whatever their names."""
+    found = cut(classes(docs).groupBy("doc_id", "th", "class_node").agg(F.count(F.lit(1)).alias("n")))
+    kept = found.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "n")).alias("k")).select(F.col("k.doc_id").alias("kd"), F.col("k.th").alias("kt"), F.col("k.n").alias("kn"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("rd"), F.xxhash64("text").alias("rt"))
+    same = lambda: F.col("rd").eqNullSafe(F.col("kd")) & (F.col("rt") == F.col("kt"))
+    once = rows.join(kept.where("kn = 1"), same(), "left_semi")
+    if not (again := cut(kept.where("kn > 1"))).isEmpty():
+        once = once.union(rows.join(again, same(), "left_semi").dropDuplicates(["rd", "rt"]))
+    return once.select("row.*")

@@ -3,14 +3,17 @@
 import hashlib
 import itertools
 import math
+import os
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from linkloom.llm import ctw, fingerprints, licenses, linededup, neardup, packing, quality, sentencepiece_bpe, sharding, urls
+from linkloom.llm import ctw, fingerprints, licenses, linededup, neardup, packing, quality, sentencepiece_bpe, sharding, spark_util, urls
 
 WORDS = ["the", "of", "and", "Alpha", "beta", "gamma", "delta", "é", "señor", "zeta,", "eta.", "theta", "iota", "kappa", "to", "in"]
 
@@ -320,7 +323,7 @@ def test_bucket_mates_behind_their_leaders_are_compared(spark, monkeypatch):
     buckets = {0: [1, 2, 3], 1: [1, 2], 2: [1, 4], 3: [1, 3, 4]}
     given = spark.createDataFrame(list(buckets.items()), "doc_id long, buckets array<long>")
     signed = neardup.signed
-    monkeypatch.setattr(neardup, "signed", lambda d: signed(d).drop("buckets").join(given, "doc_id").select("doc_id", "node", "buckets", "probe"))
+    monkeypatch.setattr(neardup, "signed", lambda d: signed(d).drop("buckets").join(given, "doc_id").select("doc_id", "th", "node", "buckets", "probe"))
     assert {x.class_id for x in neardup.classes(docs).collect()} == {0}
 
 
@@ -361,6 +364,100 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert (s[0] == s[1]).mean() == pytest.approx(true, abs=0.03)
 
 
+def brute_classes(rows: list[tuple]) -> list[int]:
+    """A number for each row, equal where an inverted index of shingles finds a chain of similar sets."""
+    sets, lists = [], {}
+    for _, t, *_ in rows:
+        w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else {()})
+    above = list(range(len(rows)))
+
+    def top(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in lists.get(x, ()))
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                above[max(top(i), top(j))] = min(top(i), top(j))
+        for x in s:
+            lists.setdefault(x, []).append(i)
+    return [top(i) for i in range(len(rows))]
+
+
+def test_classes_of_a_whole_table_match_brute_force(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    top = brute_classes(rows)
+    least = {}
+    for (i, _), c in zip(rows, top, strict=True):
+        least[c] = min(least.get(c, i), i)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == {i: least[c] for (i, _), c in zip(rows, top, strict=True)}
+
+
+@pytest.mark.parametrize("unit_rows", [3, 1024])
+def test_a_large_bucket_of_borderline_copies_is_dealt_into_units(spark, monkeypatch, unit_rows):
+    """One bucket of 60 versions whose similarities lie around the threshold: leaders settle little."""
+    monkeypatch.setattr(neardup.in_units, "__defaults__", (unit_rows, 8 << 20))
+    r = random.Random(12)
+    base = [f"w{r.randint(0, 10**9)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for k in r.sample(range(120), 3 if i % 3 else 2):
+            copy[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = neardup.signed
+    monkeypatch.setattr(neardup, "signed", lambda d: signed(d).withColumn("buckets", F.array(F.lit(1).cast("long"))))
+    got = {x.doc_id: x.class_id for x in neardup.classes(frame).collect()}
+    assert got == dict(enumerate(brute_classes(rows))) and 1 < len(set(got.values())) < 60
+
+
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(13)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 200 + i) for i in range(50)] + [(r.randint(300, 360), r.randint(300, 360)) for _ in range(40)] + [(i, i - 1) for i in range(600, 560, -1)]
+    got = {x.node: x.label for x in spark_util.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(100):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
+def test_null_and_repeated_ids(spark):
+    text = prose(70, 60)
+    rows = [(1, text), (None, text + " more"), (None, None), (None, ""), (5, prose(71, 60)), (5, prose(72, 60)), (3, prose(72, 60) + " z"), (3, prose(72, 60) + " z"), (None, prose(73, 60)), (None, prose(73, 60) + " y")]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    got = Counter((x.doc_id, x.class_id) for x in neardup.classes(frame).collect())
+    assert got == Counter([(1, 1), (None, 1), (None, None), (None, None), (5, 5), (5, 3), (3, 3), (3, 3), (None, None), (None, None)])
+    kept = [x.k for x in neardup.stage_near_duplicates(spark, frame, "").collect()]
+    assert len(kept) == 5 and {0, 4} <= set(kept) and len({2, 3} & set(kept)) == len({6, 7} & set(kept)) == len({8, 9} & set(kept)) == 1
+
+
+CLASHES = ["row", "rd", "rt", "th", "node", "class_id", "k", "_text", "_w", "n_words", "kept", "_gone", "_id", "_th", "_new", "_row", "_mark", "value", "a.b", "n"]
+
+
+@pytest.mark.parametrize("stage", [quality.stage_quality, linededup.stage_line_dedup, neardup.stage_near_duplicates], ids=["quality", "lines", "near"])
+def test_stages_carry_columns_of_any_name(spark, stage):
+    line = "the first of all the lines to be found in this and in that"
+    rows = [(i, f"{prose(200 + i, 80)}\n{line if i < 9 else ''}") for i in range(10)] + [(None, prose(210, 70)), (11, None), (12, ""), (13, prose(200, 80) + " the end")]
+    frame = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in CLASHES]) for r in rows], ", ".join(["doc_id long, text string", *[f"`{c}` string" for c in CLASHES]]))
+    got = stage(spark, frame, "")
+    assert got.columns == frame.columns
+    found = got.collect()
+    assert found and all(tuple(x)[2:] == tuple(f"{c}{x.doc_id}" for c in CLASHES) for x in found)
+    assert sorted(x.doc_id or -1 for x in found) == sorted(x.doc_id or -1 for x in stage(spark, frame.select("doc_id", "text"), "").collect())
+    assert stage(spark, frame.limit(0), "").count() == 0
+
+
 def test_stage_keeps_one_of_each_class(spark, docs):
     kept = neardup.stage_near_duplicates(spark, docs, "")
     ids = [r.doc_id for r in kept.collect()]
@@ -371,8 +468,6 @@ def test_stage_keeps_one_of_each_class(spark, docs):
 
 
 def brute_measures(text: str) -> tuple:
-    import re
-
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -401,6 +496,42 @@ def test_url_rules_and_trees(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and verdict in (None, r.verdict)
 
 
+def test_trees_judge_hidden_labels(spark, monkeypatch):
+    """A quarter of the URLs that a rule decides hide their labels: the trees must find them, by several features."""
+    path = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    fitted, fit = [], urls.fit_trees
+    monkeypatch.setattr(urls, "fit_trees", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    pages = spark.read.parquet(path)
+    hidden = F.pmod(F.crc32("url"), F.lit(4)) == 0
+    truth = {r.page_id: r.ruled for r in urls.ruled(urls.located(pages)).where(hidden & F.col("ruled").isNotNull()).collect()}
+    got = {r.page_id: r.p_block for r in urls.judge_urls(pages, label=F.when(~hidden, F.col("ruled"))).collect()}
+    bad, good = (np.array([got[i] for i, v in truth.items() if v == kind]) for kind in ("block", "allow"))
+    assert len(bad) > 30 and (bad[:, None] > good[None]).mean() > 0.95
+    assert (bad > 0.5).mean() > 0.9 and (good <= 0.5).mean() > 0.95
+    t = fitted[0]
+    assert len(set(t.feature[np.isfinite(t.cut)].tolist())) >= 3
+
+
+def test_rates_leave_out_the_rows_fold(spark):
+    rows = [(i, f"http://h{i % 3}.s{i % 2}.com/{'de' if i % 4 else 'fr'}/{i}") for i in range(40)]
+    known = urls.ruled(urls.located(spark.createDataFrame(rows, "page_id long, url string"))).withColumn("label", F.when(F.col("page_id") % 5 != 0, F.col("ruled")))
+    got = urls.with_rates(urls.keys(known), urls.statistics(known), 0.25).collect()
+    for key in urls.KEYS:
+        for r in got:
+            other = [x.label == "block" for x in got if x.label is not None and x[key] == r[key] and (r.label is None or x.fold != r.fold)]
+            assert r[f"{key}_rate"] == pytest.approx((sum(other) + urls.SMOOTH * 0.25) / (len(other) + urls.SMOOTH))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (None, None), (2, "")], [(1, "http://a.com/de/"), (1, "http://a.com/de/"), (None, "x" * 100_000), (3, "http://b.net/" + "a/" * 50_000)]], ids=["empty", "null", "long"])
+def test_odd_urls(spark, rows):
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, host string, fold string")
+    got = urls.judge_urls(frame).collect()
+    assert Counter(r.page_id for r in got) == Counter(i for i, _ in rows) and all(r.verdict in ("allow", "block") for r in got)
+    assert rows[:1] != [(1, None)] or {r.verdict for r in got} == {"allow"}
+
+
 def test_trees_learn():
     r = np.random.default_rng(9)
     x = r.random((4000, 3))
