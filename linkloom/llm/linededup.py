@@ -4,11 +4,15 @@ Runs of lines that together have MIN_WORDS words or more (mostly a single line)
 later document to the first one that holds them, so a run in n
 documents makes n - 1 links however frequent it is, and no pair within a group is made twice. Rare lines thus find the
 overlaps, and frequent ones cost no more. Each linked pair is aligned with patience diff over its line hashes, then
-what is left by the common runs of lines, wherever and however often they stand, and the aligned common blocks of MIN_WORDS words or more leave the later document. A line of a first holder never leaves
+what is left by the common runs of lines, wherever and however often they stand, and the aligned common blocks of MIN_WORDS words or more leave the later document. No link is lost
+by taking first holders alone: every line with words of a block that a document has in common with any earlier one lies in a run that the first
+holder of that run has too. (Blank lines at the ends of a block go only if the first holder has them.) A line of a first holder never leaves
 it on account of a later one, so every text survives once.
 
 Later means a greater (doc_id, hash of the text); null ids come last. Equal rows count as one document and are treated
-alike. Lines end at `\\n`; blank and short lines go only inside a block of MIN_WORDS words. Nulls and empty texts hold no such lines and stay as they are. An empty table gives no rows.
+alike; rows with one id and different texts are two documents. Lines end at `\\n`; blank and short lines go only inside a block of
+MIN_WORDS words. Nulls and empty texts hold no such lines and stay as they are. Texts are read whole, however long: a task holds the line hashes
+of the pairs of one Arrow batch. Ties don't occur, since the hash orders rows of one id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -131,14 +135,19 @@ def removed_lines(later: list[int], words: list[int], earlier: list[int], min_wo
 
 
 def run_keys(h: np.ndarray, c: np.ndarray, words: np.ndarray, ends: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document and two hashes of each shortest run of lines that starts with a word and has min_words words. ends: the last
-    line + 1 of each document. Every common run with enough words holds such a run."""
+    """Document and two hashes of each shortest run of lines with min_words words or more that starts, or that ends, with a line that has
+    words. ends: the last line + 1 of each document. Every line with words of a common run that has enough words lies in such a
+    run that is common too: the one that ends or the one that starts with it, or else the one that starts the common run."""
     total = np.concatenate([[0], np.cumsum(words)])
     doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    start = np.flatnonzero(words > 0)
-    stop = np.searchsorted(total, total[start] + min_words, "left")
-    inside = stop <= ends[doc[start]]
-    start, stop = start[inside], stop[inside]
+    line = np.flatnonzero(words > 0)
+    stop = np.searchsorted(total, total[line] + min_words, "left")
+    inside = stop <= ends[doc[line]]
+    back = np.searchsorted(total, total[line + 1] - min_words, "right") - 1
+    # Single lines were found forwards.
+    other = (total[line + 1] >= min_words) & (words[line] < min_words)
+    other &= back >= np.concatenate([[0], ends])[doc[line]]
+    start, stop = np.concatenate([line[inside], back[other]]), np.concatenate([stop[inside], line[other] + 1])
     out = [doc[start]]
     for values, odd in ((h.view(np.uint64), 0x9E3779B97F4A7C15), (c.astype(np.uint64), 0xD6E8FEB86659FD93)):
         # A polynomial of the lines' hashes, by sums from the start; the run's place is divided out.
@@ -162,16 +171,18 @@ def held_runs(seqs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_th", F.xxhash64("text"))
+    """The rows, each in a struct so that no name of theirs can clash, with what names a row but for its exact repeats."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").alias("t"))
 
 
 def alignments(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _th, the places of lines to remove and the earlier documents' ids, for documents that lose some."""
     word_count = lambda x: F.size(F.filter(F.split(x, SPACE, -1), lambda w: w != ""))
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.crc32(x.cast("binary")).alias("c"), word_count(x).alias("w")))
+    lines = F.transform(F.split("t", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.crc32(x.cast("binary")).alias("c"), word_count(x).alias("w")))
     seqs = cut(_keyed(docs.select("doc_id", "text").where("text is not null")).select("_id", "_th", lines.alias("l")))
     held = held_runs(seqs, min_words).select(F.struct("_id", "_th").alias("d"), "h", "c")
-    first = held.groupBy("h", "c").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("h", "c", "a")
+    # Written, so that the join below shuffles both sides anew and a run that very many documents hold can be split.
+    first = cut(held.groupBy("h", "c").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("h", "c", "a"))
     pairs = held.join(first, ["h", "c"]).where("d > a").select("d", "a").distinct()
     flat = seqs.dropDuplicates(["_id", "_th"]).select("_id", "_th", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
     own = flat.select(F.struct("_id", "_th").alias("d"), F.col("h").alias("dh"), F.col("w").alias("dw"))
@@ -188,22 +199,23 @@ def alignments(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows with their columns, the text without its removed lines, and `_gone` and `_earlier` (null: nothing removed)."""
-    joined = _keyed(docs).join(alignments(docs, min_words).withColumnsRenamed({"gone": "_gone", "earlier": "_earlier"}), ["_id", "_th"], "left")
-    kept = F.transform(F.filter(F.arrays_zip(F.split("text", "\n", -1).alias("l"), F.col("_mark").alias("m")), lambda x: x["m"].isNull()), lambda x: x["l"])
+    """row, the input's columns; t, the text; new, the text without its removed lines; gone and earlier (null: nothing removed)."""
+    joined = _keyed(docs).join(alignments(docs, min_words), ["_id", "_th"], "left")
+    kept = F.transform(F.filter(F.arrays_zip(F.split("t", "\n", -1).alias("l"), F.col("mark").alias("m")), lambda x: x["m"].isNull()), lambda x: x["l"])
     # Marks: an array as long as the last removed place, with something at each removed place; the zip pads it with nulls.
-    marks = F.transform(F.arrays_zip(F.col("_gone").alias("g"), F.concat(F.array(F.lit(-1)), F.slice("_gone", 1, F.size("_gone") - 1)).alias("p")), lambda x: F.concat(F.array_repeat(F.lit(None).cast("int"), x["g"] - x["p"] - 1), F.array(F.lit(1))))
-    return joined.withColumn("_mark", F.flatten(marks)).withColumn("_new", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_mark")
+    marks = F.transform(F.arrays_zip(F.col("gone").alias("g"), F.concat(F.array(F.lit(-1)), F.slice("gone", 1, F.size("gone") - 1)).alias("p")), lambda x: F.concat(F.array_repeat(F.lit(None).cast("int"), x["g"] - x["p"] - 1), F.array(F.lit(1))))
+    return joined.withColumn("mark", F.flatten(marks)).withColumn("new", F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n"))).drop("mark")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     empty = F.array().cast("array<int>")
-    return dedup_lines(docs).select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"), F.coalesce("_gone", empty).alias("removed_lines"), F.coalesce("_earlier", F.array().cast("array<long>")).alias("earlier_ids"), F.crc32(F.col("_new").cast("binary")).alias("kept_crc32"))
+    return dedup_lines(docs).select(F.col("row.doc_id").alias("doc_id"), F.when(F.col("t").isNull(), 0).otherwise(F.size(F.split("t", "\n", -1))).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.coalesce("gone", empty).alias("removed_lines"), F.coalesce("earlier", F.array().cast("array<long>")).alias("earlier_ids"), F.crc32(F.col("new").cast("binary")).alias("kept_crc32"))
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with their new texts; those of which nothing is left go. n_chars follows the text."""
-    out = dedup_lines(docs).where(F.col("_gone").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("_new")} | ({"n_chars": F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """The rows with their new texts; those of which nothing is left go. n_chars follows the text; all other columns are carried, whatever
+    their names."""
+    out = dedup_lines(docs).where(F.col("gone").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("new")} | ({"n_chars": F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -3,8 +3,9 @@
 Each measure is a column expression over the text; each rule of the table compares a measure with a bound
 scaled by another measure, in whole numbers, so that every engine decides alike. A document is kept if no rule fails.
 
-Nulls and empty texts have no words and fail the length rule. Repeated rows are judged one by one; an empty table
-gives no rows; other columns are carried but never read.
+Nulls and empty texts have no words and fail the length rule; no rule limits the length of a text from above, and texts are read
+whole. Repeated rows are judged one by one, so ties don't matter; a null id is kept. An empty table
+gives no rows; other columns are carried, whatever their names, but never read.
 """
 
 from __future__ import annotations
@@ -46,7 +47,6 @@ class Rule:
 
 BASE_RULES = (Rule("too_few_words", "n_words", "<", 50), Rule("repeated_windows", "n_repeat_words", ">", 50, "n_words", 100))
 RULES = (
-    Rule("too_many_words", "n_words", ">", 1_000_000),
     Rule("short_words", "word_chars", "<", 2, "n_words"),
     Rule("long_words", "word_chars", ">", 15, "n_words"),
     Rule("symbols", "n_symbols", ">", 15, "n_words", 100),
@@ -94,11 +94,11 @@ def judge(docs: DataFrame, carry: list[str], base: tuple[Rule, ...] = BASE_RULES
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that pass, with the columns they came with."""
-    judged = judge(docs.withColumn("_text", F.col("text")), ["_text", *[c for c in docs.columns if c != "text"]])
+    """The rows that pass, with the columns they came with. A row travels in one struct, so its names cannot clash with those used here."""
+    judged = judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), ["row"])
     # A filter is pushed below projections, where every measure would be worked out again at each mention; it stays above one that numbers rows.
-    numbered = judged.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.where(F.col("kept") & (F.col("_row") >= 0)).withColumnRenamed("_text", "text").select(*docs.columns)
+    numbered = judged.withColumn("place", F.monotonically_increasing_id())
+    return numbered.where(F.col("kept") & (F.col("place") >= 0)).select("row.*")
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words"]
