@@ -1,12 +1,14 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment confirms them.
 
-Word trigrams of each template are winnowed into an inverted index. The index holds the templates only, so its size is
-fixed by them, and it travels with the task. Every trigram of a text is looked up in it: a shared passage of
+Word trigrams of each template are winnowed into an inverted index; short templates, of which a few edits could hit every winnowed
+trigram, keep all, and the shortest their pairs of words too. The index holds the templates only, so its size is
+fixed by them, and it travels with the task. Every trigram and pair of a text is looked up in it: a shared passage of
 WINDOW + 2 words or more always meets one. Hits of one template that fall on nearby diagonals make a candidate, and a
 banded alignment of template and text reports how many template words match, and where.
 
 Words are runs of letters and digits, A-Z lower-cased; other characters of ASCII part them. Nulls and empty texts give
-no rows; texts are read whole; every occurrence is a row, so repeated rows and repeated passages repeat. An empty
+no rows; texts are read whole, however long; every occurrence is a row, so repeated rows and repeated passages repeat, and a passage that
+fits several templates (a longer one may hold a shorter one) is a row for each. A null doc_id is kept. An empty
 table gives no rows, and other columns are not read.
 """
 
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from linkloom.llm.common import lower_ascii, mix64, utf8, word_hashes
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 6, 0.8
+#: Templates up to so many words keep all their trigrams, and all their pairs of words too: a few edits could hit each winnowed one.
+WHOLE, PAIRS = 60, 8
 
 #: Public license texts and notices.
 TEMPLATES = {
@@ -35,6 +39,14 @@ TEMPLATES = {
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "lgpl-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "agpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "bsl-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
 }
 
 _WORD_BYTE = np.zeros(256, bool)
@@ -53,13 +65,14 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return word_hashes(lower_ascii(raw), starts, ends), starts, ends, rows
 
 
-def grams(hashes: np.ndarray) -> np.ndarray:
-    n = len(hashes) - GRAM + 1
+def grams(hashes: np.ndarray, k: int = GRAM) -> np.ndarray:
+    """Hash of every k words in a row; those of different k don't meet."""
+    n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n])
     return out
 
 
@@ -75,7 +88,8 @@ def winnow(values: np.ndarray, window: int = WINDOW) -> list[int]:
 
 
 class TemplateIndex:
-    """Winnowed trigram to (template, place), as sorted arrays."""
+    """Fingerprint to (template, place), as sorted arrays. Long templates have their winnowed trigrams, shorter ones all, very short ones
+    all pairs of words too."""
 
     def __init__(self, templates: dict[str, str]):
         self.names, self.words = list(templates), []
@@ -85,7 +99,9 @@ class TemplateIndex:
             h = words_of(raw, np.array([0, len(raw)]))[0]
             self.words.append(h.tolist())
             g = grams(h)
-            found += [(int(g[i]), t, i) for i in winnow(g)]
+            found += [(int(g[i]), t, i) for i in (range(len(g)) if len(h) <= WHOLE else winnow(g))]
+            if len(h) <= PAIRS:
+                found += [(int(x), t, i) for i, x in enumerate(grams(h, 2))]
         found.sort()
         self.keys = np.array([f[0] for f in found], np.uint64)
         self.template = np.array([f[1] for f in found], np.int64)
@@ -138,7 +154,7 @@ def scan_text(index: TemplateIndex, words: np.ndarray, hits: list[tuple[int, int
         last_start, last_end = tried.get(t, (-(1 << 60), 0))
         if at < last_end or last_end <= last_start and start <= last_start + band:
             continue  # inside a span that was found, or inside the band of one that failed
-        lo = max(last_end, start - band)
+        lo = max(0, last_end, start - band)
         region = words[lo : max(0, start) + m + 2 * band].tolist()
         matched, first, last = align(index.words[t], region, start - lo, band)
         if matched >= coverage * m:
@@ -161,10 +177,12 @@ def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None, cov
             for batch in pieces(whole):
                 raw, offsets = utf8(batch.column("text"))
                 h, starts, ends, rows = words_of(raw, offsets)
-                g = grams(h)
-                at, template, place = index.hits(g)
-                inside = rows[at] == rows[at + GRAM - 1] if len(at) else np.zeros(0, bool)
-                at, template, place = at[inside], template[inside], place[inside]
+                found = []
+                for k in (2, GRAM):
+                    at, template, place = index.hits(grams(h, k))
+                    inside = rows[at] == rows[at + k - 1] if len(at) else np.zeros(0, bool)
+                    found.append((at[inside], template[inside], place[inside]))
+                at, template, place = map(np.concatenate, zip(*found, strict=True))
                 first = np.searchsorted(rows, np.arange(len(offsets)))
                 ids, cols = batch.column("doc_id").to_pylist(), [[] for _ in range(9)]
                 order = np.argsort(rows[at], kind="stable")
