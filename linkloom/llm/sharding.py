@@ -4,8 +4,13 @@ Rows are hashed into a fixed number of virtual slots; the bytes of each slot are
 map says which shard holds which slot. Rebalancing edits the map, never the hash. Every step is built in:
 no Python touches a row. The map has `n_slots` entries whatever the input, so it may be collected and broadcast.
 
+The law is `bytes`: copies with different ids are dealt apart, as no shard could hold a very large group of them whole. Rows that are
+alike in id and text fall into one slot, unless together they outweigh a mean slot: then each is hashed with its place in the written
+table of ids, sizes and checksums. At most `n_slots` such groups can exist, so they may be broadcast.
+
 Nulls: a null text has no bytes and no checksum; a null id hashes like any other value. Repeated rows are
-placed one by one. An empty table gives no rows. Other columns of the input are not read.
+placed one by one, ties in a slot in any order, since they are alike. A text longer than a mean shard makes its shard the largest. An empty table gives no rows.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from linkloom.llm.spark_util import cut, stage_folder
+
 ROW_OVERHEAD = 8
 N_SLOTS = 8192
 
@@ -27,6 +34,11 @@ class SlotMap:
     n_shards: int
     shard_of: tuple[int, ...]
 
+    @classmethod
+    def even(cls, n_slots: int, n_shards: int) -> SlotMap:
+        """A first map, made before any sizes are known: slots in turn."""
+        return cls(1, n_shards, tuple(i % n_shards for i in range(n_slots)))
+
     @classmethod
     def balanced(cls, sizes: list[int], n_shards: int) -> SlotMap:
         """Largest slot first, each to the shard that is lightest so far."""
@@ -83,6 +95,11 @@ class SlotMap:
         """Adds this version to the table of maps at `path`."""
         self.to_df(spark).coalesce(1).write.mode("append").parquet(path)
 
+    @staticmethod
+    def stored(spark: SparkSession, path: str) -> bool:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         df = spark.read.parquet(path)
@@ -96,9 +113,12 @@ def size_of(text: str = "text") -> Column:
 
 
 def with_virtual_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and the virtual slot of each row."""
+    """doc_id, size, text_crc32 and the virtual slot of each row. The texts are read once; what follows reads the slim table."""
     crc = F.crc32(F.col("text").cast("binary"))
-    return docs.select("doc_id", size_of().alias("size"), crc.alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
+    slim = cut(docs.select("doc_id", size_of().alias("size"), crc.alias("text_crc32")).withColumn("name", F.xxhash64("doc_id", "text_crc32")).withColumn("place", F.monotonically_increasing_id()))
+    total = slim.agg(F.sum("size").alias("b")).first()["b"] or 0
+    heavy = cut(slim.groupBy("name").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("b") * F.lit(n_slots) > F.lit(total))).select("name", F.lit(True).alias("heavy")))
+    return slim.join(F.broadcast(heavy), "name", "left").select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("name", F.when(F.col("heavy"), F.col("place"))), F.lit(n_slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_totals(slotted: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list[int]]:
@@ -122,11 +142,17 @@ def assign(slotted: DataFrame, slot_map: SlotMap, rows: list[int]) -> DataFrame:
     return slotted.withColumn("rank", F.row_number().over(order)).join(F.broadcast(table), "virtual_slot").withColumn("slot", F.col("base") + F.col("rank") - 1)
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS) -> tuple[DataFrame, SlotMap]:
-    """Rows with shard and slot, near equal in bytes over the shards, and the map that says so."""
+def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, maps: str | None = None, tolerance: float = 0.002) -> tuple[DataFrame, SlotMap]:
+    """Rows with shard and slot, near equal in bytes over the shards, and the map that says so. maps: the table of stored maps; its last
+    version is loaded, or a first one made, and edited for the sizes found and for n_shards; the new version is stored and used."""
+    spark = docs.sparkSession
     slotted = with_virtual_slots(docs, n_slots)
     sizes, rows = slot_totals(slotted, n_slots)
-    slot_map = SlotMap.balanced(sizes, n_shards)
+    maps = maps or stage_folder(spark)
+    if not SlotMap.stored(spark, maps):
+        SlotMap.even(n_slots, n_shards).save(spark, maps)
+    SlotMap.load(spark, maps).rebalanced(sizes, n_shards, tolerance).save(spark, maps)
+    slot_map = SlotMap.load(spark, maps)
     return assign(slotted, slot_map, rows), slot_map
 
 
