@@ -5,7 +5,9 @@ that say in which quartile of the bucket counts it lies, beside a logarithmic le
 a bounded difference: the sum of the buckets' quartile steps (opposite quartiles count double) and of the length steps.
 
 Nulls count as empty texts; an empty text has the digest of no counts. Equal texts have equal digests. Texts are
-read whole. Rows with equal ids follow each other in the order of their texts; null ids come after all others.
+read whole, one at a time if they are very long. Rows with equal ids follow each other in the order of their texts' hashes; null ids come
+after all others. Rows that repeat in id and text follow each other. A table of one row is followed by itself; an empty table gives no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ UNRELATED = 1.625
 LENGTH_STEP = 12 / BUCKETS
 _STEPS = np.array([0, 1, 2, 6])
 _CHUNK = 4 << 20
-PART_BYTES = 8 << 20
+PART_BYTES, MAX_PARTS = 16 << 20, 20_000
 
 
 def bucket_counts(texts: list[bytes]) -> np.ndarray:
@@ -105,54 +107,92 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 _NONE = -(1 << 63)
 
 
-def _part(table: pa.Table) -> pa.Table:
-    """Rows of one part with the row that follows the part; `own` tells them apart."""
-    rows = sorted(zip(table["key"].to_pylist(), table["doc_id"].to_pylist(), table["text"].to_pylist(), table["own"].to_pylist(), strict=True), key=lambda r: (not r[3], -r[0], r[2]))
-    own = sum(r[3] for r in rows)
-    texts = [r[2] for r in rows]
-    following = [texts[i + 1] if i + 1 < len(texts) else texts[i] for i in range(own)]
-    after = [edited(t, x) for t, x in zip(texts, following, strict=False)]
+def compared(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
+    """The result for texts and the texts that follow them."""
+    after = [edited(t, x).encode() for t, x in zip(texts, following, strict=True)]
     marks, codes, lens = digests([t.encode() for t in texts])
-    raw = [t.encode() for t in after]
-    edited_marks, edited_codes, edited_lens = digests(raw)
-    nxt = np.minimum(np.arange(own) + 1, max(0, len(texts) - 1))
-    return pa.table(
-        {
-            "doc_id": pa.array([r[1] for r in rows[:own]], pa.int64()),
-            "n_chars": pa.array([len(t) for t in texts[:own]], pa.int64()),
-            "edited_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
-            "fingerprint": pa.array(marks[:own], pa.string()),
-            "edited_fingerprint": pa.array(edited_marks, pa.string()),
-            "near_edited": pa.array(likeness(codes[:own], edited_codes, lens[:own], edited_lens), pa.float64()),
-            "near_next": pa.array(likeness(codes[:own], codes[nxt], lens[:own], lens[nxt]), pa.float64()),
-        }
-    )
-
-
-def fingerprint_documents(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Digests of each text, of its edited text and their likeness, with the next document in descending doc_id.
-
-    Ids are cut into ranges of about `part_bytes` of text; the highest row of each range, which follows the last
-    one of the range above, is sent to both. No order over the whole table is made.
+    edited_marks, edited_codes, edited_lens = digests(after)
+    # Mostly the next text's digest is that of the next row.
+    _, last_codes, last_lens = digests([following[-1].encode()])
+    next_codes, next_lens = np.concatenate([codes[1:], last_codes]), np.concatenate([lens[1:], last_lens])
+    cols = [
+        pa.array(ids, pa.int64()),
+        pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([hashlib.sha256(t).hexdigest() for t in after], pa.string()),
+        pa.array(marks, pa.string()),
+        pa.array(edited_marks, pa.string()),
+        pa.array(likeness(codes, edited_codes, lens, edited_lens), pa.float64()),
+        pa.array(likeness(codes, next_codes, lens, next_lens), pa.float64()),
+    ]
+    return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def walk(batches: Iterator[pa.RecordBatch], chunk: int = _CHUNK) -> Iterator[pa.RecordBatch]:
+    """The results of a part's rows, which come in order, the first row that is not its own behind them. A few megabytes of texts are held."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for i, own, t in zip(batch.column("doc_id").to_pylist(), batch.column("own").to_pylist(), batch.column("text"), strict=True):
+            if texts and size >= chunk or not own:
+                text = t.as_py()
+                if texts:
+                    yield compared(ids, texts, [*texts[1:], text])
+                if not own:
+                    return
+                ids, texts, size = [], [], 0
+            ids.append(i)
+            texts.append(t.as_py())
+            size += len(texts[-1])
+
+
+class Ranges:
+    """Parts of the descending order of (doc_id, hash of the text), from the ids that cut the table into equal shares. An id that
+    fills several shares has as many parts, which its rows fall into by the hash."""
+
+    def __init__(self, shares: list[int]):
+        self.cuts, self.times = np.unique(np.array(shares, np.int64), return_counts=True)
+        # Ids below a cut, and that id itself where it fills shares.
+        self.first = np.cumsum(np.where(self.times > 1, self.times + 1, 1)) - np.where(self.times > 1, self.times + 1, 1)
+        self.n = int(self.first[-1] + (self.times[-1] + 1 if self.times[-1] > 1 else 1))
+
+    def part(self, key: np.ndarray, th: np.ndarray) -> np.ndarray:
+        """Ascending with (key, th)."""
+        at = np.searchsorted(self.cuts, key, side="left")
+        share = ((th.astype(np.float64) + 2.0**63) / 2.0**64 * self.times[at]).astype(np.int64)
+        return self.first[at] + np.where((self.times[at] > 1) & (self.cuts[at] == key), 1 + np.minimum(share, self.times[at] - 1), 0)
+
+
+def fingerprint_documents(docs: DataFrame, part_bytes: int = PART_BYTES, max_parts: int = MAX_PARTS) -> DataFrame:
+    """Digests of each text, of its edited text and their likeness, with the next document in descending (doc_id, hash of the text).
+
+    Ids are cut into ranges of about `part_bytes` of text, or into `max_parts` ranges if those would be more. A range is read as a stream, so its size bounds no
+    memory. The head of each range, which follows the last row of the range above, goes to both. Only the cuts and the heads' ids and hashes reach
+    the driver, `max_parts` of either at most.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))
-    df = docs.select("doc_id", key.alias("key"), text_col().alias("text"))
-    parts = parts_for(total_bytes(docs), part_bytes)
-    cuts = df.agg(F.percentile_approx("key", [i / parts for i in range(1, parts + 1)], 100 * parts + 10_000).alias("c")).first()["c"] or []
-    cuts = np.unique(np.array(cuts, np.int64))  # ids of the table itself; the last is the highest
-    last = len(cuts) - 1
-
-    @F.pandas_udf("array<int>")
-    def places(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for k in keys:
-            at = np.searchsorted(cuts, k.to_numpy(), side="left")
-            top = cuts[np.minimum(at, last)] == k.to_numpy()
-            yield pd.Series([[a, a + 1 if a < last else 0] if t else [a] for a, t in zip(at.tolist(), top.tolist(), strict=True)])
-
-    if last < 0:
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text_col().alias("text"), F.xxhash64(text_col()).alias("th"))
+    parts = min(max_parts, parts_for(total_bytes(docs), part_bytes))
+    cuts = df.agg(F.percentile_approx("key", [i / parts for i in range(1, parts + 1)], 20 * parts + 10_000).alias("c")).first()["c"]
+    if not cuts:
         return df.sparkSession.createDataFrame([], SCHEMA)
-    spread = df.withColumn("_at", places("key")).select("doc_id", "key", "text", F.posexplode("_at").alias("_n", "part")).withColumn("own", F.col("_n") == 0).drop("_n")
-    return spread.groupBy("part").applyInArrow(_part, SCHEMA)
+    ranges = Ranges(cuts)
+
+    @F.pandas_udf("int")
+    def part(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges.part(keys.to_numpy(), hashes.to_numpy()))
+
+    heads = {r["part"]: (r["h"]["key"], r["h"]["th"]) for r in df.select("key", "th", part("key", "th").alias("part")).groupBy("part").agg(F.max(F.struct("key", "th")).alias("h")).collect()}
+    filled = sorted(heads)
+    above = dict(zip(filled, [*filled[1:], filled[0]], strict=True))  # the last row of all is followed by the first
+    to = {heads[p]: q for p, q in above.items()}
+
+    @F.pandas_udf("int")
+    def receiver(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([to.get(k) for k in zip(keys.tolist(), hashes.tolist(), strict=True)], dtype="Int32")
+
+    own = df.select("doc_id", "key", "text", "th", part("key", "th").alias("part"), F.lit(True).alias("own"))
+    handed = df.select("key", "text", "th", receiver("key", "th").alias("part")).where("part is not null").groupBy("part").agg(F.first("text").alias("text"))
+    rows = own.unionByName(handed.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), "text", F.lit(None).cast("long").alias("th"), "part", F.lit(False).alias("own")))
+    return rows.repartitionById(ranges.n, F.col("part")).sortWithinPartitions(F.desc("own"), F.desc("key"), F.desc("th")).select("doc_id", "text", "own").mapInArrow(walk, SCHEMA)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
