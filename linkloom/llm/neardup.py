@@ -309,7 +309,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         labels = components(links.union(fresh))
     least = labels.join(reps.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
     linked = labels.join(least, "label").select("node", F.col("label").alias("class_node"), "class_id")
-    own = reps.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("class_node", "node").alias("class_node"), F.coalesce("class_id", "rep").alias("class_id"))
+    # Written, so that the join below shuffles both sides anew and a text with very many copies can be split.
+    own = cut(reps.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("class_node", "node").alias("class_node"), F.coalesce("class_id", "rep").alias("class_id")))
     return rows.select("doc_id", "th", "node").join(own, "node").select("doc_id", "th", "node", "class_node", "class_id")
 
 
