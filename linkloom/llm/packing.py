@@ -1,43 +1,62 @@
 """Packing by lexical retrieval.
 
-Documents are dealt into shards by ranges of their first characters, then ids, so that texts with a common start lie
-together and copies, however many, spread over as many shards as they need. A shard is worked in blocks of bounded
-bytes. Each block has a BM25 inverted index over its words. The document that opens a window is the seed: its most
-telling words are looked up, and the unused documents that score best fill the window in turn. What does not
-fit is cut and opens the next window. Only the last window of a shard is not full.
-
-Nulls count as empty texts, which still have their end id. Every id lies in exactly one piece. Equal rows are packed one
-by one. An empty table gives no rows. Other columns are not read.
+Documents are encoded once, and the tokens' document frequencies are summed over all of them; that table is as long as the
+vocabulary. Telling tokens are those that several documents hold, but not too many. A document's rarest telling tokens say into which shard it
+goes, so that texts which share them meet wherever they come from; whatever shares so much that it outgrows a shard is split
+by the next token, then by hash. A shard has a BM25 inverted index over its documents, with frequencies and
+mean length of the whole corpus. The document that opens a window is the seed: all its telling tokens are looked up, and the unused documents that
+score best fill the window in turn, ties by order in the shard. What does not fit is cut and opens the next window. Only the last
+window of a shard is not full. Shards and their order follow from the rows alone: a table is packed alike each time.
+
+Nulls count as empty texts, which still have their end id. Every id lies in exactly one piece. Texts are taken whole: a long one fills
+several windows. Equal rows are packed one by one. A null doc_id is kept. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkloom.llm.common import parts_for, text_col, total_bytes
+from linkloom.llm.common import parts_for, text_col
+from linkloom.llm.licenses import pieces
+from linkloom.llm.spark_util import cut
 
 WINDOW, END_ID = 2048, 1
-SHARD_BYTES, BLOCK_BYTES = 16 << 20, 8 << 20
-QUERY_WORDS, K1, B = 24, 1.2, 0.75
-CACHE_UNITS = 500_000
+#: Tokens of a shard, on average, and of a group of documents that must not be split.
+SHARD_TOKENS, GROUP_TOKENS = 8 << 20, 2 << 20
+#: Tokens that more documents than these hold, and more than one in STOP_SHARE, tell nothing.
+STOP_SHARE, STOP_LEAST = 16, 8
+K1, B = 1.2, 0.75
+#: A worker forgets its units when it has more of them, or more of their characters.
+CACHE_UNITS, CACHE_CHARS = 500_000, 16 << 20
+#: Rows of a table that is small enough to be sent to all executors.
+SMALL_ROWS = 100_000
 _DOUBLE = re.compile(r"\s\s")
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class Units(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __missing__(self, key: object) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class UnitEncoder:
-    """Ids of a byte-level vocabulary, a unit at a time. A single space between two other characters always starts a new
-    pre-token, so the pieces between such spaces are encoded apart, and equal ones once for each worker. The vocabulary
-    is that of the given `tokenizers` file; its ranks run in tiktoken, which gives the same ids in a fraction of the time."""
+    """Ids of a byte-level vocabulary, a batch of texts at a time. A single space between two other characters always starts a new
+    pre-token, so the units between such spaces are encoded apart, and equal ones once for each worker. The vocabulary
+    is that of the given `tokenizers` file; its ranks run in tiktoken, which gives the same ids in a fraction of the time. Added
+    tokens that stand in a text part it, and have their own ids."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -47,57 +66,73 @@ class UnitEncoder:
         tokens = Tokenizer.from_file(path).get_added_tokens_decoder()
         if odd := [t.content for t in tokens.values() if t.lstrip or t.rstrip or t.single_word]:
             raise ValueError(f"added tokens that take white space or whole words: {odd}")
-        added = set(tokens)
         self.added = {t.content: i for i, t in tokens.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if tokens else lambda text: [text]
         shown = _byte_letters()
-        ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if i not in added}
-        # Of a unit; encode_text takes the added tokens out before.
+        ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if i not in tokens}
+        self.size = 1 + max([*ranks.values(), *tokens, END_ID])
         self.tokenize = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.index: dict[str, int] = {}  # a word after a space
-        self.first: dict[str, int] = {}  # a unit at the start of a text
-        self.ids: list[bytes] = []
-
-    def _new(self, table: dict[str, int], key: str, unit: str) -> int:
-        table[key] = n = len(self.ids)
-        self.ids.append(array("I", self.tokenize(unit)).tobytes())
-        return n
-
-    def encode(self, text: str) -> tuple[bytes, np.ndarray]:
-        """Little-endian 32-bit ids, and the unit numbers."""
-        start, *words = text.split(" ") if _DOUBLE.search(text) is None else _BORDER.split(text)
-        get, ids = self.index.get, self.ids
-        at = [get(w) for w in words]
-        if None in at:
-            for w in words:
-                if w not in self.index:
-                    self._new(self.index, w, " " + w)
-            at = [get(w) for w in words]
-        i = self.first.get(start)
-        at.append(self._new(self.first, start, start) if i is None else i)
-        return b"".join([ids[at[-1]], *[ids[i] for i in at[:-1]]]), np.array(at, np.int32)
-
-    def encode_text(self, text: str) -> tuple[bytes, np.ndarray]:
-        """As encode, with the ids of the added tokens: each part between them is encoded as a text of its own."""
+        self.n_bytes = np.zeros(self.size, np.int64)
+        for token, i in ranks.items():
+            self.n_bytes[i] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.units, self.chars = Units(), 0
+        self.ids = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def _keys(self, text: str, out: list[int]) -> None:
+        """A word stands for itself after a space, (start,) for the start of a part, (None, token) for an added token."""
+        units = self.units
         parts = self.split(text)
-        if len(parts) == 1:
-            return self.encode(text)
-        ids, units = [], []
         for k, part in enumerate(parts):
             if k % 2:
-                ids.append(self.added[part].to_bytes(4, "little"))
-            elif part:
-                b, u = self.encode(part)
-                ids.append(b)
-                units.append(u)
-        return b"".join(ids), np.concatenate([np.zeros(0, np.int32), *units])
-
-    def rest(self) -> None:
-        """Forgets the units if there are too many; unit numbers from before are void then."""
-        if len(self.ids) > CACHE_UNITS:
-            self.index.clear()
-            self.first.clear()
-            self.ids.clear()
+                out.append(units[None, part])
+            elif part or len(parts) == 1:
+                start, *words = part.split(" ") if _DOUBLE.search(part) is None else _BORDER.split(part)
+                out.append(units[start,])
+                out += map(units.__getitem__, words)
+
+    def _learn(self, new: list) -> None:
+        """Encodes new units: words without white space at their ends in one go, cut where their bytes end; others one by one."""
+        self.chars += sum(len(k if type(k) is str else k[-1]) for k in new)
+        plain = [type(k) is str and k != "" and not k[0].isspace() and not k[-1].isspace() for k in new]
+        words = [k for k, p in zip(new, plain, strict=True) if p]
+        joined = np.array(self.tokenize(" " + " ".join(words)), np.uint32) if words else np.zeros(0, np.uint32)
+        stops = np.searchsorted(np.cumsum(self.n_bytes[joined]), np.cumsum([1 + len(w.encode()) for w in words]), "left") + 1 if words else np.zeros(0, np.int64)
+        lens, out, at, n = [], [], 0, 0
+        word = iter(stops.tolist())
+        for k, p in zip(new, plain, strict=True):
+            if p:
+                stop = next(word)
+                lens.append(stop - n)
+                n = stop
+            else:
+                own = [self.added[k[1]]] if type(k) is tuple and k[0] is None else self.tokenize(k[0] if type(k) is tuple else " " + k)
+                out += [joined[at:n], np.array(own, np.uint32)]
+                at = n
+                lens.append(len(own))
+        self.ids = np.concatenate([self.ids, *out, joined[at:]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens, dtype=np.int64)])
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        if len(self.units) > CACHE_UNITS or self.chars > CACHE_CHARS:
+            self.forget()
+        known, keys, counts = len(self.units), [], []
+        for text in texts:
+            before = len(keys)
+            self._keys(text, keys)
+            counts.append(len(keys) - before)
+        if len(self.units) > known:
+            self._learn(list(islice(self.units, known, None)))
+        at = np.array(keys, np.int64)
+        lens = self.ends[at + 1] - self.ends[at]
+        ids = self.ids[np.arange(lens.sum()) + np.repeat(self.ends[at] - (np.cumsum(lens) - lens), lens)]
+        total = np.concatenate([[0], np.cumsum(lens)])
+        ends = np.cumsum(counts, dtype=np.int64)
+        return ids, np.diff(total[np.concatenate([[0], ends])])
 
 
 def _byte_letters() -> dict[str, int]:
@@ -107,42 +142,81 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-class Bm25Block:
-    """Inverted index over the documents of a block, in arrays."""
-
-    def __init__(self, words: list[np.ndarray], n_words: int):
-        """words: numbers below n_words of the words of each document."""
-        n = len(words)
-        lens = np.array([len(w) for w in words], np.int64)
-        key, tf = np.unique((np.repeat(np.arange(n), lens) << 32) | np.concatenate(words), return_counts=True)
-        doc, word = key >> 32, key & 0xFFFFFFFF
-        df = np.bincount(word, minlength=n_words)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lens / max(1.0, lens.mean()))
-        weight = (idf[word] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        shared = df[word] > 1
-        doc, word, weight = doc[shared], word[shared], weight[shared]
-        # The query of a document: its words of greatest weight that others hold too.
-        ends = np.searchsorted(doc, np.arange(n + 1))
-        self.query = []
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            own = slice(a, b) if b - a <= QUERY_WORDS else a + np.argpartition(-weight[a:b], QUERY_WORDS)[:QUERY_WORDS]
-            self.query.append(word[own])
-        order = np.argsort(word, kind="stable")
-        self.start = np.concatenate([[0], np.cumsum(np.where(df > 1, df, 0))])
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share query words with the seed, best first; ties by place."""
-        spans = [slice(self.start[w], self.start[w + 1]) for w in self.query[seed]]
+def held_tokens(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token, document and count of each distinct pair, by token, then document."""
+    order = np.argsort(ids, kind="stable")
+    token, doc = ids[order], np.repeat(np.arange(len(lens), dtype=np.int32), lens)[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]))
+    return token[first], doc[first], np.diff(np.concatenate([first, [len(token)]]))
+
+
+def with_ends(values: np.ndarray, lens: np.ndarray, end: int) -> np.ndarray:
+    """The values with `end` behind those of each document."""
+    out = np.full(len(values) + len(lens), end, values.dtype)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(lens + 1) - 1] = False
+    out[inner] = values
+    return out
+
+
+class Corpus:
+    """What BM25 takes from the whole corpus: documents that hold each token, documents, and tokens in all."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, n_tokens: int):
+        self.n_docs, self.mean = n_docs, max(1.0, n_tokens / max(1, n_docs))
+        telling = (df > 1) & (df <= n_docs / STOP_SHARE + STOP_LEAST)
+        self.idf = np.where(telling, np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0)
+        order = np.argsort(df, kind="stable")
+        order = order[telling[order]]
+        #: Place of each telling token from the rarest on; the vocabulary's size for all others.
+        self.rank = np.full(len(df), len(df), np.int32)
+        self.rank[order] = np.arange(len(order), dtype=np.int32)
+
+    def rarest(self, ids: np.ndarray, lens: np.ndarray, n: int = 2) -> list[np.ndarray]:
+        """The ranks of the n rarest telling tokens of each document."""
+        none = len(self.rank)
+        # With an end behind each document, which keeps documents without ids apart.
+        rank = with_ends(self.rank[ids], lens, none)
+        starts = np.cumsum(lens + 1) - (lens + 1)
+        out: list[np.ndarray] = []
+        for _ in range(n):
+            out.append(np.minimum.reduceat(rank, starts) if len(lens) else np.zeros(0, np.int32))
+            rank[rank == np.repeat(out[-1], lens + 1)] = none
+        return out
+
+
+class Bm25Index:
+    """Inverted index over the documents of a shard, in arrays: the telling tokens that two of them hold at least."""
+
+    def __init__(self, ids: np.ndarray, lens: np.ndarray, corpus: Corpus):
+        telling = (corpus.idf > 0)[ids]
+        token, doc, tf = held_tokens(ids[telling], np.bincount(np.repeat(np.arange(len(lens), dtype=np.int32), lens)[telling], minlength=len(lens)))
+        here = np.bincount(token, minlength=len(corpus.idf))
+        shared = here[token] > 1
+        token, self.doc, tf = token[shared], doc[shared], tf[shared]
+        self.weight = corpus.idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.doc] / corpus.mean))
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), token[1:] != token[:-1]]))
+        self.starts = np.concatenate([starts, [len(token)]])
+        # The lists that each document is in, as its query.
+        lists = np.repeat(np.arange(len(starts)), np.diff(self.starts))
+        order = np.argsort(self.doc, kind="stable")
+        self.lists, self.query = lists[order], np.searchsorted(self.doc[order], np.arange(len(lens) + 1))
+        self.n = len(lens)
+
+    def scores(self, seed: int) -> np.ndarray:
+        lists = self.lists[self.query[seed] : self.query[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.starts[lists].tolist(), self.starts[lists + 1].tolist(), strict=True)]
         if not spans:
-            return np.zeros(0, np.int64)
-        docs = np.concatenate([self.doc[s] for s in spans])
-        found, at = np.unique(docs, return_inverse=True)
-        score = np.bincount(at, np.concatenate([self.weight[s] for s in spans]))
-        alive = unused[found]
-        found, score = found[alive], score[alive]
-        return found[np.lexsort((found, -score))]
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+
+    def neighbours(self, seed: int, unused: np.ndarray, some: int = 64) -> Iterator[int]:
+        """Unused documents that share a token with the seed, best first; ties by place."""
+        score = np.where(unused, self.scores(seed), 0.0)
+        found = np.flatnonzero(score)
+        least = np.partition(score[found], -some)[-some] if len(found) > some else 0.0
+        for part in (found[score[found] >= least], found[score[found] < least]):
+            yield from part[np.lexsort((part, -score[part]))].tolist()
 
 
 class Packer:
@@ -163,12 +237,12 @@ class Packer:
         return out
 
 
-def pack_block(index: Bm25Block, sizes: list[int], packer: Packer) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
-    """(document, its pieces) for every document of a block, in packing order."""
+def pack_shard(index: Bm25Index, sizes: list[int], packer: Packer) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+    """(document, its pieces) for every document of a shard, in packing order."""
     unused = np.ones(len(sizes), bool)
     following, queue, sequence = 0, iter(()), None
     while True:
-        doc = next((int(d) for d in queue if unused[d]), None)
+        doc = next((d for d in queue if unused[d]), None)
         if doc is None:
             while following < len(sizes) and not unused[following]:
                 following += 1
@@ -178,8 +252,8 @@ def pack_block(index: Bm25Block, sizes: list[int], packer: Packer) -> Iterator[t
         unused[doc] = False
         pieces = packer.place(sizes[doc])
         yield doc, pieces
-        if packer.sequence != sequence:  # this document opened the window that is open now, or it is the first of the block
-            sequence, queue = packer.sequence, iter(index.neighbours(doc, unused).tolist())
+        if packer.sequence != sequence:  # this document opened the window that is open now, or it is the first of the shard
+            sequence, queue = packer.sequence, index.neighbours(doc, unused)
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -187,43 +261,107 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    def block(ids: list, texts: list[str], encoder: UnitEncoder, packer: Packer) -> pa.RecordBatch:
-        encoder.rest()
-        raw, words = [], []
-        for t in texts:
-            b, w = encoder.encode_text(t)
-            raw.append(b + END_ID.to_bytes(4, "little"))
-            words.append(w)
-        sizes = [len(b) // 4 for b in raw]
-        index = Bm25Block(words, len(encoder.ids))
-        cols: list[list] = [[] for _ in _NAMES]
-        for d, pieces in pack_block(index, sizes, packer):
-            view = memoryview(raw[d])
-            for start, length, sequence, offset in pieces:
-                for c, v in zip(cols, (ids[d], start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), sizes[d], sequence, offset), strict=True):
-                    c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _NAMES)
+def encoder_of(path: str) -> UnitEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = UnitEncoder(path)
+    return _ENCODERS[path]
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, wide: bool) -> DataFrame:
+    """doc_id and ids (without the end) of each document, and for each task one row of counts: documents by token, documents, tokens."""
+    kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = UnitEncoder(tokenizer_path)
-        encoder = _ENCODERS[tokenizer_path]
-        packer = Packer(TaskContext.get().partitionId() << 40, window)
-        ids, texts, size = [], [], 0
+        encoder = encoder_of(tokenizer_path)
+        counts = np.zeros(encoder.size + 2, np.int64)
+        for whole in batches:
+            for batch in pieces(whole):
+                ids, lens = encoder.encode_batch(batch.column("text").to_pylist())
+                counts[: encoder.size] += np.bincount(held_tokens(ids.astype(kind), lens)[0], minlength=encoder.size)
+                counts[encoder.size :] += batch.num_rows, len(ids)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]) * kind.itemsize, pa.int32())
+                binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets.buffers()[1], pa.py_buffer(ids.astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary, pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["doc_id", "ids", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
+
+
+def corpus_of(table: DataFrame, size: int) -> Corpus:
+    """The sum of the rows of counts. Sixteen of them reach the driver, each as long as the vocabulary."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 2, np.int64)
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(i)
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size >= BLOCK_BYTES:
-                    yield block(ids, texts, encoder, packer)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield block(ids, texts, encoder, packer)
-
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).repartitionByRange(parts_for(total_bytes(docs), shard_bytes), F.substring("text", 1, 24), "doc_id")
-    return dealt.mapInArrow(run, SCHEMA)
+            for c in batch.column("counts"):
+                total += np.frombuffer(zlib.decompress(c.as_py()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+
+    rows = table.where(F.col("counts").isNotNull()).select("counts").mapInArrow(add, "counts binary").repartition(16).mapInArrow(add, "counts binary").collect()
+    total = sum((np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64) for r in rows), np.zeros(size + 2, np.int64))
+    return Corpus(total[:size], int(total[-2]), int(total[-1]))
+
+
+def dealt(table: DataFrame, corpus: Corpus, kind: np.dtype, group_tokens: int = GROUP_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int]:
+    """The documents with their shard, below the number of shards. A group of documents with the same rarest token goes whole, one too large
+    by its next token, and one that is still too large by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "ids"):
+                ids, lens = flat_ids(batch.column("ids"), kind)
+                t, u = corpus.rarest(ids, lens)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lens + 1), pa.array(t), pa.array(u)], ["doc_id", "ids", "place", "n", "t", "u"])
+
+    # Rows without an id may be wholly equal, so they are told apart by their place in the written table.
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    keyed = table.where(F.col("ids").isNotNull()).select("doc_id", "ids", place.alias("place")).mapInArrow(run, "doc_id long, ids binary, place long, n long, t int, u int")
+    sizes = cut(keyed.groupBy("t", "u").agg(F.sum("n").alias("n")))
+    parts = lambda c: F.ceil(F.col(c) / F.lit(group_tokens)).cast("long")
+    by_one = sizes.groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") > group_tokens).select("t", parts("n").alias("k1"))  # as many rows as tokens at most
+    by_two = sizes.where(F.col("n") > group_tokens).select("t", "u", parts("n").alias("k2"))
+    hint = F.broadcast if by_two.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else lambda df: df
+    n_shards = parts_for(corpus.mean * corpus.n_docs + corpus.n_docs, shard_tokens)
+    own = F.when(F.col("k2").isNotNull(), F.xxhash64("t", "u", F.pmod(F.xxhash64("doc_id", "ids", "place"), F.col("k2")))).when(F.col("k1").isNotNull(), F.xxhash64("t", F.pmod(F.xxhash64("u"), F.col("k1")))).otherwise(F.xxhash64("t"))
+    return keyed.join(F.broadcast(by_one), "t", "left").join(hint(by_two), ["t", "u"], "left").select("doc_id", "ids", "t", "u", F.xxhash64("ids").alias("h"), F.pmod(own, F.lit(n_shards)).cast("int").alias("shard")), n_shards
+
+
+def flat_ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column, and how many each row has."""
+    lens = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+    first, last = (np.frombuffer(column.buffers()[1], np.int32)[column.offset + k] for k in (0, len(column))) if len(column) else (0, 0)
+    return (np.frombuffer(column.buffers()[2], np.uint8)[first:last].copy().view(kind) if last > first else np.zeros(0, kind)), lens
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    size = encoder_of(tokenizer_path).size
+    kind = np.dtype("<u4" if size > 1 << 16 else "<u2")
+    table = cut(encoded(docs, tokenizer_path, size > 1 << 16))
+    corpus = corpus_of(table, size)
+    rows, n_shards = dealt(table, corpus, kind, group_tokens, shard_tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs a shard, which is all that a task has."""
+        if not (held := [b for b in batches if b.num_rows]):
+            return
+        whole = pa.Table.from_batches(held)
+        names, late = whole["doc_id"].fill_null(0).to_numpy(), whole["doc_id"].is_null().to_numpy()
+        order = np.lexsort([whole["h"].to_numpy(), names, late, whole["u"].to_numpy(), whole["t"].to_numpy()])
+        names = whole["doc_id"].take(pa.array(order)).to_pylist()
+        ids, lens = flat_ids(whole["ids"].take(pa.array(order)).combine_chunks(), kind)
+        shard, sizes = whole["shard"][0].as_py(), (lens + 1).tolist()
+        del held, whole
+        index = Bm25Index(ids, lens, corpus)
+        view, first = memoryview(with_ends(ids.astype("<u4"), lens, END_ID)).cast("B"), np.cumsum([0, *sizes]).tolist()
+        cols: list[list] = [[] for _ in _NAMES]
+        for d, places in pack_shard(index, sizes, Packer(shard << 40, window)):
+            for start, length, sequence, offset in places:
+                at = 4 * (first[d] + start)
+                for c, v in zip(cols, (names[d], start, length, zlib.crc32(view[at : at + 4 * length]), sizes[d], sequence, offset), strict=True):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _NAMES)
+
+    return rows.repartitionById(n_shards, F.col("shard")).mapInArrow(run, SCHEMA)
 
 
 def tokenizer() -> str:
