@@ -4,16 +4,19 @@ A text is its lower-cased words, each followed by a space, the last by an end sy
 decisions; each of the 255 decision nodes has a context tree over the DEPTH bytes before the symbol. Every tree node
 holds a Krichevsky-Trofimov estimate and the weight, after all training texts, of stopping there rather than looking one
 byte further back. A prediction mixes the estimates of all depths by these weights; a context that was never seen
-predicts as its parent does. The result is a proper distribution over texts.
+has the estimator's prior, one half. The result is a proper distribution over texts. bits_per_byte is the code length over the bytes of the
+text as it is.
 
 How it is spread: documents fall into blocks of bounded bytes. A block sends its distinct (context, symbol) pairs and
 distinct words with their training counts, in sorted packed runs, to shards of the model. A pair's shard follows from
 the last two context bytes, so a shard holds whole subtrees and weighs them alone; only the nodes of depth 0 and 1, at
 most 65,280, meet in the driver. The blocks then ask their shards for what they need. Nothing that grows with the
-corpus is broadcast or collected, no counts are cut off, and a shard's memory is that of its part of the model.
+corpus is broadcast or collected, no counts are cut off, and a shard's memory is that of its part of the model. Runs are added up in
+groups of blocks first, and a part of the model answers groups of blocks, so no task's input follows the corpus.
 
 Nulls count as empty texts, which are one end symbol. Rows with equal ids are scored one by one and are together in or
-out of training; a null id counts as text 'null'. An empty table gives no rows. Other columns are not read.
+out of training; a null id counts as text 'null'. A text longer than a block is a block of its own size. An empty table gives no rows.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,6 +37,8 @@ from linkloom.llm.spark_util import stage_folder
 DEPTH = 5
 END = 255  # no byte of UTF-8
 BLOCK_BYTES = 24 << 20
+#: Parts of the model at most (what they hold levels off as the text grows), and blocks that are added up together at least.
+MAX_SHARDS, GROUP_BLOCKS = 1024, 16
 FOLDS = 10
 _SUB_BYTES = 4 << 20
 _KEY = np.int64
@@ -144,15 +150,15 @@ class Level:
             self.stop = np.exp(own - np.log(2.0) - self.log_w)
 
     def mix(self, node: np.ndarray, bit: np.ndarray, deeper: np.ndarray | None) -> np.ndarray:
-        """Probability of the bit at each node; nan where the node was never seen. deeper: that of the next depth."""
+        """Probability of the bit at each node; one half, the estimator's own prior, where the node was never seen. deeper: that of the next depth."""
         if not len(self.node):
-            return np.full(len(node), np.nan)
+            return np.full(len(node), 0.5)
         at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
         n0, n1 = self.n0[at], self.n1[at]
         p = (np.where(bit == 1, n1, n0) + 0.5) / (n0 + n1 + 1.0)
         if deeper is not None:
-            p = np.where(np.isnan(deeper), p, self.stop[at] * p + (1 - self.stop[at]) * deeper)
-        return np.where(self.node[at] == node, p, np.nan)
+            p = self.stop[at] * p + (1 - self.stop[at]) * deeper
+        return np.where(self.node[at] == node, p, 0.5)
 
 
 def levels(keys: np.ndarray, counts: np.ndarray, least: int, depth: int = DEPTH) -> list[Level]:
@@ -170,7 +176,7 @@ def levels(keys: np.ndarray, counts: np.ndarray, least: int, depth: int = DEPTH)
 
 
 def bit_probabilities(keys: np.ndarray, tree: list[Level], least: int, depth: int = DEPTH, below: np.ndarray | None = None, upto: int | None = None) -> np.ndarray:
-    """For each pair, the probability of each of its symbol's eight decisions as mixed at depth `least` (nan: unseen)."""
+    """For each pair, the probability of each of its symbol's eight decisions as mixed at depth `least`."""
     sym = keys & 255
     out = np.empty((len(keys), 8))
     for j in range(8):
@@ -199,7 +205,7 @@ class Root:
     def code_bits(self, keys: np.ndarray, subtree: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         """Bits that each pair's symbol costs in its context."""
         p = bit_probabilities(keys, self.tree, 0, depth, subtree, 1)
-        return -np.log2(np.where(np.isnan(p), 0.5, p)).sum(axis=1)
+        return -np.log2(p).sum(axis=1)
 
 
 A_SCHEMA = "kind string, shard int, block int, keys binary, counts binary"
@@ -270,36 +276,15 @@ def _words(raw: bytes) -> list[bytes]:
     return zstandard.decompress(raw).split(b" ")  # the end token is the empty word, so splitting is exact
 
 
-def build_shards(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by kind and shard. Sums each shard's runs as they come and emits its part of the model."""
-    names = [c.split()[0] for c in M_SCHEMA.split(", ")]
-    types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 3]
-
-    def emit(kind: str, shard: int, state: object) -> pa.RecordBatch:
-        if kind == "words":
-            words = sorted(state)
-            n = np.array([state[w] for w in words], np.int64)
-            row = (kind, shard, zstandard.compress(b" ".join(words), 1), pack(n), None, int(n.sum()), int((n > 0).sum()), [], [], [], [])
-        else:
-            key, n = counted(np.concatenate(state[0]), np.concatenate(state[1]))
-            tree = levels(key, n, 2, depth)
-            bits = bit_probabilities(key, tree, 2, depth).astype("<f4")
-            context, sym = key >> (8 * depth), key & 255
-            pair, total = counted((context << 8) | sym, n)
-            node, n0, n1 = decisions(pair >> 8, pair & 255, total)
-            seen = n0 + n1 > 0
-            node, n0, n1 = node[seen], n0[seen], n1[seen]
-            below = np.bincount(np.searchsorted(node, ((tree[0].node >> 16) << 8) | (tree[0].node & 255)), tree[0].log_w, len(node)) if len(node) else np.zeros(0)
-            row = (kind, shard, pack(key), None, zstandard.compress(np.ascontiguousarray(bits).tobytes(), 1), int(n.sum()), len(key), node.tolist(), n0.tolist(), n1.tolist(), below.tolist())
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
-
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, object]]:
+    """Rows come ordered by kind, shard and part. For each of these the sums of its runs, as they come: a Counter of words, or keys and counts."""
     now, state, loose = None, None, 0
     for batch in batches:
-        for kind, shard, keys, counts in zip(*(batch.column(c) for c in ("kind", "shard", "keys", "counts")), strict=True):
-            here = kind.as_py(), shard.as_py()
+        for kind, shard, part, keys, counts in zip(*(batch.column(c) for c in ("kind", "shard", "part", "keys", "counts")), strict=True):
+            here = kind.as_py(), shard.as_py(), part.as_py()
             if here != now:
                 if now:
-                    yield emit(*now, state)
+                    yield now[0], now[1], state if now[0] == "words" else counted(np.concatenate(state[0]), np.concatenate(state[1]))
                 now, state, loose = here, Counter() if here[0] == "words" else [[], []], 0
             n = unpack(counts.as_py())
             if here[0] == "words":
@@ -313,11 +298,45 @@ def build_shards(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Itera
                     state = [[x] for x in counted(np.concatenate(state[0]), np.concatenate(state[1]))]
                     loose = 0
     if now:
-        yield emit(*now, state)
+        yield now[0], now[1], state if now[0] == "words" else counted(np.concatenate(state[0]), np.concatenate(state[1]))
+
+
+def add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One run for each part."""
+    for kind, shard, state in merged(batches):
+        if kind == "words":
+            words = sorted(state)
+            keys, counts = zstandard.compress(b" ".join(words), 1), pack(np.array([state[w] for w in words], np.int64))
+        else:
+            keys, counts = map(pack, state)
+        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([shard], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())], ["kind", "shard", "keys", "counts"])
+
+
+def build_shards(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
+    """Each shard's part of the model."""
+    names = [c.split()[0] for c in M_SCHEMA.split(", ")]
+    types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 3]
+    for kind, shard, state in merged(batches):
+        if kind == "words":
+            words = sorted(state)
+            n = np.array([state[w] for w in words], np.int64)
+            row = (kind, shard, zstandard.compress(b" ".join(words), 1), pack(n), None, int(n.sum()), int((n > 0).sum()), [], [], [], [])
+        else:
+            key, n = state
+            tree = levels(key, n, 2, depth)
+            bits = bit_probabilities(key, tree, 2, depth).astype("<f4")
+            context, sym = key >> (8 * depth), key & 255
+            pair, total = counted((context << 8) | sym, n)
+            node, n0, n1 = decisions(pair >> 8, pair & 255, total)
+            seen = n0 + n1 > 0
+            node, n0, n1 = node[seen], n0[seen], n1[seen]
+            below = np.bincount(np.searchsorted(node, ((tree[0].node >> 16) << 8) | (tree[0].node & 255)), tree[0].log_w, len(node)) if len(node) else np.zeros(0)
+            row = (kind, shard, pack(key), None, zstandard.compress(np.ascontiguousarray(bits).tobytes(), 1), int(n.sum()), len(key), node.tolist(), n0.tolist(), n1.tolist(), below.tolist())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
 
 def answer(batches: Iterator[pa.RecordBatch], root: Root, depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by kind and shard, the model's part before the blocks' requests; each request is answered alone."""
+    """Rows come ordered by kind, shard and group of blocks, the model's part before the blocks' requests; each request is answered alone."""
     model, keys, values = None, None, None
     for batch in batches:
         for kind, shard, block, k, n, bits in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "block", "keys", "counts", "bits")), strict=True):
@@ -348,7 +367,7 @@ def score_block(docs: pa.Table, answers: pa.Table, total: int, distinct: int, de
     order = np.argsort(key)
     key, value = key[order], value[order].astype(float)
     raw, offsets = utf8(docs["text"])
-    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     scale, end = np.log10(total + 0.1 * (distinct + 1)), count.get(b"", 0)
     for a, b in _slices(offsets):
         part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -366,10 +385,11 @@ def score_block(docs: pa.Table, answers: pa.Table, total: int, distinct: int, de
         cols[2].append(np.bincount(row, np.log10(n + 0.1), b - a) + np.log10(end + 0.1) - (n_words + 1) * scale)
         cols[3].append(-bits * np.log10(2.0))
         cols[4].append(size)
-    n_tokens, n_known, base, score, size = (np.concatenate(c) if c else np.zeros(0) for c in cols)
+        cols[5].append(np.maximum(np.diff(at), 1))
+    n_tokens, n_known, base, score, size, n_bytes = (np.concatenate(c) if c else np.zeros(0) for c in cols)
     return pa.table({
         "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(size), total), pa.int64()),
-        "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "n_symbols": pa.array(size, pa.int64()), "bits_per_byte": pa.array(-score / np.log10(2.0) / size, pa.float64()),
+        "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "n_symbols": pa.array(size, pa.int64()), "bits_per_byte": pa.array(-score / np.log10(2.0) / n_bytes, pa.float64()),
     })
 
 
@@ -377,24 +397,50 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")) % FOLDS == 0
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All rows of a partition, which is one block."""
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held).combine_chunks() if held else None
+
+
+def score_documents(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     spark = docs.sparkSession
     blocks = parts_for(total_bytes(docs), block_bytes)
-    shards = max(8, min(blocks, 1024))
+    shards = max(8, min(blocks, MAX_SHARDS))
     parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"), held_out().alias("held_out"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int").alias("block"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"), held_out().alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     folder = stage_folder(spark)
-    rows.groupBy("block").applyInArrow(lambda t: gather_block(t, shards, depth), A_SCHEMA).write.parquet(f"{folder}/gathered")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (table := _whole(batches)) is not None:
+            yield from gather_block(table, shards, depth).to_batches()
+
+    rows.repartitionById(blocks, F.col("block")).mapInArrow(gather, A_SCHEMA).write.parquet(f"{folder}/gathered")
     gathered = spark.read.parquet(f"{folder}/gathered")
-    gathered.select("kind", "shard", "keys", "counts").repartition(parts, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(lambda b: build_shards(b, depth), M_SCHEMA).write.parquet(f"{folder}/model")
+    # Runs of some blocks are added up before a shard's sums meet in one task: their distinct keys grow far more slowly than the text.
+    part = F.floor(F.col("block") / F.lit(group_blocks)).cast("int").alias("part")
+    some = gathered.select("kind", "shard", part, "keys", "counts").repartition(parts, "kind", "shard", "part").sortWithinPartitions("kind", "shard", "part").mapInArrow(add_runs, "kind string, shard int, keys binary, counts binary")
+    some.withColumn("part", F.lit(0)).repartition(parts, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(lambda b: build_shards(b, depth), M_SCHEMA).write.parquet(f"{folder}/model")
     model = spark.read.parquet(f"{folder}/model")
-    sums = model.where("kind = 'words'").agg(F.sum("total").alias("n"), F.sum("entries").alias("v")).first()
-    total, distinct = sums["n"] or 0, sums["v"] or 0
+    sums = model.agg(F.sum(F.when(F.col("kind") == "words", F.col("total"))).alias("n"), F.sum(F.when(F.col("kind") == "words", F.col("entries"))).alias("v"), F.sum(F.octet_length("keys") + F.coalesce(F.octet_length("bits"), F.lit(0))).alias("b")).first()
+    total, distinct, model_bytes = sums["n"] or 0, sums["v"] or 0, sums["b"] or 0
+    asked_bytes = gathered.agg(F.sum(F.octet_length("keys")).alias("b")).first()["b"] or 0
     top = model.where("kind = 'pairs'").select(F.explode(F.arrays_zip("node", "n0", "n1", "below")).alias("x")).groupBy("x.node").agg(F.sum("x.n0").alias("n0"), F.sum("x.n1").alias("n1"), F.sum("x.below").alias("below")).orderBy("node").toPandas()  # 65,280 rows at most
     root = Root(top["node"].to_numpy(np.int64), *(top[c].to_numpy(float) for c in ("n0", "n1", "below")))
-    asked = model.select("kind", "shard", F.lit(None).cast("int").alias("block"), "keys", "counts", "bits").union(gathered.select("kind", "shard", "block", "keys", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
-    answers = asked.repartition(parts, "kind", "shard").sortWithinPartitions("kind", "shard", F.col("block").asc_nulls_first()).mapInArrow(lambda b: answer(b, root, depth), R_SCHEMA)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: score_block(d, a, total, distinct, depth), OUT_SCHEMA)
+    # A task answers so many blocks that they ask for about as much as the model's part holds: neither outgrows the other.
+    group = max(group_blocks, int(blocks * model_bytes / max(1, asked_bytes)))
+    copies = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // group))).alias("g")
+    asked = model.select("kind", "shard", copies, F.lit(None).cast("int").alias("block"), "keys", "counts", "bits").union(gathered.select("kind", "shard", F.floor(F.col("block") / F.lit(group)).cast("int"), "block", "keys", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+    answers = asked.repartition(parts, "kind", "shard", "g").sortWithinPartitions("kind", "shard", "g", F.col("block").asc_nulls_first()).mapInArrow(lambda b: answer(b, root, depth), R_SCHEMA)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    both = rows.select("block", "doc_id", "text", "held_out", none("string", "kind"), none("binary", "keys"), none("binary", "bits")).union(answers.select("block", none("long", "doc_id"), none("string", "text"), none("boolean", "held_out"), "kind", "keys", "bits"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (table := _whole(batches)) is not None:
+            said = pa.compute.is_valid(table["kind"])
+            yield from score_block(table.filter(pa.compute.invert(said)).combine_chunks(), table.filter(said), total, distinct, depth).to_batches()
+
+    return both.repartitionById(blocks, F.col("block")).mapInArrow(score, OUT_SCHEMA)
 
 
 def op1_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
