@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from linkloom.operators.table import sample_per_group, take_n
+from linkloom.operators.table import hash_ranked, sample_per_group, take_n
 from linkloom.plans.schema import GraphSchema
 
 
@@ -78,12 +78,7 @@ def seed_nodes(targets: DataFrame, candidates: DataFrame, node_type: int, side:
     ends = targets.select(F.col("u_node_id" if side == 0 else "v_node_id").alias("id"), "date").distinct()
     wanted = ends.groupBy("date").agg(F.ceil(F.count(F.lit(1)) * ratio).cast("int").alias("_n"))
     others = candidates.select("id", "date").distinct().join(ends, ["id", "date"], "left_anti")
-    from pyspark.sql import Window
-
-    from linkloom.functions.columns import hash_order
-
-    rank = F.row_number().over(Window.partitionBy("date").orderBy(hash_order(seed, "id"), "id"))
-    more = others.withColumn("_r", rank).join(F.broadcast(wanted), "date").where("_r <= _n").select("id", "date")
+    more = hash_ranked(others, "_r", ["date"], ["id"], seed).join(F.broadcast(wanted), "date").where("_r <= _n").select("id", "date")  # a row a snapshot
     return seeds(ends.union(more), node_type, side)
 
 
@@ -230,11 +225,11 @@ def prefix_maps(types: DataFrame, k_max: int) -> tuple[dict[int, DataFrame], dic
     return {h: u_prefixes(types, h) for h in range(1, f + 1)}, {h: v_prefixes(types, h, k_max) for h in range(1, b + 1)}
 
 
-def candidate_pairs(u_seeds: DataFrame, v_seeds: DataFrame, edges: DataFrame, types: DataFrame, k_max: int, known: DataFrame, u_type: int, v_type: int, max_instance: int | None = None, seed: str | int = 0, ks: Sequence[int] | None = None) -> DataFrame:
-    """Distinct (u, v, date) that the given path types make and that are not known, capped for each u and type."""
+def candidate_pairs(u_seeds: DataFrame, v_seeds: DataFrame, edges: DataFrame, types: DataFrame, k_max: int, known: DataFrame, u_type: int, v_type: int, max_instance: int | None = None, seed: str | int = 0, ks: Sequence[int] | None = None, keep=None) -> DataFrame:
+    """Distinct (u, v, date) that the given path types make and that are not known, capped for each u and type. keep: as for discover."""
     f, b = split(k_max)
     forward_types, back_types = prefix_maps(types, k_max)
-    forward, back = explore(u_seeds, edges, f, max_instance, forward_types, seed), explore(v_seeds, edges, b, max_instance, back_types, seed)
+    forward, back = explore(u_seeds, edges, f, max_instance, forward_types, seed, noted(keep, "u")), explore(v_seeds, edges, b, max_instance, back_types, seed, noted(keep, "v"))
     out = []
     for k in ks or range(1, k_max + 1):
         whole = meet(forward[split(k)[0]], backward(back[split(k)[1]], k, max_instance, seed), k, typed(types, k))
@@ -244,16 +239,31 @@ def candidate_pairs(u_seeds: DataFrame, v_seeds: DataFrame, edges: DataFrame, ty
     return reduce(DataFrame.union, out).distinct()
 
 
-def pair_bipaths(pairs: DataFrame, edges: DataFrame, types: DataFrame, k_max: int, u_type: int, v_type: int, max_instance: int | None = None, seed: str | int = 0) -> dict[int, DataFrame]:
+def pair_bipaths(pairs: DataFrame, edges: DataFrame, types: DataFrame, k_max: int, u_type: int, v_type: int, max_instance: int | None = None, seed: str | int = 0, keep=None) -> dict[int, DataFrame]:
     """All path instances of the given types between given pairs, by length."""
+    forward, back = pair_walks(pairs, edges, types, k_max, u_type, v_type, max_instance, seed, keep)
+    return between(pairs, forward, back, types, k_max, max_instance, seed)
+
+
+def pair_walks(pairs: DataFrame, edges: DataFrame, types: DataFrame, k_max: int, u_type: int, v_type: int, max_instance: int | None = None, seed: str | int = 0, keep=None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Paths of the given types from the pairs' u ends and from their v ends, by length."""
     f, b = split(k_max)
     forward_types, back_types = prefix_maps(types, k_max)
     u = seeds(pairs.select(F.col("u_node_id").alias("id"), "date"), u_type, 0)
     v = seeds(pairs.select(F.col("v_node_id").alias("id"), "date"), v_type, 1)
-    forward, back = explore(u, edges, f, max_instance, forward_types, seed), explore(v, edges, b, max_instance, back_types, seed)
+    return explore(u, edges, f, max_instance, forward_types, seed, noted(keep, "u")), explore(v, edges, b, max_instance, back_types, seed, noted(keep, "v"))
+
+
+def between(pairs: DataFrame, forward: list[DataFrame], back: list[DataFrame], types: DataFrame, k_max: int, max_instance: int | None = None, seed: str | int = 0) -> dict[int, DataFrame]:
+    """The walks of pair_walks joined to whole paths between the pairs' ends, by length."""
     return {k: meet(forward[split(k)[0]], backward(back[split(k)[1]], k, max_instance, seed), k, typed(types, k), pairs) for k in range(1, k_max + 1)}
 
 
+def noted(keep, side: str):
+    """A keep for explore from one that takes names."""
+    return (lambda h, df: keep(f"{side}_hop_{h}", df)) if keep else None
+
+
 @dataclass(frozen=True)
 class Discovery:
     """Settings of one discovery."""
@@ -267,12 +277,12 @@ class Discovery:
 
 
 def discover(u_seeds: DataFrame, v_seeds: DataFrame, edges: DataFrame, targets: DataFrame, known: DataFrame, d: Discovery, keep=None) -> DataFrame:
-    """The ranked path types of up to max_hop edges between the two node types."""
+    """The ranked path types of up to max_hop edges between the two node types. keep(name, df): what to do with each hop and ranking
+    before it is used again and again, such as writing it as a table."""
     if d.max_target_pairs is not None:
         targets = take_n(targets, d.max_target_pairs, ["u_node_id", "v_node_id", "date"], d.seed)
     f, b = split(d.max_hop)
-    note = (lambda side: (lambda h, df: keep(f"{side}_hop_{h}", df))) if keep else (lambda side: None)
-    forward, back = explore(u_seeds, edges, f, d.max_instance, None, d.seed, note("u")), explore(v_seeds, edges, b, d.max_instance, None, d.seed, note("v"))
+    forward, back = explore(u_seeds, edges, f, d.max_instance, None, d.seed, noted(keep, "u")), explore(v_seeds, edges, b, d.max_instance, None, d.seed, noted(keep, "v"))
     ranked = [rank_types(bipaths(forward, back, k, d.max_instance, d.seed), targets, known, k, d.u_type, d.v_type, d.max_instance, d.seed) for k in range(1, d.max_hop + 1)]
     ranked = [keep(f"ranked_{k}", r) if keep else r for k, r in enumerate(ranked, 1)]
     return union_types(ranked)

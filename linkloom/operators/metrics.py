@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from linkloom.operators.table import running, top_n
 
 
 def _by_score(df: DataFrame) -> DataFrame:
-    """Positives and rows at each distinct score and, running, at or above it. Equal scores are one step, and the window
-    runs over the distinct scores alone."""
+    """Positives and rows at each distinct score and, running, at or above it. Equal scores are one step; the running sums go over ranges of
+    the scores."""
     steps = df.groupBy("score").agg(F.sum("label").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_n", F.sum("n").over(w))
+    return running(steps.withColumn("down", -F.col("score")), ["down"], {"cum_pos": F.col("pos"), "cum_n": F.col("n")}).drop("down")
 
 
 def average_precision(df: DataFrame) -> DataFrame:
@@ -41,18 +42,24 @@ def errors(df: DataFrame) -> DataFrame:
 
 
 def precision_at(df: DataFrame, k: int, key: str) -> DataFrame:
-    return df.orderBy(F.col("score").desc(), key).limit(k).agg(F.avg("label").alias("precision_at_k"))
+    """Share of positives among the k rows of highest score; ties by key."""
+    return top_n(df, k, ["score", key], ["score"]).agg(F.avg("label").alias("precision_at_k"))
+
+
+def top_k_accuracy(df: DataFrame, k: int, key: str) -> DataFrame:
+    """Positives among the k rows of highest score, over k even if there are fewer rows."""
+    return top_n(df, k, ["score", key], ["score"]).agg((F.coalesce(F.sum("label"), F.lit(0)) / F.lit(float(k))).alias("top_k_accuracy"))
 
 
 def recall_at_percent(df: DataFrame, percent: float, key: str) -> DataFrame:
     """Share of all positives among the best `percent` of the rows."""
     total = df.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
-    top = df.orderBy(F.col("score").desc(), key).limit(int(total["n"] * percent / 100))
+    top = top_n(df, int(total["n"] * percent / 100), ["score", key], ["score"])
     return top.agg((F.coalesce(F.sum("label"), F.lit(0)) / F.lit(float(total["p"] or 1))).alias("recall_at_percent"))
 
 
 def all_metrics(df: DataFrame, k: int, key: str) -> dict[str, float]:
     out: dict[str, float] = {}
-    for part in (average_precision(df), roc_auc(df), log_loss(df), errors(df), precision_at(df, k, key)):
+    for part in (average_precision(df), roc_auc(df), log_loss(df), errors(df), precision_at(df, k, key), top_k_accuracy(df, k, key)):
         out |= part.first().asDict()
     return out

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, NumericType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, NumericType
 
 from linkloom.functions.columns import hash_order, hash_unit
 
@@ -96,7 +96,7 @@ def fill_nulls(df: DataFrame, columns: Sequence[str], vector_sizes: Mapping[str,
     for c in columns:
         kind = df.schema[c].dataType
         if isinstance(kind, NumericType):
-            missing = F.col(c).isNull() | F.isnan(F.col(c)) if isinstance(kind, DoubleType) else F.col(c).isNull()
+            missing = F.col(c).isNull() | F.isnan(F.col(c)) if isinstance(kind, (DoubleType, FloatType)) else F.col(c).isNull()
             out[c] = F.when(missing, F.lit(value).cast(kind)).otherwise(F.col(c))
         elif isinstance(kind, ArrayType):
             missing = F.col(c).isNull()
@@ -118,38 +118,93 @@ def assemble(df: DataFrame, inputs: Sequence[str], output: str, stable: Sequence
     return df.select(*stable, F.concat(*[part(c) for c in inputs]).alias(output))
 
 
+#: Ranges into which an order over a whole table is cut, and sampled keys for each border.
+MAX_RANGES, SAMPLED = 256, 32
+
+
+def ranged(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> tuple[DataFrame, int]:
+    """Adds _part, ascending with the keys, and gives the number of parts. Borders come from a sample by hash, whose size depends on the number
+    of parts alone; they are whole keys of any type that can be ordered, so a frequent first key is split by the following ones."""
+    n = min(MAX_RANGES, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*keys)
+    some = df.select(key.alias("k"), hash_order("ranges", *keys).alias("h")).orderBy("h").limit(SAMPLED * n).agg(F.sort_array(F.collect_list("k")).alias("k"))
+    fine = F.filter("k", lambda x, i: (i + 1) % F.greatest(F.floor(F.size("k") / n), F.lit(1)) == 0)
+    # The borders stay columns, whatever their types: one row of at most a few hundred keys, and every sixteenth of these.
+    borders = some.select(fine.alias("_fine")).select("_fine", F.filter("_fine", lambda x, i: i % 16 == 15).alias("_coarse"))
+    low = lambda borders: F.size(F.filter(borders, lambda x: x < key))
+    dealt = df.crossJoin(F.broadcast(borders)).withColumn("_part", low("_coarse") * 16)
+    return dealt.withColumn("_part", F.col("_part") + low(F.slice("_fine", F.col("_part") + 1, 16))).drop("_fine", "_coarse"), n
+
+
+def running(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], parts: int | None = None) -> DataFrame:
+    """Adds, for each name, the sum of its column over this row and those before it in the order of the keys. Sums of the ranges are added up
+    first, so no task orders the whole table. Keys should tell all rows apart."""
+    dealt, _ = ranged(df, keys, parts)
+    totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # MAX_RANGES rows or a few more
+    base = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(base), "_part").withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_part", *[f"_{n}" for n in sums])
+
+
 def row_numbers(df: DataFrame, name: str, keys: Sequence[str], parts: int | None = None) -> DataFrame:
-    """0-based numbers in the order of the keys. Rows are cut into key ranges, numbered inside, and shifted by the rows of
-    earlier ranges, so no task orders the whole table."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.select(*keys).agg(F.percentile_approx(keys[0], [i / n for i in range(1, n)] or [0.5])).first()[0] or []
-    bounds = sorted(set(cut))
-    part = reduce(lambda a, b: a + b, [F.coalesce((F.col(keys[0]) > b).cast("int"), F.lit(0)) for b in bounds], F.lit(0))
-    dealt = df.withColumn("_part", part)
-    base = dealt.groupBy("_part").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return dealt.withColumn("_n", inside).join(F.broadcast(base), "_part").withColumn(name, (F.col("_base") + F.col("_n") - 1).cast("long")).drop("_part", "_n", "_base")
+    """0-based numbers in the order of the keys, which should tell all rows apart."""
+    return running(df, keys, {name: F.lit(1)}, parts).withColumn(name, (F.col(name) - 1).cast("long"))
+
+
+def hash_ranked(df: DataFrame, name: str, groups: Sequence[str], unique: Sequence[str], seed: str | int = 0, parts: int = MAX_RANGES) -> DataFrame:
+    """Adds the 1-based place of each row in its group by hash order. A group is cut into `parts` equal ranges of the hash, which are counted
+    first, so a huge group is never ordered in one task."""
+    dealt = df.withColumn("_part", F.floor(hash_unit(seed, *unique) * parts).cast("int"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(*groups, "_part").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(hash_order(seed, *unique), *unique))
+    return dealt.withColumn(name, inside).join(base, [*groups, "_part"]).withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
 
 
 # --- joins ------------------------------------------------------------------------------------------------------------
 
 
+#: Rows up to which a side counts as small.
+SMALL_ROWS = 100_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The frame with a broadcast hint, if it has so few rows; a count that ends after them says so. Otherwise as it is, for Spark to decide."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", small: str | None = None) -> DataFrame:
-    """Join on equal names. Other names on both sides raise. small: 'left' or 'right' gets a broadcast hint."""
+    """Join on equal names. Other names on both sides raise. small: 'left' or 'right' gets a broadcast hint if it is small indeed."""
     if how not in ("semi", "left_semi", "anti", "left_anti") and (shared := set(left.columns) & set(right.columns) - set(on)):
         raise ValueError(f"columns on both sides: {sorted(shared)}")
-    left, right = (F.broadcast(left) if small == "left" else left), (F.broadcast(right) if small == "right" else right)
+    left, right = (if_small(left) if small == "left" else left), (if_small(right) if small == "right" else right)
     return left.crossJoin(right) if how == "cross" else left.join(right, list(on), {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
 
 
+def skewed_keys(df: DataFrame, on: Sequence[str], threshold: int = 100_000) -> DataFrame:
+    """Keys of more than `threshold` rows, and salts: into how many parts to split them."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > threshold).select(*on, F.ceil(F.col("_c") / threshold).cast("int").alias("salts"))
+
+
+def salt_skewed_keys(df: DataFrame, skewed: DataFrame, on: Sequence[str], buckets: int = 0) -> DataFrame:
+    """Adds salt: 0, or for a skewed key a part of it by a hash of the whole row, so that a repeated task deals alike. buckets: rows of a
+    skewed key with a salt from there on are dropped, which caps the key near threshold * buckets; 0 drops none."""
+    out = df.join(skewed, list(on), "left").withColumn("salt", F.pmod(F.xxhash64(*df.columns), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return out.where(F.col("salt") < buckets) if buckets else out
+
+
+def replicate_for_salts(df: DataFrame, skewed: DataFrame, on: Sequence[str], buckets: int = 0) -> DataFrame:
+    """Each row once for every salt of its key."""
+    n = F.coalesce("salts", F.lit(1))
+    return df.join(skewed, list(on), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (F.least(n, F.lit(buckets)) if buckets else n) - 1))).drop("salts")
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], threshold: int = 100_000) -> DataFrame:
     """Inner join whose frequent left keys are split into ceil(count / threshold) salts, with the right side repeated for
     each. No row is lost. AQE splits most skew alone; this is for keys that it can't split."""
-    salts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > threshold).select(*on, F.ceil(F.col("_c") / threshold).cast("int").alias("_n"))
-    n = F.coalesce("_n", F.lit(1))
-    l = left.join(salts, list(on), "left").withColumn("_salt", F.floor(F.rand(7) * n).cast("int")).drop("_n")
-    r = right.join(salts, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
-    return l.join(r, [*on, "_salt"]).drop("_salt")
+    skewed = skewed_keys(left, on, threshold)
+    return salt_skewed_keys(left, skewed, on).join(replicate_for_salts(right, skewed, on), [*on, "salt"]).drop("salt")
 
 
 def outer_merge(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -218,8 +273,20 @@ def top_per_group(df: DataFrame, groups: Sequence[str], order: Mapping[str, str]
 
 
 def take_n(df: DataFrame, n: int, unique: Sequence[str], seed: str | int = 0) -> DataFrame:
-    """Exactly n rows (or all) by hash order; Spark keeps n rows a task and merges those."""
-    return df.orderBy(hash_order(seed, *unique), *unique).limit(n)
+    """Exactly n rows (or all) by hash order. Of few rows Spark keeps n a task and merges those; many are cut off by their rank, in
+    ranges of the hash."""
+    if n <= SMALL_ROWS:
+        return df.orderBy(hash_order(seed, *unique), *unique).limit(n)
+    return hash_ranked(df.withColumn("_all", F.lit(0)), "_rank", ["_all"], unique, seed).where(F.col("_rank") <= n).drop("_rank", "_all")
+
+
+def top_n(df: DataFrame, n: int, keys: Sequence[str], descending: Sequence[str] = ()) -> DataFrame:
+    """Exactly the n first rows (or all) in the order of the keys, those named in `descending` from the greatest down; numbers if so. As for take_n, many rows are
+    cut off by their number."""
+    if n <= SMALL_ROWS:
+        return df.orderBy(*[F.col(c).desc() if c in descending else F.col(c).asc() for c in keys]).limit(n)
+    turned = df.withColumns({f"_k{i}": -F.col(c) if c in descending else F.col(c) for i, c in enumerate(keys)})
+    return row_numbers(turned, "_n", [f"_k{i}" for i in range(len(keys))]).where(F.col("_n") < n).select(*df.columns)
 
 
 def sample_fraction(df: DataFrame, fraction: float, unique: Sequence[str], seed: str | int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from linkloom.operators import graph as G
 from linkloom.plans import pipeline as L
 from linkloom.plans import trade as X
 from linkloom.plans.schema import read_config
-from linkloom.session import PLATFORMS, build_session
+from linkloom.session import build_session
 
 
 def parse(arguments: list[str] | None = None) -> argparse.Namespace:
@@ -17,7 +17,7 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--config", help="JSON or YAML with max_hop, max_instance, max_neighbor, top_k, neg_ratios, max_positive, u_batches, v_batches, seed")
     p.add_argument("--data", default="/root/testdata/sf0.01")
     p.add_argument("--out", required=True, help="folder with its scheme, such as file:///tmp/out")
-    p.add_argument("--platform", choices=list(PLATFORMS), default="local")
+    p.add_argument("--platform", choices=["local", "cluster"], default="local")
     p.add_argument("--force", action="store_true", help="make every step anew")
     out = p.parse_args(arguments)
     if "://" not in out.out and not out.out.startswith("file:/"):

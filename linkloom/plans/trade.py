@@ -10,6 +10,7 @@ from linkloom.operators import graph as G
 from linkloom.operators.pairs import active, existing_edges, first_events, known_edges
 from linkloom.operators.timewindows import FeatureSource, Stage, WindowSpec
 from linkloom.plans.schema import GraphSchema
+from linkloom.session import keeper
 
 SNAPSHOT = "2000-01-01"
 RANGES = {"train": ("1998-01-01", "2000-01-01"), "valid": ("2000-01-01", "2000-07-01"), "test": ("2000-07-01", "2001-01-01"), "infer": ("2001-01-01", "2002-01-01")}
@@ -88,8 +89,11 @@ def part_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return G.seed_nodes(targets(spark, sf), parts, PART, 1, 0.25, SEED)
 
 
-def discovered(spark: SparkSession, sf: str, max_hop: int = 4) -> DataFrame:
-    return G.discover(customer_seeds(spark, sf), part_seeds(spark, sf), outer(spark, sf), targets(spark, sf), known(spark, sf), G.Discovery(CUSTOMER, PART, max_hop, MAX_INSTANCE, None, SEED))
+def discovered(spark: SparkSession, sf: str, max_hop: int = 4, max_target_pairs: int | None = None) -> DataFrame:
+    """Path types of up to max_hop edges. Edges, targets, known relations and hops are each used several times, so they are kept."""
+    keep = keeper(spark)
+    edges, pairs, old = keep("edges", outer(spark, sf)), keep("targets", targets(spark, sf)), keep("known", known(spark, sf))
+    return G.discover(customer_seeds(spark, sf), part_seeds(spark, sf), edges, pairs, old, G.Discovery(CUSTOMER, PART, max_hop, MAX_INSTANCE, max_target_pairs, SEED), keep)
 
 
 #: Customers' spending: three years by year, and quantities by month through two stages.
