@@ -41,3 +41,27 @@ def group_to_sample(packed: DataFrame) -> DataFrame:
     """A running number for each path group, and its sample."""
     groups = packed.select("sample", "path_type", "path_group").distinct()
     return groups.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy("path_type", "path_group")) - 1)
+
+
+def frame_tokens(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The tokens that open each path group, in the shape of path_tokens: place 0 stands for the whole group, place 1 for the end that the
+    paths start from, place 2, for whole paths, for the far end. pairs: sample, u_node_feat_id, v_node_feat_id; feat_id is the end's vector."""
+    groups = packed.select("sample", "path_type", "path_group").distinct().join(pairs, "sample")
+    near = F.when(F.col("path_type") == FROM_V, F.col("v_node_feat_id")).otherwise(F.col("u_node_feat_id"))
+    token = lambda at, feat: F.struct(F.lit(at).alias("token_at"), F.lit(at).alias("node_pos"), feat.cast("long").alias("feat_id"))
+    opening = F.array(token(0, F.lit(None)), token(1, near))
+    tokens = F.when(F.col("path_type") == WHOLE, F.concat(opening, F.array(token(2, F.col("v_node_feat_id"))))).otherwise(opening)
+    return groups.select("sample", "path_type", "path_group", F.explode(tokens).alias("t")).select("sample", "path_type", "path_group", "t.token_at", "t.node_pos", "t.feat_id")
+
+
+def unique_features(rows: DataFrame, batch: str, key: str) -> DataFrame:
+    """Distinct vectors of a batch of assembled pairs for one element type, with their places in the order of feat_id: what a model
+    embeds once a batch."""
+    each = rows.where(F.col(f"e{key}_count") > 0).select(batch, F.explode(F.arrays_zip(F.col(f"e{key}_feat_id_array").alias("feat_id"), F.col(f"e{key}_feat_vector_array").alias("feat_vector"))).alias("x"))
+    once = each.groupBy(batch, F.col("x.feat_id").alias("feat_id")).agg(F.first("x.feat_vector").alias("feat_vector"))
+    return once.withColumn("embed_id", F.row_number().over(Window.partitionBy(batch).orderBy("feat_id")) - 1)
+
+
+def grouped_arange(df: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row as often as its count says, numbered from 0."""
+    return df.where(F.col(count) > 0).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from linkloom.functions.columns import hash_bucket, hash_order, split_label
-from linkloom.operators.table import take_n
+from linkloom.functions.columns import hash_bucket, split_label
+from linkloom.operators.table import hash_ranked, take_n, top_n
 
 
 def year_starts(start: str, end: str) -> list[str]:
@@ -62,7 +62,7 @@ _PAIR = ["u_node_id", "v_node_id", "date"]
 def labelled(candidates: DataFrame, targets: DataFrame, ratios: Sequence[float], max_positive: int | None = None, seed: str | int = 0, other_known: DataFrame | None = None) -> DataFrame:
     """(pair, neg_ratio, label): all positives for each ratio, and ratio times as many negatives, drawn anew for each.
     other_known: relations that must not serve as negatives either."""
-    pool = candidates.select(*_PAIR).distinct()
+    pool = candidates.select(*_PAIR).distinct()  # read once for each ratio and for the count: keep the candidates as a table
     positive = pool.join(targets.select(*_PAIR).distinct(), _PAIR, "left_semi")
     if max_positive is not None:
         positive = take_n(positive, max_positive, _PAIR, seed)
@@ -93,9 +93,9 @@ def label_counts(df: DataFrame) -> DataFrame:
 
 def best_pairs(scored: DataFrame, n: int) -> DataFrame:
     """The n pairs of highest prediction; ties by key."""
-    return scored.orderBy(F.col("prediction").desc(), *_PAIR).limit(n)
+    return top_n(scored, n, ["prediction", *_PAIR], ["prediction"])
 
 
 def numbered(df: DataFrame, groups: Sequence[str], unique: Sequence[str], name: str, seed: str | int = 0) -> DataFrame:
     """0-based number of each row in its group, by hash order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(hash_order(seed, *unique), *unique)) - 1)
+    return hash_ranked(df, name, groups, unique, seed).withColumn(name, F.col(name) - 1)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
-
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from linkloom.operators.table import row_numbers
+from linkloom.sources.files import Files
 
 
 def end_of(i: int, which: str, part: str) -> Column:
@@ -52,11 +53,21 @@ def scale(df: DataFrame, bounds: Sequence[tuple[float, float]]) -> DataFrame:
     return df.withColumn("feat_vector", F.array(*items) if items else F.array().cast("array<double>"))
 
 
-def feature_ids(df: DataFrame, type_column: str, keys: Sequence[str]) -> DataFrame:
-    """Dense feat_id of each element inside its type, in the order of its key and date."""
-    from pyspark.sql import Window
+def save_scaler(files: Files, path: str, bounds: Mapping[str, Sequence[tuple[float, float]]]) -> None:
+    """Keeps fitted bounds by element key, for evaluation and inference to scale by the same."""
+    files.write_json(path, {k: [list(b) for b in v] for k, v in bounds.items()})
+
+
+def load_scaler(files: Files, path: str) -> dict[str, list[tuple[float, float]]]:
+    return {k: [(lo, hi) for lo, hi in v] for k, v in files.read_json(path).items()}
+
 
-    return df.withColumn("feat_id", (F.row_number().over(Window.partitionBy(type_column).orderBy(*keys, "date")) - 1).cast("long"))
+def feature_ids(df: DataFrame, type_column: str, keys: Sequence[str]) -> DataFrame:
+    """Dense feat_id of each element inside its type, in the order of its key and date: its number in the whole order, from its type's first on."""
+    whole = row_numbers(df, "feat_id", [type_column, *keys, "date"])
+    first = df.groupBy(type_column).agg(F.count(F.lit(1)).alias("_n"))  # a row a type
+    start = first.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy(type_column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return whole.join(F.broadcast(start), type_column).withColumn("feat_id", F.col("feat_id") - F.col("_first")).drop("_first")
 
 
 def element_key(kind: int, type_column: str) -> Column:
@@ -124,3 +135,56 @@ def collect_features(used: DataFrame, features: DataFrame, types: Sequence[str])
     return each.groupBy(*key).agg(*out)
 
 
+def element_features(elements: DataFrame, kind: int, tables: Mapping[int, tuple[DataFrame, int]], bounds: Mapping[str, Sequence[tuple[float, float]]] | None = None, keep=None) -> tuple[DataFrame, dict[str, list[tuple[float, float]]]]:
+    """Vectors and ids of all elements whose type has features. kind 0: nodes (node_type, node_id, date), which all stay, with zeros where
+    they have no vector; kind 1: edges (edge_type, u_node_id, v_node_id, date) that have one. tables: type to (its vectors by id and date, their size). Vectors are scaled
+    by the given bounds, or by those fitted here, which are given back. Result: element_key, id_a, id_b (null for nodes), date, feat_id, feat_vector: the map from an id
+    to its vector, and from an element to its id."""
+    column, ids = ("node_type", ["node_id"]) if kind == 0 else ("edge_type", ["u_node_id", "v_node_id"])
+    parts, fitted = [], {}
+    for t, (table, size) in sorted(tables.items()):
+        key = f"{kind}_{t}"
+        own = with_features(elements.where(F.col(column) == t), table, [*ids, "date"], size, inner=kind == 1)
+        own = keep(f"features_{key}", own) if keep else own
+        fitted[key] = list((bounds or {}).get(key) or fit_scaler(own, size))
+        numbered = feature_ids(scale(own, fitted[key]), column, ids)
+        id_b = F.col("v_node_id").cast("long") if kind else F.lit(None).cast("long")
+        parts.append(numbered.select(element_key(kind, column).alias("element_key"), F.col(ids[0]).cast("long").alias("id_a"), id_b.alias("id_b"), "date", "feat_id", "feat_vector"))
+    return reduce(DataFrame.union, parts), fitted
+
+
+def path_elements(paths: Mapping[int, DataFrame], features: DataFrame, keys: Sequence[str], ends: bool = True) -> DataFrame:
+    """keys, element_key and feat_id of every place of the paths (by length) whose element has features, distinct. Node 0 is left out, as it is the seed;
+    ends: whether the last node counts."""
+    each = [long_elements(p, k, keys).where(F.lit(ends) | (F.col("kind") == 1) | (F.col("pos") < k)) for k, p in paths.items() if k]
+    every = reduce(DataFrame.union, each).withColumn("element_key", F.concat(F.col("kind").cast("string"), F.lit("_"), F.col("element_type").cast("string"))).withColumn("id_a", F.col("id_a").cast("long"))
+    same = (F.col("e.element_key") == F.col("f.element_key")) & (F.col("e.id_a") == F.col("f.id_a")) & F.col("e.id_b").eqNullSafe(F.col("f.id_b")) & (F.col("e.date") == F.col("f.date"))
+    return every.alias("e").join(features.alias("f"), same).select(*[F.col(f"e.{c}") for c in keys], "e.date", "e.element_key", "f.feat_id").distinct()
+
+
+def seed_elements(seeds: DataFrame, paths: Mapping[int, DataFrame], features: DataFrame) -> DataFrame:
+    """node_0_id, side, date, element_key, feat_id: what each seed collects, itself included. seeds: node_0_id, node_0_type, side, date."""
+    own = seeds.withColumn("element_key", element_key(0, "node_0_type")).alias("e").join(features.where("id_b is null").alias("f"), (F.col("e.element_key") == F.col("f.element_key")) & (F.col("e.node_0_id") == F.col("f.id_a")) & (F.col("e.date") == F.col("f.date")))
+    walked = path_elements(paths, features, ["node_0_id", "side"])
+    return own.select("e.node_0_id", "e.side", "e.date", "e.element_key", "f.feat_id").union(walked.select("node_0_id", "side", "date", "element_key", "feat_id")).distinct()
+
+
+def pair_elements(pairs: DataFrame, from_seeds: DataFrame, whole: Mapping[int, DataFrame], features: DataFrame) -> DataFrame:
+    """(pair, element_key, feat_id): what its u collects, what its v collects, and what stands on the paths between them."""
+    key = ["u_node_id", "v_node_id", "date"]
+    side = lambda n, c: pairs.select(*key).join(from_seeds.where(F.col("side") == n).select(F.col("node_0_id").alias(c), "date", "element_key", "feat_id"), [c, "date"]).select(*key, "element_key", "feat_id")
+    ended = {k: p.withColumn("u_node_id", F.col("node_0_id")).withColumn("v_node_id", F.col(f"node_{k}_id")) for k, p in whole.items()}
+    between = path_elements(ended, features, ["u_node_id", "v_node_id"], ends=False)
+    return side(0, "u_node_id").union(side(1, "v_node_id")).union(between.select(*key, "element_key", "feat_id")).distinct()
+
+
+def assemble_pairs(pairs: DataFrame, features: DataFrame, u_type: int, v_type: int, collected_paths: DataFrame, collected_features: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """One row a pair, the input of every model: the ids of its ends' vectors, its paths and its elements' vectors, with counts of 0
+    where it has none. samples: rows of pairs with labels; a pair then has a row for each of its samples."""
+    key = ["u_node_id", "v_node_id", "date"]
+    out = pairs.select(*key) if samples is None else pairs.select(*key).join(samples, key, "left")
+    for t, c, name in ((u_type, "u_node_id", "u_node_feat_id"), (v_type, "v_node_id", "v_node_feat_id")):
+        own = features.where(F.col("element_key") == f"0_{t}").select(F.col("id_a").alias(c), "date", F.col("feat_id").alias(name))
+        out = out.join(own, [c, "date"], "left")
+    out = out.join(collected_paths, key, "left").join(collected_features, key, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in out.columns if c == "path_count" or c.startswith("e") and c.endswith("_count")})

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.operators import graph as G
-from linkloom.operators.pairs import batches, labelled
+from linkloom.operators.pairs import batches, labelled, pair_batches
+from linkloom.operators.timewindows import FeatureSource, build_element
 from linkloom.plans.schema import GraphSchema
-from linkloom.sources.tables import Manifest, read_table, write_csv, write_table
+from linkloom.sources.files import Files
+from linkloom.sources.tables import Manifest, read_info, read_table, write_csv, write_table, write_with_info
 
 
 class Steps:
@@ -60,3 +63,43 @@ def samples(steps: Steps, pairs: DataFrame, targets: DataFrame, ratios: Sequence
 
 def inference_batches(steps: Steps, pairs: DataFrame, u_batches: int, v_batches: int, seed: str | int = 0) -> DataFrame:
     return steps.table("sample_pairs/infer", lambda: batches(pairs, u_batches, v_batches, seed), ["batch_id"])
+
+
+def element(steps: Steps, name: str, keys: Sequence[str], sources: Sequence[tuple[FeatureSource, DataFrame]], snapshots: Sequence[str]) -> tuple[DataFrame, list[dict]]:
+    """An element's table with the record of its features beside it. Each source is a table of its own first, which goes once they are merged, so
+    a restart repeats only what is missing."""
+    path, files = f"{steps.base}/element/{name}", Files(steps.spark)
+    if steps.manifest.missing(path):
+        staged = [(s, steps.table(f"element_stage/{name}/{s.name}", lambda s=s, df=df: df)) for s, df in sources]
+        df, info = build_element(keys, staged, snapshots)
+        write_with_info(df, path, info, "element_info", partition_columns=["snapshot"])
+        steps.manifest.complete(path)
+        files.delete(f"{steps.base}/element_stage/{name}")
+    return read_table(steps.spark, path), read_info(steps.spark, path, "element_info")
+
+
+def pair_rows(pairs: DataFrame, forward: list[DataFrame], back: list[DataFrame], whole: dict[int, DataFrame], features: DataFrame, u_type: int, v_type: int, samples: DataFrame | None = None) -> DataFrame:
+    """Whole rows of pairs from their walks (pair_walks), the paths between them and the elements' features."""
+    from linkloom.operators import subgraph as S
+
+    seed_side = lambda walks: {k: p for k, p in enumerate(walks) if k}
+    arrays = lambda walks: reduce(DataFrame.unionByName, [S.seed_paths(p, k) for k, p in seed_side(walks).items()])
+    both = {k: reduce(DataFrame.unionByName, [w[k] for w in (forward, back) if len(w) > k]) for k in range(1, max(len(forward), len(back)))}
+    collected = S.seed_elements(forward[0].union(back[0]), both, features)
+    used = S.pair_elements(pairs, collected, whole, features)
+    types = [r["element_key"] for r in features.select("element_key").distinct().orderBy("element_key").collect()]  # a row a type
+    paths = S.collect_pairs(pairs, arrays(forward), arrays(back), reduce(DataFrame.unionByName, [S.bipath_arrays(p, k) for k, p in whole.items()]))
+    return S.assemble_pairs(pairs, features, u_type, v_type, paths, S.collect_features(used, features.select("element_key", "feat_id", "feat_vector"), types), samples)
+
+
+def subgraph_batches(steps: Steps, name: str, pairs: DataFrame, n_batches: int, make: Callable[[DataFrame], DataFrame], seed: str | int = 0) -> DataFrame:
+    """The rows that `make` gives for the pairs, a batch at a time: each is a partition that is written and marked, so a restart makes only those that
+    are missing."""
+    from pyspark.sql import functions as F
+
+    dealt = steps.table(f"{name}_pairs", lambda: pair_batches(pairs.distinct(), n_batches, seed), ["batch_id"])
+    path, ids = f"{steps.base}/{name}", [(str(i),) for i in range(n_batches)]
+    for (i,) in steps.manifest.missing(path, ["batch_id"], ids):
+        write_table(make(dealt.where(F.col("batch_id") == int(i)).drop("batch_id")).withColumn("batch_id", F.lit(int(i))), path, partition_columns=["batch_id"])
+        steps.manifest.complete(path, ["batch_id"], [(i,)])
+    return read_table(steps.spark, path)

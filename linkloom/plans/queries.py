@@ -16,6 +16,7 @@ from linkloom.operators import table as T
 from linkloom.operators.timewindows import Stage, WindowSpec, build_element, map_static, map_windows, run_stages, time_map
 from linkloom.plans import oracle as O
 from linkloom.plans import trade as X
+from linkloom.session import keeper
 from linkloom.sources.tables import output_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,8 +361,9 @@ def g_seeds(s, d):
 
 
 def _walk(s, d, u: int, v: int):
-    e = X.outer(s, d)
-    return G.explore(X.customer_seeds(s, d), e, u, X.MAX_INSTANCE, None, X.SEED), G.explore(X.part_seeds(s, d), e, v, X.MAX_INSTANCE, None, X.SEED)
+    keep = keeper(s)
+    e = keep("edges", X.outer(s, d))
+    return G.explore(X.customer_seeds(s, d), e, u, X.MAX_INSTANCE, None, X.SEED, G.noted(keep, "u")), G.explore(X.part_seeds(s, d), e, v, X.MAX_INSTANCE, None, X.SEED, G.noted(keep, "v"))
 
 
 @query(O.select(O.explored(1, 1), "SELECT * FROM u1 UNION ALL SELECT * FROM v1"))
@@ -461,7 +463,9 @@ def c_type_prefix_v(s, d):
 
 
 def _candidates(s, d):
-    return G.candidate_pairs(X.customer_seeds(s, d), X.part_seeds(s, d), X.outer(s, d), _fixed_types(s), 4, X.known(s, d), X.CUSTOMER, X.PART, X.MAX_INSTANCE, X.SEED, [3, 4])
+    """Edges and hops are used several times, so they are kept."""
+    keep = keeper(s)
+    return G.candidate_pairs(X.customer_seeds(s, d), X.part_seeds(s, d), keep("edges", X.outer(s, d)), _fixed_types(s), 4, X.known(s, d), X.CUSTOMER, X.PART, X.MAX_INSTANCE, X.SEED, [3, 4], keep)
 
 
 @query(f"WITH {_CAND} SELECT * FROM cand")
@@ -491,7 +495,7 @@ _LAB = _POS + ",\nlab AS (" + " UNION ALL ".join(f"SELECT *, 1 AS label, {r}::DO
 
 
 def _labelled(s, d):
-    return P.labelled(_candidates(s, d), X.targets(s, d), [1, 3], None, X.SEED)
+    return P.labelled(keeper(s)("candidates", _candidates(s, d)), X.targets(s, d), [1, 3], None, X.SEED)
 
 
 @query(f"WITH {_POS} SELECT * FROM pos")
@@ -533,17 +537,14 @@ def _pairs(s, d):
 
 
 def _pair_walk(s, d):
-    pairs, types = _pairs(s, d), _fixed_types(s)
-    f, b = G.prefix_maps(types, 4)
-    u = G.seeds(pairs.select(F.col("u_node_id").alias("id"), "date"), X.CUSTOMER, 0)
-    v = G.seeds(pairs.select(F.col("v_node_id").alias("id"), "date"), X.PART, 1)
-    e = X.outer(s, d)
-    return G.explore(u, e, 2, X.MAX_INSTANCE, f, X.SEED), G.explore(v, e, 2, X.MAX_INSTANCE, b, X.SEED)
+    """The pairs' walks, each hop kept."""
+    keep = keeper(s)
+    return G.pair_walks(_pairs(s, d), keep("edges", X.outer(s, d)), _fixed_types(s), 4, X.CUSTOMER, X.PART, X.MAX_INSTANCE, X.SEED, keep)
 
 
 @query(f"WITH {_PWALK} SELECT node_0_id AS u_node_id, node_3_id AS v_node_id, 3 AS hop_k, node_1_id AS m1, node_2_id AS m2, CAST(NULL AS BIGINT) AS m3 FROM met3 UNION ALL SELECT node_0_id, node_4_id, 4, node_1_id, node_2_id, node_3_id FROM met4")
 def x_pair_bipaths(s, d):
-    found = G.pair_bipaths(_pairs(s, d), X.outer(s, d), _fixed_types(s), 4, X.CUSTOMER, X.PART, X.MAX_INSTANCE, X.SEED)
+    found = G.between(_pairs(s, d), *_pair_walk(s, d), _fixed_types(s), 4, X.MAX_INSTANCE, X.SEED)
     parts = [found[k].select(F.col("node_0_id").alias("u_node_id"), F.col(f"node_{k}_id").alias("v_node_id"), F.lit(k).alias("hop_k"), "node_1_id", "node_2_id", F.col("node_3_id") if k > 3 else F.lit(None).cast("long")) for k in (3, 4)]
     return parts[0].union(parts[1]).toDF("u_node_id", "v_node_id", "hop_k", "m1", "m2", "m3")
 
@@ -582,7 +583,7 @@ def x_seed_paths(s, d):
 
 def _collected(s, d):
     u, v = _pair_walk(s, d)
-    found = G.pair_bipaths(_pairs(s, d), X.outer(s, d), _fixed_types(s), 4, X.CUSTOMER, X.PART, X.MAX_INSTANCE, X.SEED)
+    found = G.between(_pairs(s, d), u, v, _fixed_types(s), 4, X.MAX_INSTANCE, X.SEED)
     up = S.seed_paths(u[1], 1).unionByName(S.seed_paths(u[2], 2))
     vp = S.seed_paths(v[1], 1).unionByName(S.seed_paths(v[2], 2))
     return S.collect_pairs(_pairs(s, d), up, vp, S.bipath_arrays(found[3], 3).unionByName(S.bipath_arrays(found[4], 4)))

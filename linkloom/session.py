@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import logging
 import os
+import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -83,6 +84,16 @@ def keeper(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
     return keep
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a result is read from: under spark.checkpoint.dir, or a temporary one where driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base}/scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def reformat_times(values: Sequence[Sequence[str]], source: Sequence[str], target: Sequence[str]) -> list[list[str]]:
     """Time values given in parts, such as [["2020", "01"]] for %Y and %m, in the parts of other formats."""
     return [[datetime.strptime(" ".join(v), " ".join(source)).strftime(f) for f in target] for v in values]

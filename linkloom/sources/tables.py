@@ -6,9 +6,10 @@ import itertools
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from linkloom.functions.columns import hash_unit
 from linkloom.operators.table import where_in
 from linkloom.sources.files import Files
 
@@ -76,6 +77,38 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "
     writer.save(path)
 
 
+def file_numbers(df: DataFrame, statistics: DataFrame, unique: Sequence[str], partition_columns: Sequence[str] = (), seed: str | int = 0) -> DataFrame:
+    """Adds file_no: each partition has the numbers after those of the partitions before it, as many as output_statistics says, and its rows
+    are spread over them by hash. The statistics have a row a partition."""
+    before = Window.orderBy(*(partition_columns or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1)
+    first = statistics.select(*partition_columns, "num_files", F.coalesce(F.sum("num_files").over(before), F.lit(0)).alias("_first"))
+    dealt = df.join(F.broadcast(first), list(partition_columns)) if partition_columns else df.crossJoin(F.broadcast(first))
+    return dealt.withColumn("file_no", (F.col("_first") + F.floor(hash_unit(seed, *unique) * F.col("num_files"))).cast("int")).drop("_first", "num_files")
+
+
+def write_numbered(df: DataFrame, path: str, n_files: int, format: str = "parquet", mode: str = "overwrite", partition_columns: Sequence[str] = (), files_at_once: int = 1500, **options: str) -> int:
+    """Writes a file for each file_no, some files at a time, so that one job commits no more than these; how many jobs it took. write_table's
+    rebalance needs neither numbers nor batches and is the usual way; this one fixes which row goes where."""
+    jobs = 0
+    for lo in range(0, n_files, files_at_once):
+        hi = min(n_files, lo + files_at_once)
+        part = df.where((F.col("file_no") >= lo) & (F.col("file_no") < hi)).repartitionById(hi - lo, F.col("file_no") - lo).drop("file_no")
+        writer = part.write.format(format).mode(mode if lo == 0 else "append").options(**options)
+        (writer.partitionBy(*partition_columns) if partition_columns else writer).save(path)
+        jobs += 1
+    return jobs
+
+
+def write_with_info(df: DataFrame, path: str, info: object, name: str, **options: object) -> None:
+    """A table with a JSON sidecar of that name, whose leading underscore hides it from readers of the table."""
+    write_table(df, path, **options)
+    Files(df.sparkSession).write_json(f"{path.rstrip('/')}/_{name}.json", info)
+
+
+def read_info(spark: SparkSession, path: str, name: str) -> object:
+    return Files(spark).read_json(f"{path.rstrip('/')}/_{name}.json")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with a header, in the frame's order."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -10,15 +10,23 @@ from pyspark.sql.streaming import StreamingQuery
 from linkloom.functions.columns import month_after
 
 
-def monthly_counts(stream: DataFrame, time_column: str, keys: list[str], lateness: str = "7 days") -> DataFrame:
-    """Facts a key and month, final once the watermark has passed."""
-    return stream.withWatermark(time_column, lateness).groupBy(F.window(time_column, "30 days"), *keys).agg(F.count(F.lit(1)).alias("facts")).select(*keys, F.col("window.start").alias("start"), "facts")
+def daily_counts(stream: DataFrame, time_column: str, keys: list[str], lateness: str = "7 days") -> DataFrame:
+    """Facts a key and day, final once the watermark has passed, so that the state is that of the days still open."""
+    days = F.window(time_column, "1 day")
+    return stream.withWatermark(time_column, lateness).groupBy(days, *keys).agg(F.count(F.lit(1)).alias("facts")).select(*keys, F.to_date("window.start").alias("day"), "facts")
+
+
+def monthly_counts(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts a key and calendar month, of the table that daily_counts has written."""
+    return daily.groupBy(*keys, F.trunc("day", "month").alias("month")).agg(F.sum("facts").alias("facts"))
 
 
 def feed_context(stream: DataFrame, path: str, checkpoint: str, time_column: str, flatten: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Appends flattened facts, dated as context tables are, to a table partitioned by date."""
+    """Adds flattened facts, dated as context tables are, to a table partitioned by batch and date. A batch that is tried again replaces what
+    its first try has written, so no fact counts twice."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        flatten(batch).withColumn("date", month_after(time_column)).write.mode("append").partitionBy("date").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        dated = flatten(batch).withColumn("date", month_after(time_column)).withColumn("feed_batch", F.lit(number))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feed_batch", "date").parquet(path)
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
