@@ -94,6 +94,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession) -> None:
+    """Removes what was written for this application under the shared folder; frames that were read from there are void afterwards."""
+    from linkloom.sources.files import Files
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    for kind in ("kept", "scratch", "stages"):
+        Files(spark).delete(f"{base}/{kind}-{spark.sparkContext.applicationId}")
+
+
 def reformat_times(values: Sequence[Sequence[str]], source: Sequence[str], target: Sequence[str]) -> list[list[str]]:
     """Time values given in parts, such as [["2020", "01"]] for %Y and %m, in the parts of other formats."""
     return [[datetime.strptime(" ".join(v), " ".join(source)).strftime(f) for f in target] for v in values]
