@@ -36,16 +36,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def stage_folder(spark: SparkSession) -> str:
     """A new folder for this application under spark.checkpoint.dir. Where that is unset, a temporary one, if driver and
-    executors are one process; a cluster must name a shared folder."""
+    executors are one process; a cluster must name a shared folder. linkloom.session.forget removes the application's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}"
     return f"{base}/stages-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-def forget_stages(spark: SparkSession) -> None:
-    """Removes all that `cut` has written for this application. Frames that were read from there are void afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_folder(spark)).getParent()
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
