@@ -1,16 +1,16 @@
 """Exact encoding and decoding with merge-type SentencePiece models, by backtracking.
 
 Instead of replaying merges, the encoder walks over the text with the longest vocabulary match at each place,
-found by one Aho-Corasick pass over the reversed piece trie's dictionary. A token may follow another only if merging
+found by one Aho-Corasick pass of an automaton of all pieces. A token may follow another only if merging
 the bytes of both from scratch would give just these two tokens; where no token may follow, the walk goes back one
 token and tries its next longest prefix. A bitfield of the places from which no valid rest was found keeps the
 walk linear. What comes out is the one sequence that the merges themselves would give.
 
 Texts fall into units that start at a word mark, which no merge crosses, so equal units are encoded once for each
-worker and kept in a table of bounded size.
+worker and kept in a table; between two texts it is emptied if its units, or their characters, are too many.
 
-Nulls count as empty texts, which have no tokens. Texts are read whole; rows with equal ids are encoded one by
-one; other columns are not read.
+Nulls count as empty texts, which have no tokens. Texts are read whole, however long; rows with equal ids are encoded one by
+one; a null doc_id is kept; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MARK = "▁"
 #: Runs of marks that start a word, with the word; the model's pieces cross no other place between units.
 _UNIT = re.compile(f"{MARK}*[^{MARK}]*")
-CACHE_UNITS, CACHE_PAIRS = 500_000, 500_000
+CACHE_UNITS, CACHE_CHARS, CACHE_PAIRS = 500_000, 32 << 20, 500_000
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -51,6 +51,7 @@ class MergeModel:
         self.follows: dict[tuple[str, str], bool] = {}
         self.made: dict[str, bool] = {}
         self.units: dict[str, str] = {}
+        self.chars = 0
         self.odd: dict[str, str] = {}
 
     @classmethod
@@ -154,20 +155,22 @@ class MergeModel:
 
     def learn(self, unit: str) -> str:
         """Encodes a unit that is not in the table. Units that decode to other text than their own are noted apart."""
-        if len(self.units) >= CACHE_UNITS:
-            self.units.clear()
-            self.odd.clear()
         ids = self.encode_unit(unit)
         shown = self.surface(ids)
         if shown != unit.replace(MARK, " "):
             self.odd[unit] = shown
         joined = self.units[unit] = ",".join(map(str, ids))
+        self.chars += len(unit) + len(joined)
         return joined
 
     def encoded(self, text: str) -> tuple[str, int, str]:
         """Ids joined by commas, how many they are, and the text that they decode to."""
         if not text:
             return "", 0, ""
+        if len(self.units) >= CACHE_UNITS or self.chars >= CACHE_CHARS:
+            self.units.clear()
+            self.odd.clear()
+            self.chars = 0
         marked = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
         plain = self.dummy_prefix and marked[-1] != MARK and MARK + MARK not in marked
         found = [MARK + w for w in marked[1:].split(MARK)] if plain else [u for u in _UNIT.findall(marked) if u]
