@@ -764,9 +764,159 @@ def test_fingerprints_of_small_tables(spark):
         assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
 
 
+# --- columns that SQL can express ---
+
+
+@pytest.fixture(scope="module")
+def sql():
+    duckdb = pytest.importorskip("duckdb")
+    path = "/root/testdata/sf0.01"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet'")
+    return path, con
+
+
+def test_edited_texts_of_a_whole_table(spark, sql):
+    path, con = sql
+    want = con.sql("""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS x, length(t) AS n FROM t)
+        SELECT doc_id, n, sha256(substr(t, 1, n - n // 2) || substr(x, 1, n // 2)) FROM n""").fetchall()
+    got = fingerprints.op10_fingerprints(spark, path).collect()
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    mark = {r.doc_id: r.fingerprint for r in got}
+    ids = sorted(mark)
+    for r in got:
+        following = mark[ids[ids.index(r.doc_id) - 1]]
+        assert r.near_edited == pytest.approx(fingerprints.compare(r.fingerprint, r.edited_fingerprint)) and r.near_next == pytest.approx(fingerprints.compare(r.fingerprint, following))
+
+
+def test_hosts_paths_and_rules_of_a_whole_table(spark, sql):
+    path, con = sql
+    rules = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2])))
+    want = con.sql(f"""WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM pages), s AS (SELECT page_id, CASE WHEN contains(u, '://') THEN substr(u, position('://' IN u) + 3) ELSE '' END AS r FROM u),
+        h AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM s)
+        SELECT page_id, host, path, CASE {rules} END FROM h""").fetchall()
+    got = urls.op9_url_filters(spark, path).collect()
+    assert sorted(((r.page_id, r.host, r.path, r.rule) for r in got), key=str) == sorted(want, key=str)
+    said = {h + p: v for v, h, p in urls.RULES}
+    assert all(r.verdict == said[r.rule] for r in got if r.rule) and all(r.verdict in ("allow", "block") for r in got)
+
+
+def test_sizes_and_places_of_a_whole_table(spark, sql):
+    path, con = sql
+    got = sharding.op5_sharding(spark, path).collect()
+    texts = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())
+    assert sorted((r.doc_id, r.size) for r in got) == sorted(con.sql("SELECT doc_id, strlen(coalesce(text, '')) + 8 FROM documents").fetchall())
+    assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.law == "bytes" and r.grown_shard is None and r.map_version == 2 for r in got if texts[r.doc_id] is not None)
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert set(loads) == set(range(24)) and max(loads.values()) < 1.05 * min(loads.values())
+    for s in range(24):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 # --- the pipeline ---
 
 
+def brute_pipeline(rows: list[tuple]) -> Counter:
+    """(doc_id, ids of the text) of what the four stages leave, by brute force over (doc_id, text) rows with distinct ids."""
+    from tokenizers import Tokenizer
+
+    def good(t):
+        n, chars, symbols, dup, repeated = brute_measures(t)
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if x.strip(" \t\n\v\f\r")]
+        stops = sum(w.lower() in quality.STOP_WORDS for w in words)
+        return not (n < 50 or 100 * repeated > 50 * n or chars < 2 * n or chars > 15 * n or 100 * symbols > 15 * n or 100 * stops < 6 * n or 100 * dup > 50 * len(lines))
+
+    rows = sorted(((i, t) for i, t in rows if good(t or "")), key=lambda r: r[0])
+    left = []
+    for (i, t), gone in zip(rows, brute_lines(rows), strict=True):
+        new = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        if new.strip(" \t\n\v\f\r"):
+            left.append((i, new))
+    top = brute_classes(left)
+    tokens = Tokenizer.from_file(packing.tokenizer())
+    return Counter((i, tuple(tokens.encode(t, add_special_tokens=False).ids)) for k, (i, t) in enumerate(left) if top[k] == k)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    corpus = pytest.importorskip("corpus_pipeline")
+    r = random.Random(18)
+    rows = []
+    for i in range(70):
+        lines = [" ".join([*r.sample(["the", "of", "and", "to", "in", "that"], 2), *(f"w{r.randint(0, 10**6)}" for _ in range(r.randint(4, 12)))]) for _ in range(r.randint(6, 14))]
+        if i % 5 == 1:  # a shared passage
+            lines[2:2] = ["the passage that stands in many of the texts", "and goes on to its second line here"]
+        if i % 5 == 2:  # a near copy: no line in common, few words changed
+            words = " ".join(lines).split()
+            rows.append((1000 + i, "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))))
+            words[len(words) // 2] = "other"
+            lines = [" ".join(words[k : k + 7]) for k in range(0, len(words), 7)]
+        rows.append((i, "\n".join(lines)))
+        if i % 7 == 0:
+            rows.append((500 + i, "\n".join(lines)))
+    rows += [(2000, "$$$ *** " * 60), (2001, "too short"), (2002, None), (2003, "zzz " * 80), (2004, "")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus.run(spark, str(tmp_path)).collect()
+    want = brute_pipeline(rows)
+    assert 40 < len(want) < 80
+    got: dict = {}
+    for p in sorted(pieces, key=lambda p: p.start):
+        got.setdefault(p.doc_id, []).append(p)
+    assert set(got) == {i for i, _ in want}
+    for i, ids in want:
+        full = [*ids, 1]
+        assert sum(p.length for p in got[i]) == len(full) == got[i][0].doc_tokens
+        assert all(p.ids_crc32 == zlib.crc32(np.array(full[p.start : p.start + p.length], "<u4").tobytes()) for p in got[i])
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    corpus = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_very_long_texts(spark):
+    """A text of a megabyte, one without any space and one of one line repeated, beside short ones, through every operator."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    r = random.Random(19)
+    long = "\n".join(" ".join(["the", "of", *(f"w{r.randint(0, 10**7)}" for _ in range(10))]) for _ in range(11_000))
+    texts = [long, long.replace("w1", "v1", 1), "x" * 300_000, "the line that is said again and again\n" * 9000, "short text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = Tokenizer.from_file(packing.tokenizer())
+    packed = packing.pack_documents(docs, packing.tokenizer()).collect()
+    for i, t in enumerate(texts):
+        ids = [*tokens.encode(t, add_special_tokens=False).ids, 1]
+        own = sorted((p for p in packed if p.doc_id == i), key=lambda p: p.start)
+        assert [p.start for p in own] == list(itertools.accumulate([0, *(p.length for p in own[:-1])])) and sum(p.length for p in own) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) for p in own)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {x.doc_id: x for x in sentencepiece_bpe.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+    assert {x.doc_id: x.class_id for x in neardup.classes(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    measured = {x.doc_id: x for x in quality.judge(docs, ["doc_id"]).collect()}
+    assert all((m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == brute_measures(texts[i]) for i, m in measured.items()) and measured[0].kept and not measured[3].kept
+    lines = {x.row.doc_id: x for x in linededup.dedup_lines(docs).collect()}
+    assert lines[1].new.count("\n") == 0 and "v1" in lines[1].new and lines[0].gone is None and lines[3].gone is None
+    prints = {x.doc_id: x for x in fingerprints.fingerprint_documents(docs).collect()}
+    assert prints[0].fingerprint != prints[2].fingerprint and all(prints[i].edited_sha256 == sha(fingerprints.edited(texts[i], texts[(i - 1) % 5])) for i in range(5))
+    assert {x.doc_id: x.size for x in sharding.shard_documents(docs)[0].collect()} == {i: len(t) + 8 for i, t in enumerate(texts)}
+    scored = {x.doc_id: x for x in ctw.score_documents(docs).collect()}
+    assert all(scored[i].n_tokens == len(t.split()) + 1 and scored[i].score < 0 for i, t in enumerate(texts))
+    notice = licenses.scan_documents(spark.createDataFrame([(0, long + "\nAll rights reserved.\n" + long)], "doc_id long, text string")).collect()
+    assert [(n.license, n.first_byte) for n in notice] == [("all-rights-reserved", len(long) + 1)]
+
+
 def test_pipeline_stages_chain(spark, tmp_path):
     corpus = pytest.importorskip("corpus_pipeline")
     good = [(i, " ".join(f"{w} the{i}x{k}" for k, w in enumerate(["the", "of", "and", "to", "in"] * 15)), "en", "s", 1) for i in range(8)]
