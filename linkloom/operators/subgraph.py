@@ -107,6 +107,14 @@ def long_elements(paths: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
     return paths.select(*keys, "date", F.explode(F.array(*nodes, *edges)).alias("x")).select(*keys, "date", "x.*")
 
 
+def rebuild_paths(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The arrays of seed_paths from rows of long_elements: each path, named by the keys, is put together again by position."""
+    at = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "element_type", "id_a", "id_b"))))
+    got = long.groupBy(*keys, "date").agg(at(0).alias("n"), at(1).alias("e"))
+    names = {"node_type_array": "n.element_type", "node_id_array": "n.id_a", "edge_type_array": "e.element_type", "edge_u_id_array": "e.id_a", "edge_v_id_array": "e.id_b"}
+    return got.select(*keys, "date", F.size("e").alias("hop_k"), *[F.col(c).alias(a) for a, c in names.items()])
+
+
 def collect_pairs(pairs: DataFrame, u_paths: DataFrame, v_paths: DataFrame, whole: DataFrame) -> DataFrame:
     """One row a pair with all paths of its u (type 0), its v (type 1) and between them (type 2), as arrays of arrays in a
     fixed order, and their number. A pair without paths has empty arrays."""

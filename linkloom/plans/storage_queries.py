@@ -121,7 +121,8 @@ def el_with_info(s, d):
     steps = L.Steps(s, scratch(s, "element"))
     table, info = L.element(steps, "customer", ["c_custkey"], [(X.SPENDING, X.orders(s, d)), (X.BASKETS, X.lines(s, d))], [X.SNAPSHOT])
     again, same = L.element(steps, "customer", ["c_custkey"], [(X.SPENDING, X.orders(s, d)), (X.BASKETS, X.lines(s, d))], [X.SNAPSHOT])
-    if same != info or [m["index"] for m in info] != list(range(len(info))):
+    counts = W.feature_counts(s, {"customer": f"{steps.base}/element/customer", "part": f"{steps.base}/element/part"})
+    if same != info or [m["index"] for m in info] != list(range(len(info))) or counts != {"customer": 17, "part": 0}:
         raise AssertionError("the record of features changed")
     return again.select("c_custkey", F.to_date("snapshot").alias("snapshot"), F.lit(",".join(m["source"] for m in info)).alias("sources"), F.size("feat_vector").alias("size"))
 

@@ -103,7 +103,14 @@ def x_pair_elements(s, d):
     return S.pair_elements(pairs, S.seed_elements(forward[0].union(back[0]), both, features), whole, features).drop("date")
 
 
-_COUNT = lambda key: f"(SELECT count(*) FROM pairel e WHERE e.u_node_id = p.u_node_id AND e.v_node_id = p.v_node_id AND e.element_key = '{key}')"
+@query(f"WITH {_PWALK} SELECT node_0_id, 2 AS hop_k, node_1_type AS t1, node_2_type AS t2, node_1_id AS n1, node_2_id AS n2, edge_0_type AS e0, edge_1_type AS e1, CASE WHEN edge_0_u = 0 THEN node_0_id ELSE node_1_id END AS u0, CASE WHEN edge_1_v = 1 THEN node_1_id ELSE node_2_id END AS v1 FROM u2")
+def x_rebuilt_paths(s, d):
+    """Paths taken apart into a row a place, dealt out, and put together again by position."""
+    _, forward, _, _ = _walked(s, d)
+    paths = forward[2].withColumn("path", F.xxhash64(*G.path_columns(2)))
+    a = S.rebuild_paths(S.long_elements(paths, 2, ["node_0_id", "path"]).repartition(5, "pos"), ["node_0_id", "path"])
+    cols = {"t1": ("node_type_array", 0), "t2": ("node_type_array", 1), "n1": ("node_id_array", 0), "n2": ("node_id_array", 1), "e0": ("edge_type_array", 0), "e1": ("edge_type_array", 1), "u0": ("edge_u_id_array", 0), "v1": ("edge_v_id_array", 1)}
+    return a.select("node_0_id", "hop_k", *[F.col(c)[i].alias(n) for n, (c, i) in cols.items()])
 
 
 @query(f"""WITH {_PAIREL},

@@ -109,6 +109,12 @@ def read_info(spark: SparkSession, path: str, name: str) -> object:
     return Files(spark).read_json(f"{path.rstrip('/')}/_{name}.json")
 
 
+def feature_counts(spark: SparkSession, paths: Mapping[str, str], name: str = "element_info") -> dict[str, int]:
+    """How many features each element type has, by the record beside its table; 0 without one."""
+    files = Files(spark)
+    return {t: len(files.read_json(at)) if files.exists(at := f"{p.rstrip('/')}/_{name}.json") else 0 for t, p in paths.items()}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with a header, in the frame's order."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
