@@ -1,8 +1,8 @@
 """Packing by lexical retrieval.
 
 Documents are encoded once, and the tokens' document frequencies are summed over all of them; that table is as long as the
-vocabulary. Telling tokens are those that several documents hold, but not too many. A document's rarest telling tokens say into which shard it
-goes, so that texts which share them meet wherever they come from; whatever shares so much that it outgrows a shard is split
+vocabulary. Telling tokens are those that several documents hold, but not too many. They have one random order, drawn with their idf as weights, and
+a document goes to the shard of its first one, so that two texts meet with the chance of their weighted similarity, wherever they come from; whatever shares so much that it outgrows a shard is split
 by the next token, then by hash. A shard has a BM25 inverted index over its documents, with frequencies and
 mean length of the whole corpus. The document that opens a window is the seed: all its telling tokens are looked up, and the unused documents that
 score best fill the window in turn, ties by order in the shard. What does not fit is cut and opens the next window. Only the last
@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkloom.llm.common import parts_for, text_col
+from linkloom.llm.common import mix64, parts_for, text_col
 from linkloom.llm.licenses import pieces
 from linkloom.llm.spark_util import cut
 
@@ -166,14 +166,18 @@ class Corpus:
         self.n_docs, self.mean = n_docs, max(1.0, n_tokens / max(1, n_docs))
         telling = (df > 1) & (df <= n_docs / STOP_SHARE + STOP_LEAST)
         self.idf = np.where(telling, np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0)
-        order = np.argsort(df, kind="stable")
+        # Exponential times with the idf as rates: that of two documents the same token comes first has the chance of their similarity,
+        # the idf of the tokens that both hold over that of those that either holds.
+        draw = (mix64(np.arange(len(df), dtype=np.uint64) + np.uint64(0x51ED2701)) >> np.uint64(11)).astype(float) * 2.0**-53
+        time = -np.log(draw + 2.0**-54) / np.where(telling, self.idf, 1.0)
+        order = np.argsort(time, kind="stable")
         order = order[telling[order]]
-        #: Place of each telling token from the rarest on; the vocabulary's size for all others.
+        #: Place of each telling token in that order; the vocabulary's size for all others.
         self.rank = np.full(len(df), len(df), np.int32)
         self.rank[order] = np.arange(len(order), dtype=np.int32)
 
-    def rarest(self, ids: np.ndarray, lens: np.ndarray, n: int = 2) -> list[np.ndarray]:
-        """The ranks of the n rarest telling tokens of each document."""
+    def first(self, ids: np.ndarray, lens: np.ndarray, n: int = 2) -> list[np.ndarray]:
+        """The ranks of the n first telling tokens of each document."""
         none = len(self.rank)
         # With an end behind each document, which keeps documents without ids apart.
         rank = with_ends(self.rank[ids], lens, none)
@@ -303,14 +307,14 @@ def corpus_of(table: DataFrame, size: int) -> Corpus:
 
 
 def dealt(table: DataFrame, corpus: Corpus, kind: np.dtype, group_tokens: int = GROUP_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int]:
-    """The documents with their shard, below the number of shards. A group of documents with the same rarest token goes whole, one too large
+    """The documents with their shard, below the number of shards. A group of documents with the same first token goes whole, one too large
     by its next token, and one that is still too large by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "ids"):
                 ids, lens = flat_ids(batch.column("ids"), kind)
-                t, u = corpus.rarest(ids, lens)
+                t, u = corpus.first(ids, lens)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lens + 1), pa.array(t), pa.array(u)], ["doc_id", "ids", "place", "n", "t", "u"])
 
     # Rows without an id may be wholly equal, so they are told apart by their place in the written table.
