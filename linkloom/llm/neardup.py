@@ -35,7 +35,7 @@ BANDS, ROWS = 20, 4
 #: Bits of a set's parities.
 PARITY = 1024
 #: Most members, and bytes of their sets, that one side of a unit holds on average.
-UNIT_ROWS, UNIT_BYTES = 1024, 8 << 20
+UNIT_ROWS, UNIT_BYTES = 512, 8 << 20
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
