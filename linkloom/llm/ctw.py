@@ -15,8 +15,8 @@ corpus is broadcast or collected, no counts are cut off, and a shard's memory is
 groups of blocks first, and a part of the model answers groups of blocks, so no task's input follows the corpus.
 
 Nulls count as empty texts, which are one end symbol. Rows with equal ids are scored one by one and are together in or
-out of training; a null id counts as text 'null'. A text longer than a block is a block of its own size. An empty table gives no rows.
-Other columns are not read.
+out of training; a null id counts as text 'null'. A text longer than a block is a block of its own size; rows alike in id and text fall into one
+block, which is read as a stream. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -227,26 +226,36 @@ def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def gather_block(table: pa.Table, n_shards: int, depth: int = DEPTH) -> pa.Table:
-    """What a block sends: pairs and words with their training counts, those of held-out rows only with 0."""
-    raw, offsets = utf8(table["text"])
-    held = table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-    pairs, counts, words, asked, ends = [], [], Counter(), set(), 0
-    for a, b in _slices(offsets):
-        part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        sym, first, stop = symbols(part, at, depth)
-        key = pair_keys(sym, first, stop, depth)
-        training = np.repeat(~held[a:b], stop - first)
-        for k, weight in ((key[training], 1), (key[~training], 0)):
-            distinct, n = counted(k)
-            pairs.append(distinct)
-            counts.append(n * weight)
-        lowered = lower_ascii(part).tobytes()
-        ends += int((~held[a:b]).sum())
-        for i in range(b - a):
-            (asked.update if held[a + i] else words.update)(lowered[at[i] : at[i + 1]].split())
-    key, n = counted(np.concatenate(pairs), np.concatenate(counts)) if pairs else (np.zeros(0, _KEY), np.zeros(0, np.int64))
-    block = table["block"][0].as_py()
+def gather_block(batches: Iterator[pa.RecordBatch], n_shards: int, depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
+    """What a block sends: pairs and words with their training counts, those of held-out rows only with 0. Its rows are read as a stream; what
+    is held are its distinct pairs and words."""
+    pairs, counts, words, asked, ends, block, loose = [], [], Counter(), set(), 0, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column("block")[0].as_py()
+        raw, offsets = utf8(batch.column("text"))
+        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for a, b in _slices(offsets):
+            part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            sym, first, stop = symbols(part, at, depth)
+            key = pair_keys(sym, first, stop, depth)
+            training = np.repeat(~held[a:b], stop - first)
+            for k, weight in ((key[training], 1), (key[~training], 0)):
+                distinct, n = counted(k)
+                pairs.append(distinct)
+                counts.append(n * weight)
+                loose += len(distinct)
+            if loose > 8_000_000 + 2 * len(pairs[0]):
+                pairs, counts = ([x] for x in counted(np.concatenate(pairs), np.concatenate(counts)))
+                loose = 0
+            lowered = lower_ascii(part).tobytes()
+            ends += int((~held[a:b]).sum())
+            for i in range(b - a):
+                (asked.update if held[a + i] else words.update)(lowered[at[i] : at[i + 1]].split())
+    if block is None:
+        return
+    key, n = counted(np.concatenate(pairs), np.concatenate(counts))
     rows: list[tuple] = []
     shard = shard_table(n_shards)[key >> (8 * (depth - 1))]
     order = np.argsort(shard, kind="stable")
@@ -263,7 +272,8 @@ def gather_block(table: pa.Table, n_shards: int, depth: int = DEPTH) -> pa.Table
         if own:
             own.sort()
             rows.append(("words", s, block, zstandard.compress(b" ".join(own), 1), pack(np.array([words[w] for w in own], np.int64))))
-    return pa.table(dict(zip(("kind", "shard", "block", "keys", "counts"), (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)), strict=True)))
+    types = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "shard", "block", "keys", "counts"])
 
 
 def _word_shard(word: bytes, n_shards: int) -> int:
@@ -353,56 +363,57 @@ def answer(batches: Iterator[pa.RecordBatch], root: Root, depth: int = DEPTH) ->
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([kind], pa.string()), pa.array([k], pa.binary()), pa.array([said], pa.binary())], ["block", "kind", "keys", "bits"])
 
 
-def score_block(docs: pa.Table, answers: pa.Table, total: int, distinct: int, depth: int = DEPTH) -> pa.Table:
-    count: dict[bytes, int] = {}
-    keys, cost = [], []
-    for kind, k, b in zip(answers["kind"].to_pylist(), answers["keys"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-        if kind == "words":
-            count.update(zip(_words(k), unpack(b).tolist(), strict=True))
-        else:
-            keys.append(unpack(k))
-            cost.append(np.frombuffer(b, "<f4"))
-    del answers
-    key, value = (np.concatenate(keys), np.concatenate(cost)) if keys else (np.zeros(0, _KEY), np.zeros(0, np.float32))
-    order = np.argsort(key)
-    key, value = key[order], value[order].astype(float)
-    raw, offsets = utf8(docs["text"])
-    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-    scale, end = np.log10(total + 0.1 * (distinct + 1)), count.get(b"", 0)
-    for a, b in _slices(offsets):
-        part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        sym, first, stop = symbols(part, at, depth)
-        code, found = pd.factorize(pair_keys(sym, first, stop, depth))
-        each = value[np.searchsorted(key, found)][code]
-        size = stop - first
-        bits = np.add.reduceat(each, np.cumsum(size) - size)
-        n_words = np.bincount(word_spans(part, at)[2], minlength=b - a)
-        lowered = lower_ascii(part).tobytes()
-        n = np.fromiter((count[w] for i in range(b - a) for w in lowered[at[i] : at[i + 1]].split()), np.int64, int(n_words.sum()))
-        row = np.repeat(np.arange(b - a), n_words)
-        cols[0].append(n_words + 1)
-        cols[1].append(np.bincount(row[n > 0], minlength=b - a) + (end > 0))
-        cols[2].append(np.bincount(row, np.log10(n + 0.1), b - a) + np.log10(end + 0.1) - (n_words + 1) * scale)
-        cols[3].append(-bits * np.log10(2.0))
-        cols[4].append(size)
-        cols[5].append(np.maximum(np.diff(at), 1))
-    n_tokens, n_known, base, score, size, n_bytes = (np.concatenate(c) if c else np.zeros(0) for c in cols)
-    return pa.table({
-        "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(size), total), pa.int64()),
-        "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "n_symbols": pa.array(size, pa.int64()), "bits_per_byte": pa.array(-score / np.log10(2.0) / n_bytes, pa.float64()),
-    })
+class Answers:
+    """What the model's parts said to a block: words' counts, and the bits of each pair."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        self.count: dict[bytes, int] = {}
+        keys, cost = [np.zeros(0, _KEY)], [np.zeros(0, np.float32)]
+        for batch in batches:
+            for kind, k, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "bits")), strict=True):
+                if kind == "words":
+                    self.count.update(zip(_words(k), unpack(b).tolist(), strict=True))
+                else:
+                    keys.append(unpack(k))
+                    cost.append(np.frombuffer(b, "<f4"))
+        key, value = np.concatenate(keys), np.concatenate(cost)
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order].astype(float)
+
+    def score(self, docs: pa.RecordBatch, total: int, distinct: int, depth: int = DEPTH) -> pa.RecordBatch:
+        raw, offsets = utf8(docs.column("text"))
+        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+        scale, count = np.log10(total + 0.1 * (distinct + 1)), self.count
+        end = count.get(b"", 0)
+        for a, b in _slices(offsets):
+            part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            sym, first, stop = symbols(part, at, depth)
+            code, found = pd.factorize(pair_keys(sym, first, stop, depth))
+            each = self.value[np.searchsorted(self.key, found)][code]
+            size = stop - first
+            bits = np.add.reduceat(each, np.cumsum(size) - size)
+            n_words = np.bincount(word_spans(part, at)[2], minlength=b - a)
+            lowered = lower_ascii(part).tobytes()
+            n = np.fromiter((count[w] for i in range(b - a) for w in lowered[at[i] : at[i + 1]].split()), np.int64, int(n_words.sum()))
+            row = np.repeat(np.arange(b - a), n_words)
+            cols[0].append(n_words + 1)
+            cols[1].append(np.bincount(row[n > 0], minlength=b - a) + (end > 0))
+            cols[2].append(np.bincount(row, np.log10(n + 0.1), b - a) + np.log10(end + 0.1) - (n_words + 1) * scale)
+            cols[3].append(-bits * np.log10(2.0))
+            cols[4].append(size)
+            cols[5].append(np.maximum(np.diff(at), 1))
+        n_tokens, n_known, base, score, size, n_bytes = (np.concatenate(c) if c else np.zeros(0) for c in cols)
+        out = (
+            docs.column("doc_id"), docs.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(len(size), total), pa.int64()),
+            pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(size, pa.int64()), pa.array(-score / np.log10(2.0) / n_bytes, pa.float64()),
+        )
+        return pa.RecordBatch.from_arrays(list(out), [c.split()[0] for c in OUT_SCHEMA.split(", ")])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")) % FOLDS == 0
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """All rows of a partition, which is one block."""
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held).combine_chunks() if held else None
-
-
 def score_documents(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     spark = docs.sparkSession
     blocks = parts_for(total_bytes(docs), block_bytes)
@@ -411,11 +422,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOC
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"), held_out().alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     folder = stage_folder(spark)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (table := _whole(batches)) is not None:
-            yield from gather_block(table, shards, depth).to_batches()
-
-    rows.repartitionById(blocks, F.col("block")).mapInArrow(gather, A_SCHEMA).write.parquet(f"{folder}/gathered")
+    rows.repartitionById(blocks, F.col("block")).mapInArrow(lambda b: gather_block(b, shards, depth), A_SCHEMA).write.parquet(f"{folder}/gathered")
     gathered = spark.read.parquet(f"{folder}/gathered")
     # Runs of some blocks are added up before a shard's sums meet in one task: their distinct keys grow far more slowly than the text.
     part = F.floor(F.col("block") / F.lit(group_blocks)).cast("int").alias("part")
@@ -436,11 +443,18 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOC
     both = rows.select("block", "doc_id", "text", "held_out", none("string", "kind"), none("binary", "keys"), none("binary", "bits")).union(answers.select("block", none("long", "doc_id"), none("string", "text"), none("boolean", "held_out"), "kind", "keys", "bits"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (table := _whole(batches)) is not None:
-            said = pa.compute.is_valid(table["kind"])
-            yield from score_block(table.filter(pa.compute.invert(said)).combine_chunks(), table.filter(said), total, distinct, depth).to_batches()
-
-    return both.repartitionById(blocks, F.col("block")).mapInArrow(score, OUT_SCHEMA)
+        """A block's answers come first, then its rows as a stream."""
+        said, answers = [], None
+        for batch in batches:
+            first = batch.num_rows - batch.column("kind").null_count
+            if first:
+                said.append(batch.slice(0, first))
+            if first < batch.num_rows:
+                if answers is None:
+                    answers, said = Answers(said), []
+                yield answers.score(batch.slice(first), total, distinct, depth)
+
+    return both.repartitionById(blocks, F.col("block")).sortWithinPartitions(F.col("kind").asc_nulls_last()).mapInArrow(score, OUT_SCHEMA)
 
 
 def op1_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

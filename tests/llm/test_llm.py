@@ -286,10 +286,17 @@ def test_scores_are_those_of_bm25():
         unused = np.array([r.random() < 0.5 for _ in range(70)])
         ranked = sorted((i for i in range(70) if unused[i] and got[i] > 0), key=lambda i: (-got[i], i))
         assert list(index.neighbours(seed, unused, 5)) == ranked
-    first, second = corpus.first(flat, lens)
+
+
+def test_keys_are_the_first_tokens_of_one_order():
+    r = random.Random(20)
+    whole = [[r.randint(0, 4999) for _ in range(r.choice([0, 1, 2, 30]))] for _ in range(200)]
+    flat, lens = np.array([x for d in whole for x in d], np.uint16), np.array([len(d) for d in whole])
+    ranks = packing.key_ranks(5000)
+    assert sorted(ranks[ranks < 5000]) == list(range(5000 - packing.KEY_FLOOR - 1)) and (ranks[: packing.KEY_FLOOR + 1] == 5000).all()
+    first, second = packing.first_keys(flat, lens, ranks)
     for d, a, b in zip(whole, first, second, strict=True):
-        ranks = sorted({int(corpus.rank[x]) for x in d} - {300})
-        assert [a, b] == [*ranks, 300, 300][:2]
+        assert [a, b] == [*sorted({int(ranks[x]) for x in d} - {5000}), 5000, 5000][:2]
 
 
 def test_windows_are_filled_with_neighbours():
@@ -571,7 +578,7 @@ def test_classes_of_a_whole_table_match_brute_force(spark):
     assert got == {i: least[c] for (i, _), c in zip(rows, top, strict=True)}
 
 
-@pytest.mark.parametrize("unit_rows", [3, 1024])
+@pytest.mark.parametrize("unit_rows", [3, 512])
 def test_a_large_bucket_of_borderline_copies_is_dealt_into_units(spark, monkeypatch, unit_rows):
     """One bucket of 60 versions whose similarities lie around the threshold: leaders settle little."""
     monkeypatch.setattr(neardup.in_units, "__defaults__", (unit_rows, 8 << 20))
