@@ -544,7 +544,8 @@ def _pair_walk(s, d):
 
 @query(f"WITH {_PWALK} SELECT node_0_id AS u_node_id, node_3_id AS v_node_id, 3 AS hop_k, node_1_id AS m1, node_2_id AS m2, CAST(NULL AS BIGINT) AS m3 FROM met3 UNION ALL SELECT node_0_id, node_4_id, 4, node_1_id, node_2_id, node_3_id FROM met4")
 def x_pair_bipaths(s, d):
-    found = G.between(_pairs(s, d), *_pair_walk(s, d), _fixed_types(s), 4, X.MAX_INSTANCE, X.SEED)
+    keep = keeper(s)
+    found = G.pair_bipaths(_pairs(s, d), keep("edges", X.outer(s, d)), _fixed_types(s), 4, X.CUSTOMER, X.PART, X.MAX_INSTANCE, X.SEED, keep)
     parts = [found[k].select(F.col("node_0_id").alias("u_node_id"), F.col(f"node_{k}_id").alias("v_node_id"), F.lit(k).alias("hop_k"), "node_1_id", "node_2_id", F.col("node_3_id") if k > 3 else F.lit(None).cast("long")) for k in (3, 4)]
     return parts[0].union(parts[1]).toDF("u_node_id", "v_node_id", "hop_k", "m1", "m2", "m3")
 
