@@ -1,10 +1,10 @@
 """Packing by lexical retrieval.
 
 Documents are encoded once, and the tokens' document frequencies are summed over all of them; that table is as long as the
-vocabulary. Telling tokens are those that several documents hold, but not too many. They have one random order, drawn with their idf as weights, and
-a document goes to the shard of its first one, so that two texts meet with the chance of their weighted similarity, wherever they come from; whatever shares so much that it outgrows a shard is split
+vocabulary. The vocabulary has one random order, drawn with weights that favour its rarer tokens, and
+a document goes to the shard of its first token in it, so that two texts meet with the chance of their weighted similarity, wherever they come from; whatever shares so much that it outgrows a shard is split
 by the next token, then by hash. A shard has a BM25 inverted index over its documents, with frequencies and
-mean length of the whole corpus. The document that opens a window is the seed: all its telling tokens are looked up, and the unused documents that
+mean length of the whole corpus. Telling tokens are those that several documents hold, but not too many. The document that opens a window is the seed: all its telling tokens are looked up, and the unused documents that
 score best fill the window in turn, ties by order in the shard. What does not fit is cut and opens the next window. Only the last
 window of a shard is not full. Shards and their order follow from the rows alone: a table is packed alike each time.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -24,16 +25,20 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkloom.llm.common import mix64, parts_for, text_col
+from linkloom.llm.common import mix64, parts_for, text_col, total_bytes
 from linkloom.llm.licenses import pieces
 from linkloom.llm.spark_util import cut
 
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard, on average, and of a group of documents that must not be split.
 SHARD_TOKENS, GROUP_TOKENS = 8 << 20, 2 << 20
+#: Shards that a task packs, and bytes of text that a task encodes at least, so that files are not small.
+SHARDS_A_TASK, TASK_BYTES = 8, 48 << 20
 #: Tokens that more documents than these hold, and more than one in STOP_SHARE, tell nothing.
 STOP_SHARE, STOP_LEAST = 16, 8
 K1, B = 1.2, 0.75
+#: Tokens with lower ids are too frequent to say where a document belongs.
+KEY_FLOOR = 2000
 #: A worker forgets its units when it has more of them, or more of their characters.
 CACHE_UNITS, CACHE_CHARS = 500_000, 16 << 20
 #: Rows of a table that is small enough to be sent to all executors.
@@ -166,27 +171,33 @@ class Corpus:
         self.n_docs, self.mean = n_docs, max(1.0, n_tokens / max(1, n_docs))
         telling = (df > 1) & (df <= n_docs / STOP_SHARE + STOP_LEAST)
         self.idf = np.where(telling, np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0)
-        # Exponential times with the idf as rates: that of two documents the same token comes first has the chance of their similarity,
-        # the idf of the tokens that both hold over that of those that either holds.
-        draw = (mix64(np.arange(len(df), dtype=np.uint64) + np.uint64(0x51ED2701)) >> np.uint64(11)).astype(float) * 2.0**-53
-        time = -np.log(draw + 2.0**-54) / np.where(telling, self.idf, 1.0)
-        order = np.argsort(time, kind="stable")
-        order = order[telling[order]]
-        #: Place of each telling token in that order; the vocabulary's size for all others.
-        self.rank = np.full(len(df), len(df), np.int32)
-        self.rank[order] = np.arange(len(order), dtype=np.int32)
-
-    def first(self, ids: np.ndarray, lens: np.ndarray, n: int = 2) -> list[np.ndarray]:
-        """The ranks of the n first telling tokens of each document."""
-        none = len(self.rank)
-        # With an end behind each document, which keeps documents without ids apart.
-        rank = with_ends(self.rank[ids], lens, none)
-        starts = np.cumsum(lens + 1) - (lens + 1)
-        out: list[np.ndarray] = []
-        for _ in range(n):
-            out.append(np.minimum.reduceat(rank, starts) if len(lens) else np.zeros(0, np.int32))
-            rank[rank == np.repeat(out[-1], lens + 1)] = none
-        return out
+
+
+@lru_cache(4)
+def key_ranks(size: int) -> np.ndarray:
+    """A fixed random order of the vocabulary, in which a token comes early with a weight that grows with its id: vocabularies list merges as they
+    were learnt, the frequent ones first. The first KEY_FLOOR tokens are no keys; their rank is the vocabulary's size. Drawn as exponential times, so that two
+    documents have the same first token with the chance of their similarity: the weights that they share over those of either."""
+    weight = np.log(np.maximum(np.arange(size), 1) / KEY_FLOOR)
+    draw = (mix64(np.arange(size, dtype=np.uint64) + np.uint64(0x51ED2701)) >> np.uint64(11)).astype(float) * 2.0**-53
+    order = np.argsort(np.where(weight > 0, -np.log(draw + 2.0**-54) / np.maximum(weight, 1e-9), np.inf), kind="stable")
+    order = order[weight[order] > 0]
+    out = np.full(size, size, np.int32)
+    out[order] = np.arange(len(order), dtype=np.int32)
+    return out
+
+
+def first_keys(ids: np.ndarray, lens: np.ndarray, ranks: np.ndarray, n: int = 2) -> list[np.ndarray]:
+    """The n least ranks of each document's tokens; the vocabulary's size where there are fewer."""
+    none = len(ranks)
+    # With an end behind each document, which keeps documents without ids apart.
+    rank = with_ends(ranks[ids], lens, none)
+    starts = np.cumsum(lens + 1) - (lens + 1)
+    out: list[np.ndarray] = []
+    for _ in range(n):
+        out.append(np.minimum.reduceat(rank, starts) if len(lens) else np.zeros(0, np.int32))
+        rank[rank == np.repeat(out[-1], lens + 1)] = none
+    return out
 
 
 class Bm25Index:
@@ -272,23 +283,27 @@ def encoder_of(path: str) -> UnitEncoder:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, wide: bool) -> DataFrame:
-    """doc_id and ids (without the end) of each document, and for each task one row of counts: documents by token, documents, tokens."""
+    """doc_id, ids (without the end), their number n with it and the keys t and u of each document; and for each task one row of counts:
+    documents by token, documents, tokens."""
     kind = np.dtype("<u4" if wide else "<u2")
+    names = ["doc_id", "ids", "n", "t", "u", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
-        counts = np.zeros(encoder.size + 2, np.int64)
+        counts, ranks = np.zeros(encoder.size + 2, np.int64), key_ranks(encoder.size)
         for whole in batches:
             for batch in pieces(whole):
                 ids, lens = encoder.encode_batch(batch.column("text").to_pylist())
-                counts[: encoder.size] += np.bincount(held_tokens(ids.astype(kind), lens)[0], minlength=encoder.size)
+                ids = ids.astype(kind)
+                counts[: encoder.size] += np.bincount(held_tokens(ids, lens)[0], minlength=encoder.size)
                 counts[encoder.size :] += batch.num_rows, len(ids)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]) * kind.itemsize, pa.int32())
-                binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets.buffers()[1], pa.py_buffer(ids.astype(kind).tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary, pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "ids", "counts"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["doc_id", "ids", "counts"])
+                binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets.buffers()[1], pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary, pa.array(lens + 1), *map(pa.array, first_keys(ids, lens, ranks)), pa.nulls(batch.num_rows, pa.binary())], names)
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).mapInArrow(run, "doc_id long, ids binary, n long, t int, u int, counts binary")
 
 
 def corpus_of(table: DataFrame, size: int) -> Corpus:
@@ -306,28 +321,19 @@ def corpus_of(table: DataFrame, size: int) -> Corpus:
     return Corpus(total[:size], int(total[-2]), int(total[-1]))
 
 
-def dealt(table: DataFrame, corpus: Corpus, kind: np.dtype, group_tokens: int = GROUP_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int]:
-    """The documents with their shard, below the number of shards. A group of documents with the same first token goes whole, one too large
-    by its next token, and one that is still too large by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "ids"):
-                ids, lens = flat_ids(batch.column("ids"), kind)
-                t, u = corpus.first(ids, lens)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lens + 1), pa.array(t), pa.array(u)], ["doc_id", "ids", "place", "n", "t", "u"])
-
-    # Rows without an id may be wholly equal, so they are told apart by their place in the written table.
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    keyed = table.where(F.col("ids").isNotNull()).select("doc_id", "ids", place.alias("place")).mapInArrow(run, "doc_id long, ids binary, place long, n long, t int, u int")
-    sizes = cut(keyed.groupBy("t", "u").agg(F.sum("n").alias("n")))
-    parts = lambda c: F.ceil(F.col(c) / F.lit(group_tokens)).cast("long")
-    by_one = sizes.groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") > group_tokens).select("t", parts("n").alias("k1"))  # as many rows as tokens at most
-    by_two = sizes.where(F.col("n") > group_tokens).select("t", "u", parts("n").alias("k2"))
+def dealt(table: DataFrame, corpus: Corpus, group_tokens: int = GROUP_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int]:
+    """The documents with their shard, below the number of shards. A group of documents with the same first key goes whole, one too large
+    by the next key, and one that is still too large by hash."""
+    rows = table.where(F.col("ids").isNotNull())
+    heavy = lambda *keys: rows.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") > group_tokens).select(*keys, F.ceil(F.col("n") / F.lit(group_tokens)).cast("long").alias(f"k{len(keys)}"))
+    by_one, by_two = heavy("t"), heavy("t", "u")  # by_one has as many rows as tokens at most
     hint = F.broadcast if by_two.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else lambda df: df
     n_shards = parts_for(corpus.mean * corpus.n_docs + corpus.n_docs, shard_tokens)
-    own = F.when(F.col("k2").isNotNull(), F.xxhash64("t", "u", F.pmod(F.xxhash64("doc_id", "ids", "place"), F.col("k2")))).when(F.col("k1").isNotNull(), F.xxhash64("t", F.pmod(F.xxhash64("u"), F.col("k1")))).otherwise(F.xxhash64("t"))
-    return keyed.join(F.broadcast(by_one), "t", "left").join(hint(by_two), ["t", "u"], "left").select("doc_id", "ids", "t", "u", F.xxhash64("ids").alias("h"), F.pmod(own, F.lit(n_shards)).cast("int").alias("shard")), n_shards
+    # Rows without an id may be wholly equal, so they are told apart by their place in the written table.
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    own = F.when(F.col("k2").isNotNull(), F.xxhash64("t", "u", F.pmod(F.xxhash64("doc_id", "h", "place"), F.col("k2")))).when(F.col("k1").isNotNull(), F.xxhash64("t", F.pmod(F.xxhash64("u"), F.col("k1")))).otherwise(F.xxhash64("t"))
+    keyed = rows.select("doc_id", "ids", "t", "u", F.xxhash64("ids").alias("h"), place.alias("place"))
+    return keyed.join(F.broadcast(by_one), "t", "left").join(hint(by_two), ["t", "u"], "left").select("doc_id", "ids", "t", "u", "h", F.pmod(own, F.lit(n_shards)).cast("int").alias("shard")), n_shards
 
 
 def flat_ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -340,12 +346,13 @@ def flat_ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     size = encoder_of(tokenizer_path).size
     kind = np.dtype("<u4" if size > 1 << 16 else "<u2")
-    table = cut(encoded(docs, tokenizer_path, size > 1 << 16))
+    table = cut(encoded(docs.coalesce(parts_for(total_bytes(docs), TASK_BYTES)), tokenizer_path, size > 1 << 16))
     corpus = corpus_of(table, size)
-    rows, n_shards = dealt(table, corpus, kind, group_tokens, shard_tokens)
+    rows, n_shards = dealt(table, corpus, group_tokens, shard_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs a shard, which is all that a task has."""
+        """Packs a shard, which is all that comes."""
+        _ENCODERS.clear()  # of the worker; all texts are encoded by now
         if not (held := [b for b in batches if b.num_rows]):
             return
         whole = pa.Table.from_batches(held)
@@ -365,7 +372,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, s
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _NAMES)
 
-    return rows.repartitionById(n_shards, F.col("shard")).mapInArrow(run, SCHEMA)
+    return rows.repartitionById(n_shards, F.col("shard")).mapInArrow(run, SCHEMA).coalesce(-(-n_shards // SHARDS_A_TASK))
 
 
 def tokenizer() -> str:
