@@ -33,7 +33,7 @@ WINDOW, END_ID = 2048, 1
 #: Tokens of a shard, on average, and of a group of documents that must not be split.
 SHARD_TOKENS, GROUP_TOKENS = 8 << 20, 2 << 20
 #: Shards that a task packs, and bytes of text that a task encodes at least, so that files are not small.
-SHARDS_A_TASK, TASK_BYTES = 8, 48 << 20
+SHARDS_A_TASK, TASK_BYTES = 3, 48 << 20
 #: Tokens that more documents than these hold, and more than one in STOP_SHARE, tell nothing.
 STOP_SHARE, STOP_LEAST = 16, 8
 K1, B = 1.2, 0.75
