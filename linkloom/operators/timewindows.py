@@ -29,10 +29,6 @@ class WindowSpec:
         return [(f"{self.unit}_{o}_{self.length}", self.unit, o, self.length) for o in range(self.offset, self.offset + self.count * self.length, self.length)]
 
 
-def shifted(date: Column, unit: str, steps: Column) -> Column:
-    return F.date_add(date, steps.cast("int")) if unit == "day" else F.add_months(date, (steps * (12 if unit == "year" else 1)).cast("int"))
-
-
 def time_map(spark: SparkSession, snapshots: Sequence[str], specs: Sequence[WindowSpec]) -> DataFrame:
     """(snapshot, mapped_date, window_id): every date that a window covers, `length` steps of its unit. Its size follows from
     the configuration alone, and is checked."""

@@ -1,4 +1,4 @@
-"""Every registered query of the engine against its SQL, on the smallest tables."""
+"""Every registered query of the engine against its SQL, on the smallest tables. Those that explore paths run with ALL_QUERIES=1 only, as they take minutes."""
 
 import datetime
 import decimal
@@ -13,6 +13,8 @@ import __spark_entry__
 PATH = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(PATH), reason="no tables")
 QUERIES, SQL = __spark_entry__.own.QUERIES, __spark_entry__.own.ORACLES
+LONG = ("x_", "s_", "g_hop", "g_meet", "g_rank", "g_reverse", "g_type_names", "topk_types", "c_pairs", "p_unique_features")
+CHOSEN = sorted(n for n in SQL if os.environ.get("ALL_QUERIES") or not n.startswith(LONG) or n in ("x_pair_rows", "g_rank_types"))
 
 
 def shown(v):
@@ -29,7 +31,7 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(SQL)))
+@pytest.mark.parametrize("name", CHOSEN)
 def test_query_equals_sql(spark, tables, name):
     found = QUERIES[name](spark, PATH)
     want = tables.sql(SQL[name])
