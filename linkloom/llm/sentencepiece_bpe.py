@@ -48,7 +48,9 @@ class MergeModel:
             self.matches.add_word(p, len(p))
         self.matches.make_automaton()
         self.shorter: dict[str, str | None] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+        self.letters = {p for p in self.id if len(p) == 1}
         self.made: dict[str, bool] = {}
         self.units: dict[str, str] = {}
         self.chars = 0
@@ -81,12 +83,13 @@ class MergeModel:
 
     def can_follow(self, left: str, right: str) -> bool:
         """Whether re-merging the text of two adjacent tokens gives the same two tokens."""
-        key = (left, right)
-        known = self.follows.get(key)
+        known = self.follows.get(left, {}).get(right)
         if known is None:
-            if len(self.follows) >= CACHE_PAIRS:
+            if self.pairs >= CACHE_PAIRS:
                 self.follows.clear()
-            known = self.follows[key] = self.merged(left + right) == [left, right]
+                self.pairs = 0
+            known = self.follows.setdefault(left, {})[right] = self.merged(left + right) == [left, right]
+            self.pairs += 1
         return known
 
     def makes(self, token: str) -> bool:
@@ -112,17 +115,26 @@ class MergeModel:
     def walk(self, text: str) -> list[str]:
         """The tokens of a text all of whose characters are pieces."""
         end, failed = len(text), bytearray((len(text) >> 3) + 1)
-        longest = self.longest_at(text)
+        longest, made, follows = self.longest_at(text), self.made, self.follows
         tokens: list[str] = []
-        at = 0
+        at, last = 0, None
         token = text[: longest[0]] if end else None
         while token is not None:
-            last = tokens[-1] if tokens else None
             while True:
                 after = at + len(token)
-                if not failed[after >> 3] >> (after & 7) & 1 and self.makes(token) and (last is None or self.can_follow(last, token)):
+                fits = False
+                if not failed[after >> 3] >> (after & 7) & 1:
+                    fits = made.get(token)
+                    if fits is None:
+                        fits = self.makes(token)
+                    if fits and last is not None:
+                        row = follows.get(last)
+                        fits = None if row is None else row.get(token)
+                        if fits is None:
+                            fits = self.can_follow(last, token)
+                if fits:
                     tokens.append(token)
-                    at = after
+                    at, last = after, token
                     token = text[at : at + longest[at]] if at < end else None
                     break
                 token = self.next_shorter(token)
@@ -137,6 +149,8 @@ class MergeModel:
 
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of a unit. A character that is no piece stands alone as its bytes: no merge reaches over it."""
+        if self.letters.issuperset(unit):
+            return [self.id[t] for t in self.walk(unit)]
         out: list[int] = []
         known = ""
         for c in [*unit, ""]:
@@ -156,8 +170,8 @@ class MergeModel:
     def learn(self, unit: str) -> str:
         """Encodes a unit that is not in the table. Units that decode to other text than their own are noted apart."""
         ids = self.encode_unit(unit)
-        shown = self.surface(ids)
-        if shown != unit.replace(MARK, " "):
+        # Pieces alone spell the unit; bytes may read otherwise.
+        if not self.letters.issuperset(unit) and (shown := self.surface(ids)) != unit.replace(MARK, " "):
             self.odd[unit] = shown
         joined = self.units[unit] = ",".join(map(str, ids))
         self.chars += len(unit) + len(joined)
