@@ -179,3 +179,41 @@ def test_batches_of_pairs_resume(spark, tmp_path):
     steps = L.Steps(spark, f"file://{tmp_path}/b")
     assert L.subgraph_batches(steps, "rows", pairs.union(pairs), 3, make).count() == 30 and len(made) == 3
     assert L.subgraph_batches(steps, "rows", pairs, 3, make).count() == 30 and len(made) == 3
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f for f in files if "/shuffle_" in f}
+
+
+def test_parts_are_kept_one_by_one_and_leave_no_shuffle_files(spark):
+    part = lambda n: spark.range(n).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    before, setting = shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    kept = session.keeper(spark)("parts", [part(100), part(1000)])
+    assert not shuffle_files(spark) - before
+    assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, part(100).collect() + part(1000).collect()))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_caps_shuffle_no_whole_hash_and_count_repeated_rows_once(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.col("id") % 100).alias("x"))
+    got = T.sample_per_group(df, ["g"], 20, ["x"], distinct=True)
+    want = T.sample_per_group(df.distinct(), ["g"], 20, ["x"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 60
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_kept_hops_equal_those_made_at_once(spark):
+    from linkloom.operators import graph as G
+    from linkloom.plans import trade as X
+
+    sf, seen = "/root/testdata/sf0.001", []
+    edges = X.outer(spark, sf)
+    parts = [r for p in X.outer_parts(spark, sf) for r in map(tuple, p.collect())]
+    assert Counter(parts) == Counter(map(tuple, edges.collect()))
+    kept = edges.localCheckpoint()
+    start = X.part_seeds(spark, sf).localCheckpoint()
+    whole = G.explore(start, kept, 2, 8, None, "s")[2]
+    keep = session.keeper(spark)
+    by_parts = G.explore(start, kept, 2, 8, None, "s", lambda h, df: seen.append(len(df)) or keep("hop", df))[2]
+    assert Counter(map(tuple, by_parts.collect())) == Counter(map(tuple, whole.collect())) and seen == [1, 10]
