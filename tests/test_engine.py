@@ -171,3 +171,15 @@ def test_publications_flatten(spark):
     n = {k: f(w).count() for k, f in pub.TABLES.items()}
     assert n == {"works_basic": 2, "works_citation": 1, "works_author": 2, "works_institution": 2, "works_source": 1, "works_topic": 2, "author_institution": 3}
     assert str(w.where("work_id = 'W1'").first().date) == "2020-02-01" and w.where("work_id = 'W9'").first().date is None
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_paths_met_in_parts_equal_those_met_at_once(spark, k):
+    e = G.outer_edges(edges_of(spark, TINY)).localCheckpoint()
+    seed = lambda t, s: G.seeds(spark.createDataFrame([(i, DAY) for i in (1, 2, 3)], "id long, date string"), t, s)
+    f, b = G.split(k)
+    u, v = [p.localCheckpoint() for p in G.explore(seed(1, 0), e, f)], [p.localCheckpoint() for p in G.explore(seed(1, 1), e, b)]
+    parts = [p.collect() for p in G.bipath_parts(u, v, k, 3, "s")]
+    assert Counter(tuple(r) for rows in parts for r in rows) == Counter(map(tuple, G.bipaths(u, v, k, 3, "s").collect()))
+    types = [{tuple(r[c] for c in G.type_columns(k)) for r in rows} for rows in parts]
+    assert sum(map(len, types)) == len(set().union(*types))
