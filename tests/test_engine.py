@@ -183,3 +183,16 @@ def test_paths_met_in_parts_equal_those_met_at_once(spark, k):
     assert Counter(tuple(r) for rows in parts for r in rows) == Counter(map(tuple, G.bipaths(u, v, k, 3, "s").collect()))
     types = [{tuple(r[c] for c in G.type_columns(k)) for r in rows} for rows in parts]
     assert sum(map(len, types)) == len(set().union(*types))
+
+
+def test_types_counted_in_parts_rank_as_at_once(spark, monkeypatch):
+    e = G.outer_edges(edges_of(spark, TINY)).localCheckpoint()
+    seed = lambda s: G.seeds(spark.createDataFrame([(i, DAY) for i in (1, 2, 3)], "id long, date string"), 1, s)
+    pair = lambda rows: spark.createDataFrame([(u, v, DAY) for u, v in rows], "u_node_id long, v_node_id long, date string")
+    targets, known, d = pair([(1, 3), (2, 1), (3, 2)]), pair([(1, 2), (3, 3)]), G.Discovery(1, 1, 4, 3, None, "s")
+    monkeypatch.setattr(G, "PART_ROWS", 2)
+    seen = {}
+    keep = lambda name, df: seen.setdefault(name, len(df)) and df[0].sparkSession.createDataFrame([r for p in df for r in p.collect()], df[0].schema)
+    by_parts = G.discover(seed(0), seed(1), e, targets, known, d, keep)
+    assert seen["counted_4"] > 1 and seen["found_4"] > 1
+    assert Counter(map(tuple, by_parts.collect())) == Counter(map(tuple, G.discover(seed(0), seed(1), e, targets, known, d).collect()))
