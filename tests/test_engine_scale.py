@@ -218,3 +218,12 @@ def test_kept_hops_equal_those_made_at_once(spark):
     keep = session.keeper(spark)
     by_parts = G.explore(start, kept, 2, 8, None, "s", lambda h, df: seen.append(len(df)) or keep("hop", df))[2]
     assert Counter(map(tuple, by_parts.collect())) == Counter(map(tuple, whole.collect())) and seen == [1, 10]
+
+
+def test_rows_of_pairs_in_parts_equal_those_made_at_once(spark, monkeypatch):
+    from linkloom.plans.queries import QUERIES
+
+    made, rows = [], lambda: Counter(map(tuple, QUERIES["x_pair_rows"](spark, "/root/testdata/sf0.001").collect()))
+    whole = rows()
+    monkeypatch.setattr(L, "parts_of", lambda df, n: made.append(n) or 3)
+    assert rows() == whole and made
