@@ -4,7 +4,7 @@ Documents are encoded once, and the tokens' document frequencies are summed over
 vocabulary. The vocabulary has one random order, drawn with weights that favour its rarer tokens, and
 a document goes to the shard of its first token in it, so that two texts meet with the chance of their weighted similarity, wherever they come from; whatever shares so much that it outgrows a shard is split
 by the next token, then by hash. A shard has a BM25 inverted index over its documents, with frequencies and
-mean length of the whole corpus. Telling tokens are those that several documents hold, but not too many. The document that opens a window is the seed: all its telling tokens are looked up, and the unused documents that
+mean length of the whole corpus. The document that opens a window is the seed: all its tokens are looked up, frequent ones too, and the unused documents that
 score best fill the window in turn, ties by order in the shard. What does not fit is cut and opens the next window. Only the last
 window of a shard is not full. Shards and their order follow from the rows alone: a table is packed alike each time.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -34,7 +34,7 @@ WINDOW, END_ID = 2048, 1
 SHARD_TOKENS, GROUP_TOKENS = 8 << 20, 2 << 20
 #: Shards that a task packs, and bytes of text that a task encodes at least, so that files are not small.
 SHARDS_A_TASK, TASK_BYTES = 3, 48 << 20
-#: Tokens that more documents than these hold, and more than one in STOP_SHARE, tell nothing.
+#: Tokens that more documents than these hold, and more than one in STOP_SHARE, are no telling ones. They count in the scores that fill windows.
 STOP_SHARE, STOP_LEAST = 16, 8
 K1, B = 1.2, 0.75
 #: Tokens with lower ids are too frequent to say where a document belongs.
@@ -170,7 +170,8 @@ class Corpus:
     def __init__(self, df: np.ndarray, n_docs: int, n_tokens: int):
         self.n_docs, self.mean = n_docs, max(1.0, n_tokens / max(1, n_docs))
         telling = (df > 1) & (df <= n_docs / STOP_SHARE + STOP_LEAST)
-        self.idf = np.where(telling, np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0)
+        self.whole = np.where(df > 1, np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0)
+        self.idf = np.where(telling, self.whole, 0.0)
 
 
 @lru_cache(4)
@@ -200,23 +201,17 @@ def first_keys(ids: np.ndarray, lens: np.ndarray, ranks: np.ndarray, n: int = 2)
     return out
 
 
-class Bm25Index:
-    """Inverted index over the documents of a shard, in arrays: the telling tokens that two of them hold at least."""
+class Lists:
+    """The documents that hold each token, with its weight in them, in arrays; rows come by token, then document."""
 
-    def __init__(self, ids: np.ndarray, lens: np.ndarray, corpus: Corpus):
-        telling = (corpus.idf > 0)[ids]
-        token, doc, tf = held_tokens(ids[telling], np.bincount(np.repeat(np.arange(len(lens), dtype=np.int32), lens)[telling], minlength=len(lens)))
-        here = np.bincount(token, minlength=len(corpus.idf))
-        shared = here[token] > 1
-        token, self.doc, tf = token[shared], doc[shared], tf[shared]
-        self.weight = corpus.idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.doc] / corpus.mean))
+    def __init__(self, token: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int):
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), token[1:] != token[:-1]]))
+        self.token, self.doc, self.weight, self.n = token, doc, weight, n
         self.starts = np.concatenate([starts, [len(token)]])
         # The lists that each document is in, as its query.
-        lists = np.repeat(np.arange(len(starts)), np.diff(self.starts))
-        order = np.argsort(self.doc, kind="stable")
-        self.lists, self.query = lists[order], np.searchsorted(self.doc[order], np.arange(len(lens) + 1))
-        self.n = len(lens)
+        lists = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(self.starts))
+        order = np.argsort(doc, kind="stable")
+        self.lists, self.query = lists[order], np.searchsorted(doc[order], np.arange(n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         lists = self.lists[self.query[seed] : self.query[seed + 1]]
@@ -225,9 +220,49 @@ class Bm25Index:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
+    def of(self, docs: np.ndarray) -> Lists:
+        """The lists of some documents."""
+        kept = docs[self.doc]
+        return Lists(self.token[kept], self.doc[kept], self.weight[kept], self.n)
+
+
+class Bm25Index:
+    """Inverted index over the documents of a shard: the tokens that two of them hold at least. Windows are filled by all of these; the telling
+    ones alone give a cheaper score."""
+
+    def __init__(self, ids: np.ndarray, lens: np.ndarray, corpus: Corpus):
+        known = (corpus.whole > 0)[ids]
+        token, doc, tf = held_tokens(ids[known], np.bincount(np.repeat(np.arange(len(lens), dtype=np.int32), lens)[known], minlength=len(lens)))
+        here = np.bincount(token, minlength=len(corpus.whole))
+        shared = here[token] > 1
+        token, doc, tf = token[shared], doc[shared], tf[shared]
+        weight = corpus.whole[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / corpus.mean))
+        self.whole, self.n, self.corpus = Lists(token, doc, weight, len(lens)), len(lens), corpus
+        self.held = self.n
+
+    @cached_property
+    def telling(self) -> Lists:
+        rows, some = self.whole, (self.corpus.idf > 0)[self.whole.token]
+        return Lists(rows.token[some], rows.doc[some], rows.weight[some], self.n)
+
+    def scores(self, seed: int) -> np.ndarray:
+        return self.telling.scores(seed)
+
     def neighbours(self, seed: int, unused: np.ndarray, some: int = 64) -> Iterator[int]:
-        """Unused documents that share a token with the seed, best first; ties by place."""
-        score = np.where(unused, self.scores(seed), 0.0)
+        """Unused documents that share a telling token with the seed, best first; ties by place."""
+        return self._ranked(self.scores(seed), unused, some)
+
+    def nearest(self, seed: int, unused: np.ndarray, some: int = 64) -> Iterator[int]:
+        """Unused documents that share any token with the seed, best first; ties by place. Documents that were used before are taken out of the lists, so
+        they can't be seeds any more."""
+        if (left := int(unused.sum())) < self.held * 0.9:
+            docs = unused.copy()
+            docs[seed] = True
+            self.whole, self.held = self.whole.of(docs), left
+        return self._ranked(self.whole.scores(seed), unused, some)
+
+    def _ranked(self, score: np.ndarray, unused: np.ndarray, some: int) -> Iterator[int]:
+        score = np.where(unused, score, 0.0)
         found = np.flatnonzero(score)
         least = np.partition(score[found], -some)[-some] if len(found) > some else 0.0
         for part in (found[score[found] >= least], found[score[found] < least]):
@@ -268,7 +303,7 @@ def pack_shard(index: Bm25Index, sizes: list[int], packer: Packer) -> Iterator[t
         pieces = packer.place(sizes[doc])
         yield doc, pieces
         if packer.sequence != sequence:  # this document opened the window that is open now, or it is the first of the shard
-            sequence, queue = packer.sequence, index.neighbours(doc, unused)
+            sequence, queue = packer.sequence, index.nearest(doc, unused)
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

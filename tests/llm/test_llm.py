@@ -308,6 +308,27 @@ def test_windows_are_filled_with_neighbours():
     assert sorted(order) == list(range(40)) and [d % 2 for d in order] == [0] * 20 + [1] * 20
 
 
+def test_windows_count_frequent_tokens_too():
+    """Whole scores hold tokens of any frequency, and stay those of BM25 as documents are used up; documents that share frequent tokens only are reached."""
+    r = random.Random(16)
+    whole = [[min(int(r.paretovariate(0.4)), 299) for _ in range(r.randint(0, 60))] for _ in range(400)]
+    flat, lens = np.array([x for d in whole for x in d], np.uint16), np.array([len(d) for d in whole])
+    df, mean = np.bincount(packing.held_tokens(flat, lens)[0], minlength=300), sum(map(len, whole)) / 400
+    corpus = packing.Corpus(df, 400, int(lens.sum()))
+    assert any(df > 400 / packing.STOP_SHARE + packing.STOP_LEAST)
+    tfs, index, unused, more = [Counter(d) for d in whole], packing.Bm25Index(flat, lens, corpus), np.ones(400, bool), 0
+    while (free := np.flatnonzero(unused).tolist()) and len(free) > 20:
+        seed = r.choice(free)
+        unused[seed] = False
+        score = [sum(math.log(1 + (400 - df[x] + 0.5) / (df[x] + 0.5)) * tfs[d][x] * 2.2 / (tfs[d][x] + 1.2 * (0.25 + 0.75 * lens[d] / mean)) for x in tfs[seed] if df[x] > 1) for d in range(400)]
+        ranked = list(packing.Bm25Index(flat, lens, corpus).neighbours(seed, unused))
+        got = list(index.nearest(seed, unused, 5))
+        assert sorted(got) == [d for d in free if d != seed and score[d] > 0] and all(score[a] >= score[b] - 1e-9 for a, b in itertools.pairwise(got))
+        more += len(got) > len(ranked)
+        unused[got[:30]] = False
+    assert more
+
+
 # --- 4 ---
 
 
