@@ -5,7 +5,7 @@ vocabulary. The vocabulary has one random order, drawn with weights that favour
 a document goes to the shard of its first token in it, so that two texts meet with the chance of their weighted similarity, wherever they come from; whatever shares so much that it outgrows a shard is split
 by the next token, then by hash. A shard has a BM25 inverted index over its documents, with frequencies and
 mean length of the whole corpus. The document that opens a window is the seed: all its tokens are looked up, frequent ones too, and the unused documents that
-score best fill the window in turn, ties by order in the shard. What does not fit is cut and opens the next window. Only the last
+score best fill the window in turn, ties by order in the shard. Bounds on all scores tell which documents are to be scored in full. What does not fit is cut and opens the next window. Only the last
 window of a shard is not full. Shards and their order follow from the rows alone: a table is packed alike each time.
 
 Nulls count as empty texts, which still have their end id. Every id lies in exactly one piece. Texts are taken whole: a long one fills
@@ -37,6 +37,10 @@ SHARDS_A_TASK, TASK_BYTES = 3, 48 << 20
 #: Tokens that more documents than these hold, and more than one in STOP_SHARE, are no telling ones. They count in the scores that fill windows.
 STOP_SHARE, STOP_LEAST = 16, 8
 K1, B = 1.2, 0.75
+#: Lists are rows of numbers if they hold one document in DENSE_SHARE at least, the longest first, up to DENSE_BYTES.
+DENSE_SHARE, DENSE_BYTES = 40, 32 << 20
+#: Rows of so many documents are added one by one.
+LONG_ROWS = 4096
 #: Tokens with lower ids are too frequent to say where a document belongs.
 KEY_FLOOR = 2000
 #: A worker forgets its units when it has more of them, or more of their characters.
@@ -45,6 +49,9 @@ CACHE_UNITS, CACHE_CHARS = 500_000, 16 << 20
 SMALL_ROWS = 100_000
 _DOUBLE = re.compile(r"\s\s")
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: For RE2: white space at an end or beside other white space, or an empty text.
+_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_ODD = rf"\A{_SPACE}|{_SPACE}{_SPACE}|{_SPACE}\z|\A\z"
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,6 +64,16 @@ class Units(dict):
         return n
 
 
+def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after another."""
+    return np.arange(lens.sum()) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
+
+
+def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of so many values each."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(counts)])])
+
+
 class UnitEncoder:
     """Ids of a byte-level vocabulary, a batch of texts at a time. A single space between two other characters always starts a new
     pre-token, so the units between such spaces are encoded apart, and equal ones once for each worker. The vocabulary
@@ -76,7 +93,8 @@ class UnitEncoder:
         shown = _byte_letters()
         ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if i not in tokens}
         self.size = 1 + max([*ranks.values(), *tokens, END_ID])
-        self.tokenize = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.tokenize, self.tokenize_array = encoding.encode_ordinary, encoding.encode_to_numpy
         self.n_bytes = np.zeros(self.size, np.int64)
         for token, i in ranks.items():
             self.n_bytes[i] = len(token)
@@ -134,10 +152,41 @@ class UnitEncoder:
             self._learn(list(islice(self.units, known, None)))
         at = np.array(keys, np.int64)
         lens = self.ends[at + 1] - self.ends[at]
-        ids = self.ids[np.arange(lens.sum()) + np.repeat(self.ends[at] - (np.cumsum(lens) - lens), lens)]
-        total = np.concatenate([[0], np.cumsum(lens)])
-        ends = np.cumsum(counts, dtype=np.int64)
-        return ids, np.diff(total[np.concatenate([[0], ends])])
+        return self.ids[spread(self.ends[at], lens)], sums_of(lens, np.array(counts, np.int64))
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_batch(), for a column without nulls. Texts without white space at an end or beside other white space, which hold no added token, don't become objects
+        of Python: their words are told apart and encoded once for each call."""
+        odd = pa.compute.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+        for content in self.added:
+            odd = odd | pa.compute.match_substring(column, content).to_numpy(zero_copy_only=False)
+        if odd.all():
+            return self.encode_batch(column.to_pylist())
+        if not odd.any():
+            return self._encode_words(column)
+        some, n_some = self._encode_words(column.filter(pa.array(~odd)))
+        others, n_others = self.encode_batch(column.filter(pa.array(odd)).to_pylist())
+        lens, starts = np.zeros(len(odd), np.int64), np.zeros(len(odd), np.int64)
+        lens[~odd], lens[odd] = n_some, n_others
+        starts[~odd], starts[odd] = np.cumsum(n_some) - n_some, len(some) + np.cumsum(n_others) - n_others
+        return np.concatenate([some, others])[spread(starts, lens)], lens
+
+    def _encode_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pa.compute.split_pattern(column, " ")
+        coded = lists.flatten().dictionary_encode()
+        words, at, counts = coded.dictionary, coded.indices.to_numpy().astype(np.int64), pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        n_bytes = pa.compute.binary_length(words).to_numpy().astype(np.int64)
+        joined = self.tokenize_array(" " + pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py())
+        ends = np.searchsorted(np.cumsum(self.n_bytes[joined]), np.cumsum(1 + n_bytes), "left") + 1
+        # The first word of a text has no space before it.
+        first = np.cumsum(counts) - counts
+        heads, which = np.unique(at[first], return_inverse=True)
+        own = [self.tokenize(w) for w in words.take(pa.array(heads)).to_pylist()]
+        at[first] = len(words) + which
+        ids = np.concatenate([joined, *(np.array(x, np.uint32) for x in own)])
+        ends = np.concatenate([[0], ends, len(joined) + np.cumsum([len(x) for x in own], dtype=np.int64)])
+        lens = np.diff(ends)[at]
+        return ids[spread(ends[at], lens)], sums_of(lens, counts)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -149,10 +198,19 @@ def _byte_letters() -> dict[str, int]:
 
 def held_tokens(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token, document and count of each distinct pair, by token, then document."""
-    order = np.argsort(ids, kind="stable")
-    token, doc = ids[order], np.repeat(np.arange(len(lens), dtype=np.int32), lens)[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]))
-    return token[first], doc[first], np.diff(np.concatenate([first, [len(token)]]))
+    # Both in one number, as plain sorts are far cheaper than sorts of places.
+    bits, kind = (16, np.uint32) if ids.itemsize <= 2 and len(lens) <= 1 << 16 else (32, np.uint64)
+    pairs = ids.astype(kind) << kind(bits)
+    pairs |= np.repeat(np.arange(len(lens), dtype=kind), lens)
+    pairs.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1]]))
+    count, pairs = np.diff(np.concatenate([first, [len(pairs)]])), pairs[first]
+    return (pairs >> kind(bits)).astype(ids.dtype), (pairs & kind((1 << bits) - 1)).astype(np.int32), count
+
+
+def by_number(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Places in the order of numbers below n, equal ones as they come; few bits are sorted by counting."""
+    return np.argsort(numbers.astype(np.uint16) if n <= 1 << 16 else numbers, kind="stable")
 
 
 def with_ends(values: np.ndarray, lens: np.ndarray, end: int) -> np.ndarray:
@@ -206,24 +264,66 @@ class Lists:
 
     def __init__(self, token: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int):
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), token[1:] != token[:-1]]))
-        self.token, self.doc, self.weight, self.n = token, doc, weight, n
+        self.doc, self.weight, self.n = doc, weight, n
         self.starts = np.concatenate([starts, [len(token)]])
         # The lists that each document is in, as its query.
         lists = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(self.starts))
-        order = np.argsort(doc, kind="stable")
+        order = by_number(doc, n)
         self.lists, self.query = lists[order], np.searchsorted(doc[order], np.arange(n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        lists = self.lists[self.query[seed] : self.query[seed + 1]]
+        return self.sums(self.lists[self.query[seed] : self.query[seed + 1]])
+
+    def sums(self, lists: np.ndarray) -> np.ndarray:
+        """The weights of these lists, added for each document."""
         spans = [slice(a, b) for a, b in zip(self.starts[lists].tolist(), self.starts[lists + 1].tolist(), strict=True)]
         if not spans:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
-    def of(self, docs: np.ndarray) -> Lists:
-        """The lists of some documents."""
-        kept = docs[self.doc]
-        return Lists(self.token[kept], self.doc[kept], self.weight[kept], self.n)
+
+class Bounds:
+    """Scores of the unused documents, at most some slack too low. A long list is a row of 16-bit numbers, a place for each document, with weights rounded
+    down to multiples of the document's unit, so that a seed's rows are added many documents at a time; no sum overflows, as all rows of a document have room in 16 bits.
+    Short lists have their weights as they are. Columns of documents that were used go from time to time."""
+
+    def __init__(self, lists: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int):
+        count = np.bincount(lists)
+        long = np.argsort(-count, kind="stable")[: max(1, DENSE_BYTES // (2 * max(1, n)))]
+        long = long[count[long] * DENSE_SHARE >= n]
+        self.row, self.n, self.docs = np.full(len(count), -1, np.int32), n, np.arange(n)
+        self.row[long] = np.arange(len(long))
+        row = self.row[lists]
+        some = row >= 0
+        row, at = row[some], doc[some]
+        self.unit = np.maximum(np.bincount(at, weight[some], n), 1e-9) * ((1 + 1e-9) / 65535)
+        self.dense = np.zeros((len(long), n), np.uint16)
+        self.dense[row, at] = weight[some] / self.unit[at]
+        self.starts = np.concatenate([[0], np.cumsum(np.where(self.row < 0, count, 0))])
+        self.doc, self.weight = doc[~some], weight[~some]
+
+    def drop(self, unused: np.ndarray) -> None:
+        """Leaves out the documents that were used."""
+        kept = unused[self.docs]
+        self.dense, self.docs, self.unit = np.compress(kept, self.dense, 1), self.docs[kept], self.unit[kept]
+        place, some = np.cumsum(kept, dtype=np.int32) - 1, kept[self.doc]
+        self.starts = np.concatenate([[0], np.cumsum(some)])[self.starts]
+        self.doc, self.weight, self.n = place[self.doc[some]], self.weight[some], len(self.docs)
+
+    def scores(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of `docs` the weights of these lists, rounded down, and the slack."""
+        rows = self.row[lists]
+        long, short = rows[rows >= 0], lists[rows < 0]
+        if self.n < LONG_ROWS:
+            out = np.add.reduce(self.dense.take(long, 0), 0, np.uint16)
+        else:  # a copy of the rows would not stay in the processor's cache
+            out = np.zeros(self.n, np.uint16)
+            for row in long.tolist():
+                np.add(out, self.dense[row], out)
+        out = out * self.unit
+        if len(short):
+            out += Lists.sums(self, short)
+        return out, self.unit * len(long)
 
 
 class Bm25Index:
@@ -231,43 +331,73 @@ class Bm25Index:
     ones alone give a cheaper score."""
 
     def __init__(self, ids: np.ndarray, lens: np.ndarray, corpus: Corpus):
-        known = (corpus.whole > 0)[ids]
-        token, doc, tf = held_tokens(ids[known], np.bincount(np.repeat(np.arange(len(lens), dtype=np.int32), lens)[known], minlength=len(lens)))
-        here = np.bincount(token, minlength=len(corpus.whole))
+        token, doc, tf = held_tokens(ids, lens)
+        here = np.where(corpus.whole > 0, np.bincount(token, minlength=len(corpus.whole)), 0)
         shared = here[token] > 1
         token, doc, tf = token[shared], doc[shared], tf[shared]
         weight = corpus.whole[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / corpus.mean))
-        self.whole, self.n, self.corpus = Lists(token, doc, weight, len(lens)), len(lens), corpus
-        self.held = self.n
+        number = np.cumsum(here > 1, dtype=np.int32) - 1  # of a token's list
+        lists = number[token]
+        self.n, self.corpus, self.tokens = len(lens), corpus, np.flatnonzero(here > 1)
+        self.bounds = Bounds(lists, doc, weight, self.n)
+        # The lists that each document is in, as its query, with its weights.
+        order = by_number(doc, self.n)
+        self.lists, self.weight, self.query = lists[order], weight[order], np.searchsorted(doc[order], np.arange(self.n + 1))
+        self.asked = np.zeros(len(self.tokens), bool)
 
     @cached_property
     def telling(self) -> Lists:
-        rows, some = self.whole, (self.corpus.idf > 0)[self.whole.token]
-        return Lists(rows.token[some], rows.doc[some], rows.weight[some], self.n)
+        order = np.argsort(self.lists, kind="stable")
+        token, doc = self.tokens[self.lists[order]], np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.query))[order]
+        some = (self.corpus.idf > 0)[token]
+        return Lists(token[some], doc[some], self.weight[order][some], self.n)
 
     def scores(self, seed: int) -> np.ndarray:
         return self.telling.scores(seed)
 
     def neighbours(self, seed: int, unused: np.ndarray, some: int = 64) -> Iterator[int]:
         """Unused documents that share a telling token with the seed, best first; ties by place."""
-        return self._ranked(self.scores(seed), unused, some)
-
-    def nearest(self, seed: int, unused: np.ndarray, some: int = 64) -> Iterator[int]:
-        """Unused documents that share any token with the seed, best first; ties by place. Documents that were used before are taken out of the lists, so
-        they can't be seeds any more."""
-        if (left := int(unused.sum())) < self.held * 0.9:
-            docs = unused.copy()
-            docs[seed] = True
-            self.whole, self.held = self.whole.of(docs), left
-        return self._ranked(self.whole.scores(seed), unused, some)
-
-    def _ranked(self, score: np.ndarray, unused: np.ndarray, some: int) -> Iterator[int]:
-        score = np.where(unused, score, 0.0)
+        score = np.where(unused, self.scores(seed), 0.0)
         found = np.flatnonzero(score)
         least = np.partition(score[found], -some)[-some] if len(found) > some else 0.0
         for part in (found[score[found] >= least], found[score[found] < least]):
             yield from part[np.lexsort((part, -score[part]))].tolist()
 
+    def of(self, seed: int) -> np.ndarray:
+        return self.lists[self.query[seed] : self.query[seed + 1]]
+
+    def whole_scores(self, seed: int, docs: np.ndarray) -> np.ndarray:
+        """The scores of some documents by all tokens, added in the order of the tokens."""
+        lens = self.query[docs + 1] - self.query[docs]
+        at = spread(self.query[docs], lens)
+        self.asked[self.of(seed)] = True
+        weight = self.weight[at] * self.asked[self.lists[at]]
+        self.asked[self.of(seed)] = False
+        return np.bincount(np.repeat(np.arange(len(docs)), lens), weight, len(docs))
+
+    def nearest(self, seed: int, unused: np.ndarray, some: int = 8) -> Iterator[int]:
+        """Documents that are unused now and share any token with the seed, best first; ties by place. Bounds tell which documents can be among the best
+        `some`, then among eight times as many and so on to all of them; only these are scored in full."""
+        if not len(lists := self.of(seed)):
+            return iter(())
+        if int(unused.sum()) < len(self.bounds.docs) * 0.8:
+            self.bounds.drop(unused)
+        low, slack = self.bounds.scores(lists)
+        low[~unused[self.bounds.docs]] = -1
+        return self._best_first(seed, self.bounds.docs, low, slack, some)
+
+    def _best_first(self, seed: int, docs: np.ndarray, low: np.ndarray, slack: np.ndarray, some: int) -> Iterator[int]:
+        above = np.inf
+        while above > 0:
+            # Whatever scores `least` or more is found, as it is no more than its slack above `low`; rounding of sums is far below 1e-6.
+            least = max(0.0, np.partition(low, -some)[-some] - 1e-6) if some < len(docs) else 0.0
+            found = docs[(low + slack >= least - 1e-6) & (low >= 0) if least else low >= 0]
+            score = self.whole_scores(seed, found)
+            new = (score >= least) & (score < above) & (score > 0)
+            found, score = found[new], score[new]
+            yield from found[np.lexsort((found, -score))].tolist()
+            above, some = least, some * 8
+
 
 class Packer:
     """Fills windows with pieces of documents, in the order it is given them."""
@@ -328,7 +458,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, wide: bool) -> DataFrame:
         counts, ranks = np.zeros(encoder.size + 2, np.int64), key_ranks(encoder.size)
         for whole in batches:
             for batch in pieces(whole):
-                ids, lens = encoder.encode_batch(batch.column("text").to_pylist())
+                ids, lens = encoder.encode_column(batch.column("text"))
                 ids = ids.astype(kind)
                 counts[: encoder.size] += np.bincount(held_tokens(ids, lens)[0], minlength=encoder.size)
                 counts[encoder.size :] += batch.num_rows, len(ids)

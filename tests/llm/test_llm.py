@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,21 @@ def test_units_give_the_tokenizers_ids():
         e.forget()
 
 
+def test_columns_give_the_tokenizers_ids():
+    """Texts with single spaces between their words are encoded without Python objects, the others as before; both keep their places."""
+    from tokenizers import Tokenizer
+
+    t, e, r = Tokenizer.from_file(packing.tokenizer()), packing.UnitEncoder(packing.tokenizer()), random.Random(21)
+    parts = ["a", "The", "ß", " ", " ", " ", "\n", "'s", "1", "23", "<|endoftext|>", "é", "\u00a0", "\u3000", "\x85", "\x1d", "\x0b", "\u200b", "...", "\U0001F600", "x'll"]
+    easy = [" ".join(r.choice(["a", "ab\nc", "don't", "é", "\U0001F600x", "12", "a\u00a0b", "z" * 300]) for _ in range(r.randint(1, 9))) for _ in range(500)]
+    mixed = easy + TEXTS + ["\na b", "a b\n", "a\x1cb c \x85", "a\u2003 b"] + ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    r.shuffle(mixed)
+    for texts in (easy, mixed, mixed[:1], TEXTS, ["", "\n"], ["a  b"]):
+        ids, lens = e.encode_column(pa.array(["cut away", *texts]).slice(1))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert texts is not easy or not e.units
+
+
 def brute_bm25(docs: list[list[int]], corpus_docs: list[list[int]], seed: int) -> list[float]:
     """BM25 of each document for the seed's tokens, without those that tell nothing, with the corpus's frequencies and mean."""
     df, n = Counter(x for d in corpus_docs for x in set(d)), len(corpus_docs)
@@ -329,6 +345,42 @@ def test_windows_count_frequent_tokens_too():
     assert more
 
 
+@pytest.mark.parametrize(("share", "room", "long_rows"), [(40, 1 << 20, 4096), (40, 1 << 20, 0), (4, 1 << 20, 4096), (40, 4000, 4096)])
+def test_few_documents_are_scored_in_full(monkeypatch, share, room, long_rows):
+    """Seed after seed, with copies among the documents: the best come as they do when all are scored, and few are; bounds hold for lists of either kind."""
+    for name, value in (("DENSE_SHARE", share), ("DENSE_BYTES", room), ("LONG_ROWS", long_rows)):
+        monkeypatch.setattr(packing, name, value)
+    r = random.Random(22)
+    whole = [[min(int(r.paretovariate(0.3)), 1999) for _ in range(r.choice([0, 3, 80, 150, 400]))] for _ in range(500)]
+    whole += [whole[r.randrange(500)] for _ in range(100)]
+    flat, lens = np.array([x for d in whole for x in d], np.uint16), np.array([len(d) for d in whole])
+    token, doc, _ = packing.held_tokens(flat, lens)
+    assert all((a == b).all() for a, b in zip(packing.held_tokens(flat.astype(np.uint32), lens), packing.held_tokens(flat, lens), strict=True))
+    df = np.bincount(token, minlength=2000)
+    corpus = packing.Corpus(df, 600, int(lens.sum()))
+    index, unused, everyone, full, n = packing.Bm25Index(flat, lens, corpus), np.ones(600, bool), np.arange(600), 0, 0
+    tfs = [Counter(d) for d in whole]
+    mean, scored = sum(map(len, whole)) / 600, index.whole_scores
+    while unused.sum() > 60:
+        seed = r.choice(np.flatnonzero(unused).tolist())
+        unused[seed] = False
+        score = scored(seed, everyone)
+        want = [sum(math.log(1 + (600 - df[x] + 0.5) / (df[x] + 0.5)) * tfs[d][x] * 2.2 / (tfs[d][x] + 1.2 * (0.25 + 0.75 * lens[d] / mean)) for x in tfs[seed] if df[x] > 1) for d in range(0, 600, 29)]
+        assert np.allclose(score[::29], want)
+        ranked = sorted((d for d in range(600) if unused[d] and score[d] > 0), key=lambda d: (-score[d], d))
+        seen: list[int] = []
+        monkeypatch.setattr(index, "whole_scores", lambda s, docs, seen=seen: (seen.append(len(docs)), scored(s, docs))[1])
+        assert list(itertools.islice(index.nearest(seed, unused), 3)) == ranked[:3]
+        if lens[seed] >= 80:
+            full, n = full + sum(seen), n + int(unused.sum())
+        assert list(index.nearest(seed, unused)) == ranked
+        low, slack = index.bounds.scores(index.of(seed))
+        there = score[index.bounds.docs]
+        assert (low <= there + 1e-6).all() and (there <= low + slack + 1e-6).all()
+        unused[ranked[:2]] = False
+    assert len(index.bounds.docs) < 200 and full < n / 4
+
+
 # --- 4 ---
 
 
