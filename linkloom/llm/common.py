@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 
 import numpy as np
@@ -31,6 +33,13 @@ def parts_for(n_bytes: int, part_bytes: int) -> int:
     return max(1, math.ceil(n_bytes / part_bytes))
 
 
+def give_back() -> None:
+    """Gives freed memory back to the system, where the C library can: a worker lives on beside others, and the next task may need none of it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column (null: empty) and its len + 1 offsets, without copying the text."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 from itertools import islice
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkloom.llm.common import mix64, parts_for, text_col, total_bytes
+from linkloom.llm.common import give_back, mix64, parts_for, text_col, total_bytes
 from linkloom.llm.licenses import pieces
 from linkloom.llm.spark_util import cut
 
@@ -41,6 +41,8 @@ K1, B = 1.2, 0.75
 DENSE_SHARE, DENSE_BYTES = 40, 32 << 20
 #: Rows of so many documents are added one by one.
 LONG_ROWS = 4096
+#: Columns of an index are worked out so many numbers at a time: a worker has little memory beside its shard.
+BLOCK, ROWS_A_COPY = 1 << 18, 512
 #: Tokens with lower ids are too frequent to say where a document belongs.
 KEY_FLOOR = 2000
 #: A worker forgets its units when it has more of them, or more of their characters.
@@ -74,6 +76,15 @@ def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(counts)])])
 
 
+def blocks(n: int) -> Iterator[slice]:
+    return (slice(a, min(n, a + BLOCK)) for a in range(0, n, BLOCK))
+
+
+def counts_of(numbers: np.ndarray, n: int) -> np.ndarray:
+    """How often each number below n occurs."""
+    return sum((np.bincount(numbers[s], minlength=n) for s in blocks(len(numbers))), np.zeros(n, np.int64))
+
+
 class UnitEncoder:
     """Ids of a byte-level vocabulary, a batch of texts at a time. A single space between two other characters always starts a new
     pre-token, so the units between such spaces are encoded apart, and equal ones once for each worker. The vocabulary
@@ -200,11 +211,19 @@ def held_tokens(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Token, document and count of each distinct pair, by token, then document."""
     # Both in one number, as plain sorts are far cheaper than sorts of places.
     bits, kind = (16, np.uint32) if ids.itemsize <= 2 and len(lens) <= 1 << 16 else (32, np.uint64)
-    pairs = ids.astype(kind) << kind(bits)
-    pairs |= np.repeat(np.arange(len(lens), dtype=kind), lens)
+    pairs, ends = ids.astype(kind), np.cumsum(lens)
+    pairs <<= kind(bits)
+    for s in blocks(len(pairs)):
+        pairs[s] |= np.searchsorted(ends, np.arange(s.start, s.stop), "right").astype(kind)
     pairs.sort()
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1]]))
-    count, pairs = np.diff(np.concatenate([first, [len(pairs)]])), pairs[first]
+    new = np.ones(len(pairs), bool)
+    np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    count = np.empty(len(first), np.int32)
+    np.subtract(first[1:], first[:-1], out=count[:-1], casting="unsafe")
+    count[-1:] = len(pairs) - first[-1:]
+    del first
+    pairs = pairs[new]
     return (pairs >> kind(bits)).astype(ids.dtype), (pairs & kind((1 << bits) - 1)).astype(np.int32), count
 
 
@@ -288,19 +307,22 @@ class Bounds:
     Short lists have their weights as they are. Columns of documents that were used go from time to time."""
 
     def __init__(self, lists: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int):
-        count = np.bincount(lists)
+        count = counts_of(lists, int(lists.max(initial=-1)) + 1)
         long = np.argsort(-count, kind="stable")[: max(1, DENSE_BYTES // (2 * max(1, n)))]
         long = long[count[long] * DENSE_SHARE >= n]
         self.row, self.n, self.docs = np.full(len(count), -1, np.int32), n, np.arange(n)
         self.row[long] = np.arange(len(long))
-        row = self.row[lists]
-        some = row >= 0
-        row, at = row[some], doc[some]
-        self.unit = np.maximum(np.bincount(at, weight[some], n), 1e-9) * ((1 + 1e-9) / 65535)
+        short, total = (self.row < 0)[lists], np.zeros(n)
+        for s in blocks(len(doc)):
+            total += np.bincount(doc[s], np.where(short[s], 0.0, weight[s]), n)
+        self.unit = np.maximum(total, 1e-9) * ((1 + 1e-9) / 65535)
         self.dense = np.zeros((len(long), n), np.uint16)
-        self.dense[row, at] = weight[some] / self.unit[at]
+        for s in blocks(len(doc)):
+            some = ~short[s]
+            at = doc[s][some]
+            self.dense[self.row[lists[s][some]], at] = weight[s][some] / self.unit[at]
         self.starts = np.concatenate([[0], np.cumsum(np.where(self.row < 0, count, 0))])
-        self.doc, self.weight = doc[~some], weight[~some]
+        self.doc, self.weight = doc[short], weight[short]
 
     def drop(self, unused: np.ndarray) -> None:
         """Leaves out the documents that were used."""
@@ -332,17 +354,28 @@ class Bm25Index:
 
     def __init__(self, ids: np.ndarray, lens: np.ndarray, corpus: Corpus):
         token, doc, tf = held_tokens(ids, lens)
-        here = np.where(corpus.whole > 0, np.bincount(token, minlength=len(corpus.whole)), 0)
-        shared = here[token] > 1
-        token, doc, tf = token[shared], doc[shared], tf[shared]
-        weight = corpus.whole[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / corpus.mean))
+        here = np.where(corpus.whole > 0, counts_of(token, len(corpus.whole)), 0)
+        shared = (here > 1)[token]
+        # One after another, as old and new columns would stand beside each other.
+        token = token[shared]
+        doc = doc[shared]
+        tf = tf[shared]
+        weight = np.empty(len(token))
+        for s in blocks(len(token)):
+            weight[s] = corpus.whole[token[s]] * tf[s] * (K1 + 1) / (tf[s] + K1 * (1 - B + B * lens[doc[s]] / corpus.mean))
         number = np.cumsum(here > 1, dtype=np.int32) - 1  # of a token's list
         lists = number[token]
+        del token, tf, shared
         self.n, self.corpus, self.tokens = len(lens), corpus, np.flatnonzero(here > 1)
         self.bounds = Bounds(lists, doc, weight, self.n)
         # The lists that each document is in, as its query, with its weights.
-        order = by_number(doc, self.n)
-        self.lists, self.weight, self.query = lists[order], weight[order], np.searchsorted(doc[order], np.arange(self.n + 1))
+        self.query = np.concatenate([[0], np.cumsum(counts_of(doc, self.n))])
+        self.lists, self.weight, following = np.empty_like(lists), np.empty_like(weight), self.query[:-1].copy()
+        for s in blocks(len(doc)):
+            order, count = by_number(doc[s], self.n), np.bincount(doc[s], minlength=self.n)
+            at = np.arange(len(order)) + np.repeat(following - (np.cumsum(count) - count), count)
+            self.lists[at], self.weight[at] = lists[s][order], weight[s][order]
+            following += count
         self.asked = np.zeros(len(self.tokens), bool)
 
     @cached_property
@@ -447,6 +480,13 @@ def encoder_of(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Frees the encoders of this process. A function that is sent to workers would bring a copy of the table with it if it named it itself, encoders of the driver included, and
+    empty only that."""
+    _ENCODERS.clear()
+    give_back()
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, wide: bool) -> DataFrame:
     """doc_id, ids (without the end), their number n with it and the keys t and u of each document; and for each task one row of counts:
     documents by token, documents, tokens."""
@@ -508,36 +548,56 @@ def flat_ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(column.buffers()[2], np.uint8)[first:last].copy().view(kind) if last > first else np.zeros(0, kind)), lens
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    size = encoder_of(tokenizer_path).size
-    kind = np.dtype("<u4" if size > 1 << 16 else "<u2")
-    table = cut(encoded(docs.coalesce(parts_for(total_bytes(docs), TASK_BYTES)), tokenizer_path, size > 1 << 16))
-    corpus = corpus_of(table, size)
-    rows, n_shards = dealt(table, corpus, group_tokens, shard_tokens)
+def ordered_ids(column: pa.Array, order: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column in that order of its rows, and how many each row has. Some rows at a time, as a whole column would be copied again."""
+    lens = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)[order] // kind.itemsize
+    ids, at = np.empty(lens.sum(), kind), 0
+    for a in range(0, len(order), ROWS_A_COPY):
+        part = flat_ids(column.take(pa.array(order[a : a + ROWS_A_COPY])), kind)[0]
+        ids[at : at + len(part)] = part
+        at += len(part)
+    return ids, lens
+
+
+def packer_of(corpus: Corpus, kind: np.dtype, window: int = WINDOW) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs a shard, which is all that comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs a shard, which is all that comes."""
-        _ENCODERS.clear()  # of the worker; all texts are encoded by now
+        forget_encoders()  # all texts are encoded by now
         if not (held := [b for b in batches if b.num_rows]):
             return
         whole = pa.Table.from_batches(held)
+        held.clear()
         names, late = whole["doc_id"].fill_null(0).to_numpy(), whole["doc_id"].is_null().to_numpy()
         order = np.lexsort([whole["h"].to_numpy(), names, late, whole["u"].to_numpy(), whole["t"].to_numpy()])
-        names = whole["doc_id"].take(pa.array(order)).to_pylist()
-        ids, lens = flat_ids(whole["ids"].take(pa.array(order)).combine_chunks(), kind)
-        shard, sizes = whole["shard"][0].as_py(), (lens + 1).tolist()
-        del held, whole
-        index = Bm25Index(ids, lens, corpus)
-        view, first = memoryview(with_ends(ids.astype("<u4"), lens, END_ID)).cast("B"), np.cumsum([0, *sizes]).tolist()
+        names, shard, column = whole["doc_id"].take(pa.array(order)).to_pylist(), whole["shard"][0].as_py(), whole["ids"]
+        del whole
+        column = column.combine_chunks()
+        ids, lens = ordered_ids(column, order, kind)
+        del column
+        give_back()
+        index, sizes, first = Bm25Index(ids, lens, corpus), (lens + 1).tolist(), np.cumsum([0, *lens]).tolist()
+        give_back()
         cols: list[list] = [[] for _ in _NAMES]
         for d, places in pack_shard(index, sizes, Packer(shard << 40, window)):
+            view = memoryview(np.append(ids[first[d] : first[d + 1]], kind.type(END_ID)).astype("<u4")).cast("B")
             for start, length, sequence, offset in places:
-                at = 4 * (first[d] + start)
-                for c, v in zip(cols, (names[d], start, length, zlib.crc32(view[at : at + 4 * length]), sizes[d], sequence, offset), strict=True):
+                for c, v in zip(cols, (names[d], start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), sizes[d], sequence, offset), strict=True):
                     c.append(v)
+        del ids, index
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _NAMES)
 
-    return rows.repartitionById(n_shards, F.col("shard")).mapInArrow(run, SCHEMA).coalesce(-(-n_shards // SHARDS_A_TASK))
+    return run
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    size = encoder_of(tokenizer_path).size
+    kind = np.dtype("<u4" if size > 1 << 16 else "<u2")
+    table = cut(encoded(docs.coalesce(parts_for(total_bytes(docs), TASK_BYTES)), tokenizer_path, size > 1 << 16))
+    corpus = corpus_of(table, size)
+    rows, n_shards = dealt(table, corpus, group_tokens, shard_tokens)
+    return rows.repartitionById(n_shards, F.col("shard")).mapInArrow(packer_of(corpus, kind, window), SCHEMA).coalesce(-(-n_shards // SHARDS_A_TASK))
 
 
 def tokenizer() -> str:

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -304,6 +305,46 @@ def test_scores_are_those_of_bm25():
         assert list(index.neighbours(seed, unused, 5)) == ranked
 
 
+def test_an_index_is_made_in_little_memory():
+    """Not much more than twice what the index has in the end, however many numbers it is made of."""
+    r = np.random.default_rng(23)
+    lens = np.full(3000, 1000)
+    flat = np.minimum(r.pareto(0.5, 3_000_000) * 40, 49_999).astype(np.uint16)
+    corpus = packing.Corpus(np.bincount(packing.held_tokens(flat, lens)[0], minlength=50_000), 3000, len(flat))
+    tracemalloc.start()
+    index = packing.Bm25Index(flat, lens, corpus)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert index.n == 3000 and len(index.lists) > 1_000_000 and peak < 2.2 * now
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_an_index_is_the_same_in_blocks(monkeypatch, block):
+    r = random.Random(24)
+    whole = [[min(int(r.paretovariate(0.4)), 299) for _ in range(r.choice([0, 1, 40, 90]))] for _ in range(120)]
+    flat, lens = np.array([x for d in whole for x in d], np.uint16), np.array([len(d) for d in whole])
+    corpus = packing.Corpus(np.bincount(flat, minlength=300), 120, len(flat))
+    one = packing.Bm25Index(flat, lens, corpus)
+    monkeypatch.setattr(packing, "BLOCK", block)
+    token, doc, count = packing.held_tokens(flat, lens)
+    assert list(zip(token.tolist(), doc.tolist(), count.tolist(), strict=True)) == sorted((t, d, n) for d, x in enumerate(whole) for t, n in Counter(x).items())
+    two = packing.Bm25Index(flat, lens, corpus)
+    for a, b in ((one, two), (one.bounds, two.bounds)):
+        same = {k: np.allclose(v, getattr(b, k), rtol=1e-12) if k == "unit" else (v == getattr(b, k)).all() for k, v in vars(a).items() if isinstance(v, np.ndarray)}
+        assert len(same) > 4 and all(same.values()), same
+
+
+def test_a_packing_worker_frees_its_encoder():
+    from pyspark import cloudpickle
+
+    packing.encoder_of(packing.tokenizer())
+    pack = cloudpickle.loads(cloudpickle.dumps(packing.packer_of(packing.Corpus(np.array([0, 2, 1]), 2, 3), np.dtype("<u2"))))
+    ids = pa.array([np.array(x, "<u2").tobytes() for x in ([1, 2], [1])], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 4]), ids, *(pa.array([0, 0], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["doc_id", "ids", "t", "u", "h", "shard"])
+    assert [list(r.values())[:3] + [r["offset"]] for r in pa.Table.from_batches(pack(iter([batch]))).to_pylist()] == [[4, 0, 2, 0], [5, 0, 3, 2]]
+    assert not packing._ENCODERS
+
+
 def test_keys_are_the_first_tokens_of_one_order():
     r = random.Random(20)
     whole = [[r.randint(0, 4999) for _ in range(r.choice([0, 1, 2, 30]))] for _ in range(200)]
