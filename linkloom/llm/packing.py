@@ -177,15 +177,19 @@ class UnitEncoder:
             return self._encode_words(column)
         some, n_some = self._encode_words(column.filter(pa.array(~odd)))
         others, n_others = self.encode_batch(column.filter(pa.array(odd)).to_pylist())
-        lens, starts = np.zeros(len(odd), np.int64), np.zeros(len(odd), np.int64)
+        lens = np.zeros(len(odd), np.int64)
         lens[~odd], lens[odd] = n_some, n_others
-        starts[~odd], starts[odd] = np.cumsum(n_some) - n_some, len(some) + np.cumsum(n_others) - n_others
-        return np.concatenate([some, others])[spread(starts, lens)], lens
+        out, at, ends = np.empty(len(some) + len(others), np.uint32), [0, 0], np.cumsum(lens).tolist()
+        for kind, n, end in zip(odd.tolist(), lens.tolist(), ends, strict=True):
+            out[end - n : end] = (others if kind else some)[at[kind] : at[kind] + n]
+            at[kind] += n
+        return out, lens
 
     def _encode_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pa.compute.split_pattern(column, " ")
         coded = lists.flatten().dictionary_encode()
-        words, at, counts = coded.dictionary, coded.indices.to_numpy().astype(np.int64), pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        words, at, counts = coded.dictionary, coded.indices.to_numpy().copy(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        del lists, coded
         n_bytes = pa.compute.binary_length(words).to_numpy().astype(np.int64)
         joined = self.tokenize_array(" " + pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py())
         ends = np.searchsorted(np.cumsum(self.n_bytes[joined]), np.cumsum(1 + n_bytes), "left") + 1
@@ -196,8 +200,9 @@ class UnitEncoder:
         at[first] = len(words) + which
         ids = np.concatenate([joined, *(np.array(x, np.uint32) for x in own)])
         ends = np.concatenate([[0], ends, len(joined) + np.cumsum([len(x) for x in own], dtype=np.int64)])
-        lens = np.diff(ends)[at]
-        return ids[spread(ends[at], lens)], sums_of(lens, counts)
+        lens = np.diff(ends).astype(np.int32)
+        parts = [ids[spread(ends[at[s]], lens[at[s]])] for s in blocks(len(at))]
+        return np.concatenate([ids[:0], *parts]), sums_of(lens[at], counts)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -495,6 +500,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, wide: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
+        give_back()
         counts, ranks = np.zeros(encoder.size + 2, np.int64), key_ranks(encoder.size)
         for whole in batches:
             for batch in pieces(whole):
@@ -504,7 +510,11 @@ def encoded(docs: DataFrame, tokenizer_path: str, wide: bool) -> DataFrame:
                 counts[encoder.size :] += batch.num_rows, len(ids)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]) * kind.itemsize, pa.int32())
                 binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets.buffers()[1], pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary, pa.array(lens + 1), *map(pa.array, first_keys(ids, lens, ranks)), pa.nulls(batch.num_rows, pa.binary())], names)
+                columns = [batch.column("doc_id"), binary, pa.array(lens + 1), *map(pa.array, first_keys(ids, lens, ranks)), pa.nulls(batch.num_rows, pa.binary())]
+                del ids, offsets, binary
+                yield pa.RecordBatch.from_arrays(columns, names)
+                del columns
+            whole = batch = None  # before the next comes
         none = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())]
         yield pa.RecordBatch.from_arrays([*none, pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names)
 
