@@ -227,3 +227,25 @@ def test_rows_of_pairs_in_parts_equal_those_made_at_once(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(L, "parts_of", lambda df, n: made.append(n) or 3)
     assert rows() == whole and made
+
+
+def test_types_are_ranked_without_rows_of_whole_paths(spark, monkeypatch):
+    from linkloom.operators import graph as G
+    from linkloom.plans import trade as X
+
+    sf, seen = "/root/testdata/sf0.001", {}
+    keep = session.keeper(spark)
+
+    def noted(name, df):
+        kept = keep(name, df)
+        seen[name] = kept.columns
+        return kept
+
+    monkeypatch.setattr(X, "keeper", lambda s: noted)
+    got = X.discovered(spark, sf, 3)
+    d = G.Discovery(X.CUSTOMER, X.PART, 3, 2, None, "s")
+    starts = X.customer_seeds(spark, sf).localCheckpoint(), X.part_seeds(spark, sf).localCheckpoint()
+    ends = X.outer(spark, sf).localCheckpoint(), X.targets(spark, sf).localCheckpoint(), X.known(spark, sf).localCheckpoint()
+    assert not [n for n, c in seen.items() if {"node_0_id", "node_3_id"} <= set(c)] and "lines" in seen and got.count()
+    tight = lambda k: Counter(tuple(r[c] for c in (*G.type_columns(3), "tgt_pair_count", "all_pair_count")) for r in G.discover(*starts, *ends, d, k).collect())
+    assert tight(keep) == tight(None)  # with caps of two, which cut most groups
