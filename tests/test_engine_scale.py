@@ -249,3 +249,23 @@ def test_types_are_ranked_without_rows_of_whole_paths(spark, monkeypatch):
     assert not [n for n, c in seen.items() if {"node_0_id", "node_3_id"} <= set(c)] and "lines" in seen and got.count()
     tight = lambda k: Counter(tuple(r[c] for c in (*G.type_columns(3), "tgt_pair_count", "all_pair_count")) for r in G.discover(*starts, *ends, d, k).collect())
     assert tight(keep) == tight(None)  # with caps of two, which cut most groups
+
+
+def test_lists_of_ends_make_the_rows_of_pairs(spark):
+    r = random.Random(3)
+    fields = "hop_k int, node_type_array array<int>, node_id_array array<bigint>, edge_type_array array<int>, u_index_array array<int>, v_index_array array<int>"
+    path = lambda: (r.randint(1, 2), [1], [r.randint(1, 9)], [0], [0], [1])
+    pairs = spark.createDataFrame([(u, v, "d") for u in range(4) for v in range(3)], "u_node_id long, v_node_id long, date string")
+    u, v = (spark.createDataFrame([(i % 3, "d", *path()) for i in range(12)], f"seed_id long, date string, {fields}") for _ in "uv")
+    w = spark.createDataFrame([(1, 2, "d", *path()) for _ in range(3)], f"u_node_id long, v_node_id long, date string, {fields}")
+    vectors = spark.createDataFrame([(k, i, [float(i)]) for k in ("0_1", "1_0") for i in range(6)], "element_key string, feat_id long, feat_vector array<double>")
+    some = lambda n: {(r.randint(0, 2), r.choice(["0_1", "1_0"]), r.randint(0, 5)) for _ in range(n)}
+    ue, ve = (spark.createDataFrame([(i, "d", k, f) for i, k, f in some(9)], f"{c} long, date string, element_key string, feat_id long") for c in ("u_node_id", "v_node_id"))
+    we = spark.createDataFrame([(1, 2, "d", k, f) for _, k, f in some(4)], "u_node_id long, v_node_id long, date string, element_key string, feat_id long").distinct()
+    types, key = ["0_1", "1_0"], ["u_node_id", "v_node_id"]
+    near, far = (S.lists(p.withColumnRenamed("seed_id", c), e, vectors, [c], types) for p, e, c in ((u, ue, "u_node_id"), (v, ve, "v_node_id")))
+    got = S.join_lists(pairs, near, far, S.lists(w, we, vectors, key, types), types)
+    used = pairs.join(ue, ["u_node_id", "date"]).unionByName(pairs.join(ve, ["v_node_id", "date"])).unionByName(we)
+    want = S.collect_pairs(pairs, u, v, w).join(S.collect_features(used, vectors, types), [*key, "date"], "left")
+    rows = lambda df: {tuple(x[c] for c in key): [x[c] or 0 if c.endswith("count") else x[c] or [] for c in want.columns if c not in key] for x in df.collect()}
+    assert rows(got) == rows(want) and len(rows(got)) == 12
